@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import cover_topk, exact_dedup, language_id, mixing, packing, sharding
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_dual_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op6_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -27,6 +39,9 @@ def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_virtual_slots": op2_virtual_slots,
     "op4_source_mix": op4_source_mix,
+    "op5_dual_tree_topk": op5_dual_tree_topk,
+    "op6_ngram_bayes": op6_ngram_bayes,
+    "op8_tiered_packing": op8_tiered_packing,
     "op9_tree_merge_dedup": op9_tree_merge_dedup,
 }
 
@@ -49,6 +64,16 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (CASE WHEN source_size > 0 THEN (budget // source_size) * size
      + greatest(0, least(size, budget - (budget // source_size) * source_size - begins)) ELSE 0 END)::BIGINT AS taken
 FROM p""",
+    "op5_dual_tree_topk": r"""
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.vec) = len(c.vec)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_tree_merge_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, row_number() OVER () AS rid,

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,8 +96,15 @@ def grown(owner: list[int], load: dict[int, int], shards: int) -> list[int]:
 
 def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
     """The slot-to-shard map with all its versions, written in the shared folder."""
-    rows = [(v, slot, shard) for v, owner in enumerate(versions) for slot, shard in enumerate(owner)]
-    return written(spark.createDataFrame(rows, "version int, vslot int, shard int"), "slot-map")
+    slots = range(len(versions[0]))
+    rows = pa.table(
+        {
+            "version": pa.array([v for v in range(len(versions)) for _ in slots], pa.int32()),
+            "vslot": pa.array([s for _ in versions for s in slots], pa.int32()),
+            "shard": pa.array([k for owner in versions for k in owner], pa.int32()),
+        }
+    )
+    return written(spark.createDataFrame(rows), "slot-map")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -112,7 +120,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
         start.append(base[owner[slot]])
         base[owner[slot]] += count.get(slot, 0)
     kept = map_table(spark, versions).where(F.col("version") == len(versions) - 1)
-    begins = spark.createDataFrame(list(enumerate(start)), "vslot int, begins long")
+    begins = spark.createDataFrame(pa.table({"vslot": pa.array(range(slots), pa.int32()), "begins": pa.array(start, pa.int64())}))
     # both hold a row for each of the fixed number of slots
     here = F.broadcast(kept.join(F.broadcast(begins), "vslot"))
     order = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
