@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,69 @@ def power_at_least(n: int, base: int) -> int:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Bits of a summary that is sent to every executor: 8 MB, whatever the input.
+SUMMARY_BITS = 1 << 26
+
+
+def row_key():
+    """A hash of a row's id and text, by which its decision finds it again; rows that share it are equal in both."""
+    return F.xxhash64("doc_id", "text")
+
+
+def summary(keys: DataFrame, name: str):
+    """The keys' bits in a bitmap of SUMMARY_BITS, on the driver: its size does not depend on the input.
+
+    A key whose bit is unset is not among them; a set bit calls for an exact look-up.
+    """
+    bit = F.pmod(F.col(name), F.lit(SUMMARY_BITS)) + 1
+    rows = (
+        keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
+        .groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    out = np.zeros(SUMMARY_BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        begin = (r.bucket - 1) * 4096
+        out[begin : begin + 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def summarised(bits, keys):
+    """Which of the keys (a numpy array of int64) may be in a summary."""
+    bit = np.mod(keys, SUMMARY_BITS)
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that stay, by decided (row_key, kept); of rows with one key that both stay and go, one stays.
+
+    Rows that surely stay never move; only rows of which a copy goes are looked up.
+    """
+    spark = docs.sparkSession
+    gone = (
+        decided.groupBy("row_key")
+        .agg(F.bool_or("kept").alias("some_stay"), F.bool_or(~F.col("kept")).alias("some_go"))
+        .where("some_go")
+        .drop("some_go")
+    )
+    gone = written(gone, "gone")
+    shared = spark.sparkContext.broadcast(summary(gone, "row_key"))
+
+    def check(keys):
+        return pd.Series(summarised(shared.value, keys.to_numpy("int64")))
+
+    may_go = F.pandas_udf(check, "boolean", F.PandasUDFType.SCALAR)
+
+    columns = docs.columns
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], row_key().alias("row_key"))
+    keyed = keyed.withColumn("may_go", may_go("row_key"))
+    looked = keyed.where("may_go").join(gone, "row_key", "left")
+    stay = keyed.where(~F.col("may_go")).drop("row_key", "may_go")
+    new = looked.where(F.col("some_stay").isNull())
+    one = looked.where("some_stay").dropDuplicates(["row_key"])
+    out = stay
+    for more in (new, one):
+        out = out.unionByName(more.select(stay.columns))
+    return out.toDF(*columns)

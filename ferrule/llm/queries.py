@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_topk, exact_dedup, language_id, mixing, packing, sharding
+from . import cover_topk, exact_dedup, language_id, mixing, ngram_join, packing, sharding
 from .common import table
 
 
+def op1_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, least=85).select(
+        "doc_id", "n_shingles", "component_id", "n_links"
+    )
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "vslot", "map_version"
@@ -37,6 +43,7 @@ def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_prefix_jaccard": op1_prefix_jaccard,
     "op2_virtual_slots": op2_virtual_slots,
     "op4_source_mix": op4_source_mix,
     "op5_dual_tree_topk": op5_dual_tree_topk,
@@ -46,6 +53,25 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_prefix_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) END AS s FROM w),
+n AS (SELECT row, doc_id, s, len(s) AS n FROM s),
+u AS (SELECT row, n, unnest(s) AS t FROM n),
+l AS (
+  SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.t = b.t AND a.row <> b.row AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT a AS row, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.row),
+c AS (SELECT r.row, min(n.doc_id) AS top FROM r JOIN n ON n.row = r.root GROUP BY r.row),
+k AS (SELECT l.a AS row, count(DISTINCT n.s) - count(DISTINCT CASE WHEN list_sort(n.s) = list_sort(o.s) THEN n.s END) AS n_links
+      FROM l JOIN (SELECT row, list_sort(s) AS s FROM n) n ON n.row = l.b JOIN n o ON o.row = l.a GROUP BY l.a)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(c.top, n.doc_id) AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM n LEFT JOIN c ON c.row = n.row LEFT JOIN k ON k.row = n.row""",
     "op4_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
