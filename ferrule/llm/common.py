@@ -105,10 +105,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     gone = written(gone, "gone")
     shared = spark.sparkContext.broadcast(summary(gone, "row_key"))
 
-    def check(keys):
+    def check(keys: pd.Series) -> pd.Series:
         return pd.Series(summarised(shared.value, keys.to_numpy("int64")))
 
-    may_go = F.pandas_udf(check, "boolean", F.PandasUDFType.SCALAR)
+    may_go = F.pandas_udf(check, "boolean")
 
     columns = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], row_key().alias("row_key"))

@@ -24,13 +24,17 @@ WEIGHTS = (5, 2, 1)
 TOTAL_SHARE, MOST_EPOCHS = 1.5, 2
 
 
+def random_key(seed: str):
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
 def sized(docs: DataFrame, seed: str) -> DataFrame:
     """doc_id, source, size in words and random key of every row."""
     return docs.select(
         "doc_id",
         "source",
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
+        random_key(seed).alias("key"),
     )
 
 
@@ -108,3 +112,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int
             F.col("last").cast("long").alias("last"),
         )
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with their columns, once for each epoch that takes any of them.
+
+    All rows up to a source's cut, in the order of its random keys, are taken in its last epoch, so
+    what a row needs to know is its source's number of whole epochs and the key at the cut.
+    """
+    rows = mix(docs, **options)
+    cuts = rows.groupBy("source").agg(
+        F.max("epochs").alias("epochs"), F.max(F.when(F.col("last") > 0, F.struct("key", "doc_id"))).alias("cut")
+    )
+    cuts = written(cuts, "cuts").select(F.col("source").alias("cut_source"), "epochs", "cut")
+    columns = docs.columns
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], "doc_id", "source", random_key(options.get("seed", "mix-1")).alias("key"))
+    last = F.coalesce((F.struct("key", "doc_id") <= F.col("cut")).cast("int"), F.lit(0))
+    kept = kept.join(cuts, F.col("source").eqNullSafe(F.col("cut_source"))).withColumn("copies", F.col("epochs") + last)
+    kept = kept.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_topk, exact_dedup, language_id, mixing, ngram_join, packing, sharding
+from . import cover_topk, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pii, secrets_crf, sharding
 from .common import table
 
 
@@ -20,6 +21,10 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -32,6 +37,11 @@ def op6_ngram_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_crf.digest_columns(secrets_crf.scan(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf")
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,14 +52,22 @@ def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), secret="corpus-1")
+
+
 QUERIES = {
     "op1_prefix_jaccard": op1_prefix_jaccard,
     "op2_virtual_slots": op2_virtual_slots,
+    "op3_url_differencing": op3_url_differencing,
     "op4_source_mix": op4_source_mix,
     "op5_dual_tree_topk": op5_dual_tree_topk,
     "op6_ngram_bayes": op6_ngram_bayes,
+    "op7_crf_secrets": op7_crf_secrets,
     "op8_tiered_packing": op8_tiered_packing,
     "op9_tree_merge_dedup": op9_tree_merge_dedup,
+    "op10_keyed_surrogates": op10_keyed_surrogates,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
