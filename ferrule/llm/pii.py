@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import partitions, row_key, written
 
 # Titles by gender, and given names by gender and script.
 TITLES_F = "Mrs Ms Miss Frau Señora Madame Mme Госпожа".split()
@@ -54,8 +54,10 @@ ENTITY = "|".join(
         rf"(?<![\p{{L}}\p{{N}}])(?:{_given}) \p{{Lu}}\p{{L}}+(?![\p{{L}}\p{{N}}])",
     ]
 )
-#: What every entity holds; texts without it are passed on as they are.
-HINT = rf"[@0-9]|(?:{_titles}|{_given})\.? \p{{Lu}}"
+#: What every entity holds; texts without either are passed on as they are.
+HINT = "[@0-9]"
+_initials = "".join(sorted({w[0] for w in [*TITLES_F, *TITLES_M, *TITLES_X, *GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M]}))
+NAME_HINT = rf"(?=[{_initials}])(?:{_titles}|{_given})\.? \p{{Lu}}"
 
 
 def kind(m: Column) -> Column:
@@ -123,11 +125,13 @@ def luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10))
 
 
-def new_digits(t: Column, canon: Column, h: Column) -> Column:
-    """Drawn digits for a number; a valid card stays valid."""
-    n = F.length(canon)
-    drawn = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: number(h, i, 10).cast("string")), "")
-    body = F.substring(drawn, F.lit(1), n - 1)
+def drawn_digits(canon: Column, h: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(canon), F.lit(1))), lambda i: number(h, i, 10).cast("string")), "")
+
+
+def checked_digits(t: Column, canon: Column, drawn: Column) -> Column:
+    """Drawn digits, of which the last keeps a valid card valid."""
+    body = F.substring(drawn, F.lit(1), F.length(canon) - 1)
     last = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     return F.when((t == "card") & (luhn(canon) == 0), F.concat(body, last)).otherwise(drawn)
 
@@ -175,31 +179,50 @@ def new_name(m: Column, h: Column, secret: str) -> Column:
     return F.array_join(F.transform(parts, one), " ")
 
 
-def surrogate(m: Column, t: Column, canon: Column, attempt: Column, secret: str) -> Column:
-    h = draw(secret, t, canon, attempt)
-    domain = F.substring_index(m, "@", -1)
-    local = F.substring_index(m, "@", 1)
-    top = F.substring_index(domain, ".", -1)
-    below = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    hd = draw(secret, F.lit("domain"), F.lower(domain), F.lit(0))
-    # a local part too short for all addresses to differ grows after some attempts
-    more = F.when(attempt >= 8, F.substring(h, -8, 8)).otherwise("")
-    email = F.concat(letters_and_digits(local, h), more, F.lit("@"), letters_and_digits(below, hd), F.lit("."), top)
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (number(h, i, 254) + 1).cast("string")), ".")
-    iban = F.concat(F.substring(m, 1, 2), letters_and_digits(F.substring(m, F.lit(3), F.length(m)), h))
-    spaced = F.when(m.contains(" "), F.trim(F.regexp_replace(F.concat(F.substring(canon, 1, 2), letters_and_digits(F.substring(canon, F.lit(3), F.length(canon)), h)), "(.{4})", "$1 "))).otherwise(iban)
-    return (
-        F.when(t == "email", email)
-        .when(t == "ip", octets)
-        .when(t == "iban", spaced)
-        .when(t == "name", new_name(m, h, secret))
-        .otherwise(in_layout(m, new_digits(t, canon, h)))
-    )
+def surrogates(entities: Column, secret: str) -> Column:
+    """The surrogates of an array of (m, t, c, attempt).
+
+    What a step needs more than once is a field of the array of the step before, as an expression
+    within a lambda function is evaluated wherever it stands.
+    """
+    keep = lambda x, *names: [x[n].alias(n) for n in names]
+    numeric = lambda t: t.isin("phone", "card", "ssn")
+
+    def split(x):
+        domain = F.substring_index(x["m"], "@", -1)
+        return F.struct(
+            *keep(x, "m", "t", "c", "attempt"),
+            draw(secret, x["t"], x["c"], x["attempt"]).alias("h"),
+            F.when(x["t"] == "email", draw(secret, F.lit("domain"), F.lower(domain), F.lit(0))).alias("hd"),
+            F.when(x["t"] == "email", F.substring_index(x["m"], "@", 1)).alias("local"),
+            F.when(x["t"] == "email", F.substring_index(domain, ".", -1)).alias("top"),
+            F.when(x["t"] == "email", F.regexp_replace(domain, r"\.[^.]*$", "")).alias("below"),
+        )
+
+    def digits(x):
+        return F.struct(*keep(x, "m", "t", "c", "attempt", "h", "hd", "local", "top", "below"), F.when(numeric(x["t"]), drawn_digits(x["c"], x["h"])).alias("d"))
+
+    def checked(x):
+        return F.struct(*keep(x, "m", "t", "c", "attempt", "h", "hd", "local", "top", "below"), F.when(numeric(x["t"]), checked_digits(x["t"], x["c"], x["d"])).alias("d"))
+
+    def written_out(x):
+        m, t, h = x["m"], x["t"], x["h"]
+        # a local part too short for all addresses to differ grows after some attempts
+        more = F.when(x["attempt"] >= 8, F.substring(h, -8, 8)).otherwise("")
+        email = F.concat(letters_and_digits(x["local"], h), more, F.lit("@"), letters_and_digits(x["below"], x["hd"]), F.lit("."), x["top"])
+        octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (number(h, i, 254) + 1).cast("string")), ".")
+        plain = F.concat(F.substring(x["c"], 1, 2), letters_and_digits(F.substring(x["c"], F.lit(3), F.length(x["c"])), h))
+        iban = F.when(m.contains(" "), F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
+        return (
+            F.when(t == "email", email).when(t == "ip", octets).when(t == "iban", iban).when(t == "name", new_name(m, h, secret)).otherwise(in_layout(m, x["d"]))
+        )
+
+    return F.transform(F.transform(F.transform(F.transform(entities, split), digits), checked), written_out)
 
 
 def mentions(text: Column) -> Column:
     """The entities of a text in order, as (m, t, c)."""
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    found = F.when(text.rlike(HINT) | text.rlike(NAME_HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
     typed = F.transform(found, lambda m: F.struct(m.alias("m"), kind(m).alias("t")))
     full = F.transform(typed, lambda x: F.struct(x["m"].alias("m"), x["t"].alias("t"), canonical(x["m"], x["t"]).alias("c")))
     return F.coalesce(full, F.array().cast("array<struct<m:string,t:string,c:string>>"))
@@ -208,8 +231,11 @@ def mentions(text: Column) -> Column:
 def attempts(entities: DataFrame, secret: str) -> DataFrame:
     """t, c, attempt of the entities whose first draw is not theirs to keep."""
     drawn = entities.withColumn("attempt", F.lit(0))
+    parts = partitions(entities.sparkSession)
     while True:
-        drawn = drawn.withColumn("s", F.lower(canonical(surrogate(F.col("c"), F.col("t"), F.col("c"), F.col("attempt"), secret), F.col("t"))))
+        one = F.array(F.struct(F.col("c").alias("m"), "t", "c", "attempt"))
+        drawn = drawn.repartition(parts, "t", "c").withColumn("new", F.element_at(surrogates(one, secret), 1))
+        drawn = drawn.select("t", "c", "attempt", F.lower(canonical(F.col("new"), F.col("t"))).alias("s"))
         drawn = written(drawn, "drawn")
         first = drawn.groupBy("t", "s").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "s", "first")
         known = entities.select("t", F.lower("c").alias("s")).distinct().withColumn("known", F.lit(True))
@@ -234,13 +260,12 @@ def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
         told = at.join(anew, ["t", "c"]).groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias("drawn"))
         some = rows.where(F.size("found") > 0).join(written(told, "told"), "row_key", "left").withColumn("drawn", F.coalesce("drawn", none))
         rows = rows.where(F.size("found") == 0).withColumn("drawn", none).unionByName(some)
+    attempt = lambda i: F.coalesce(F.try_element_at(F.col("drawn"), i), F.lit(0))
+    full = F.transform("found", lambda e, i: F.struct(e["m"].alias("m"), e["t"].alias("t"), e["c"].alias("c"), attempt(i).alias("attempt")))
+    # text is what stands between the entities, and they
     between = F.split(F.col("text"), ENTITY, -1)
-    put = F.transform(
-        F.col("found"),
-        lambda e, i: F.concat(F.element_at(F.col("between"), i + 1), surrogate(e["m"], e["t"], e["c"], F.coalesce(F.try_element_at(F.col("drawn"), i), F.lit(0)), secret)),
-    )
-    rows = rows.withColumn("between", F.when(F.size("found") > 0, between))
-    new = F.when(F.size("found") > 0, F.concat(F.array_join(put, ""), F.element_at("between", -1))).otherwise(F.col("text"))
+    put = F.array_join(F.flatten(F.zip_with(between, surrogates(full, secret), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    new = F.when(F.size("found") > 0, put).otherwise(F.col("text"))
     of = F.transform("found", lambda e: e["t"])
     counts = [F.size(F.filter(of, partial(lambda t, x: x == t, F.lit(t)))).cast("long").alias(f"n_{t}") for t in TYPES]
     return rows.select("doc_id", new.alias("text"), *counts)
