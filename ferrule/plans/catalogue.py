@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries
+from . import flow_queries, queries
 
-QUERIES = {**queries.QUERIES}
-ORACLES = {**queries.ORACLES}
+QUERIES = {**queries.QUERIES, **flow_queries.QUERIES}
+ORACLES = {**queries.ORACLES, **flow_queries.ORACLES}

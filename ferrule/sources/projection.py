@@ -36,6 +36,15 @@ FACTS = {
     "vedge": f"SELECT DISTINCT l_partkey * 4 + l_linenumber % 4 AS src, ((l_suppkey * 17 + l_linenumber * 5) % {_n}) * 4 + l_suppkey % 4 AS dst"
     " FROM lineitem WHERE l_quantity IN (2, 3)",
     "vseed": f"SELECT f * 4 AS node, c AS what, 'class' AS kind FROM alloc UNION SELECT p_partkey * 4 + 1, (p_partkey * 7 + 3) % {_n}, 'func' FROM part WHERE p_size % 4 = 0",
+    # flow inside functions, between callers and callees, over the four values of each
+    "fedge": "SELECT DISTINCT l_partkey AS f, l_linenumber % 3 AS a, (l_linenumber + l_suppkey) % 4 AS b FROM lineitem WHERE l_quantity BETWEEN 5 AND 9",
+    "fcall": f"SELECT DISTINCT l_partkey * 8 + l_linenumber AS s, l_partkey AS f, min((l_suppkey * 13 + l_linenumber * 7) % {_n}) AS g FROM lineitem"
+    " WHERE l_quantity BETWEEN 10 AND 14 GROUP BY 1, 2",
+    "farg": "SELECT s, f, s % 4 AS a, g, s % 2 AS q, 2 AS r FROM fcall",
+    # field operations inside functions: 0 copy, 1 load, 2 store
+    "ffield": "SELECT DISTINCT l_partkey AS f, l_linenumber % 4 AS a, (l_linenumber + l_suppkey) % 4 AS b, l_suppkey % 3 AS op,"
+    " CASE WHEN l_linenumber % 2 = 0 THEN 'x' ELSE 'y' END AS field FROM lineitem WHERE l_quantity BETWEEN 15 AND 19",
+    "fspec": "SELECT 'rule' AS name, CASE WHEN p_size < 6 THEN 'source' WHEN p_size < 12 THEN 'sink' ELSE 'sanitizer' END AS role, p_partkey AS f FROM part WHERE p_size < 15",
     "trace": "SELECT user_id AS obj, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_type AS event FROM events",
 }
 
