@@ -40,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to Python: what a worker holds at once doesn't grow with texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches to BATCH_ROWS and BATCH_BYTES, if they are higher."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(size, "0").rstrip("b") or 0) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which grows with the cluster and its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -96,6 +109,7 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     Rows that surely stay never move; only rows of which a copy goes are looked up.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     gone = (
         decided.groupBy("row_key")
         .agg(F.bool_or("kept").alias("some_stay"), F.bool_or(~F.col("kept")).alias("some_go"))

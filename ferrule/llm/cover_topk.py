@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Points of the top net; rows of a data block and of a query block; blocks that meet in a task.
 CENTERS, BLOCK, QUERIES, BLOCKS_A_TASK, QUERY_BLOCKS_A_TASK = 64, 4096, 512, 16, 16
@@ -129,6 +129,7 @@ def _matrix(blobs, dim: int) -> np.ndarray:
 def top_k(rows: DataFrame, every: int, k: int, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each row whose id is divisible by every."""
     spark = rows.sparkSession
+    small_batches(spark)
     vectors = written(whole_vectors(rows, scale), "vectors")
     dims = [r.dim for r in vectors.select("dim").distinct().limit(1000).collect()]
     nets = {}

@@ -16,19 +16,18 @@ empty result; further columns are ignored. More than MOST_LANGUAGES labels is an
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import column_bytes, row_slices
+from .common import small_batches
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
 MOST_LANGUAGES = 500
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Smoothing of counts.
 ALPHA = 0.5
 
@@ -131,50 +130,42 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
     return langs, np.log(sums / sums.sum(axis=0)).astype(np.float32)
 
 
-def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray | None) -> DataFrame:
-    """docs with lang_pred and score."""
-    taken = {c.lower() for c in docs.columns} & {"lang_pred", "score"}
-    docs = docs.drop(*taken)
-    fields = [f.name for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+def rating(spark: SparkSession, langs: list[str], matrix: np.ndarray | None):
+    """A column function of text: its language and score."""
+    shared = spark.sparkContext.broadcast(matrix)
 
-    def predict(batches):
-        logp = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            pred, score = np.full(n, -1), np.zeros(n)
-            if logp is not None and n:
-                data, offsets = column_bytes(batch.column(fields.index("text")))
-                sums, letters = np.zeros((n, logp.shape[1])), np.zeros(n, bool)
-                for a, b, piece, at in parts(data, offsets):
-                    gram, row, lettered = features(piece, at)
-                    letters[a:b] |= lettered
-                    for k in range(logp.shape[1]):
-                        sums[a:b, k] += np.bincount(row, logp[gram, k], minlength=b - a)
-                sums -= sums.max(axis=1, keepdims=True)
-                p = np.exp(sums)
-                best = p.argmax(axis=1)
-                pred = np.where(letters, best, -1)
-                score = np.where(letters, p[np.arange(n), best] / p.sum(axis=1), 0.0)
-            names = pa.array(["und" if i < 0 else langs[i] for i in pred.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, pa.array(score, pa.float64())], [*fields, "lang_pred", "score"])
-
-    return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    def predict(text: pa.Array) -> pa.Array:
+        logp, n = shared.value, len(text)
+        pred, score = np.full(n, -1), np.zeros(n)
+        if logp is not None and n:
+            data, offsets = column_bytes(text)
+            sums, letters = np.zeros((n, logp.shape[1])), np.zeros(n, bool)
+            for a, b, piece, at in parts(data, offsets):
+                gram, row, lettered = features(piece, at)
+                letters[a:b] |= lettered
+                for k in range(logp.shape[1]):
+                    sums[a:b, k] += np.bincount(row, logp[gram, k], minlength=b - a)
+            sums -= sums.max(axis=1, keepdims=True)
+            p = np.exp(sums)
+            best = p.argmax(axis=1)
+            pred = np.where(letters, best, -1)
+            score = np.where(letters, p[np.arange(n), best] / p.sum(axis=1), 0.0)
+        names = pa.array(["und" if i < 0 else langs[i] for i in pred.tolist()], pa.string())
+        return pa.StructArray.from_arrays([names, pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    return F.arrow_udf(predict, "struct<lang_pred:string,score:double>")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
-    langs, matrix = learn(docs)
+    small_batches(docs.sparkSession)
+    rate = rating(docs.sparkSession, *learn(docs))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return identify(rows, langs, matrix).drop("text")
+    return docs.select("doc_id", held.alias("held_out"), rate("text").alias("r")).select("doc_id", "held_out", "r.lang_pred", "r.score")
 
 
 def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with their columns, whose language is known with at least such a score."""
-    langs, matrix = learn(docs)
-    columns = docs.columns
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") if c != "text" else F.col("text") for i, c in enumerate(columns)])
-    rated = identify(slim, langs, matrix).where((F.col("lang_pred") != "und") & (F.col("score") >= F.lit(least)))
-    return rated.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(columns)])
+    small_batches(docs.sparkSession)
+    r = rating(docs.sparkSession, *learn(docs))("text")
+    return docs.where((r["lang_pred"] != "und") & (r["score"] >= F.lit(least)))

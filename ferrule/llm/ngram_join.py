@@ -43,11 +43,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import column_bytes, row_slices
-from .common import keep_rows, partitions, row_key, summarised, summary, written
+from .common import keep_rows, partitions, row_key, small_batches, summarised, summary, written
 from .words import U, mix, shingle_sets
 
 #: Bytes of text that are worked on at once; shingles that a task holds before it passes them on.
-SLICE, HELD = 1 << 21, 3_000_000
+SLICE, HELD = 1 << 20, 1_000_000
 #: Sets that may hold a shingle for it to be a signature by itself.
 RARE = 8
 #: Sets, and shingles, of a verification block.
@@ -512,6 +512,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int, least: int) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (to other sets), row_key and vid of every row of docs."""
+    small_batches(docs.sparkSession)
     buckets = min(65535, partitions(docs.sparkSession))
     first = written(first_pass(docs, k, least, buckets), "first")
     opened = written(open_sets(first, frequencies(first, buckets), least, buckets), "open")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, small_batches, written
 
 LONGEST = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -124,6 +124,7 @@ def plan(count: np.ndarray, longest: int = LONGEST, tiers=TIERS) -> tuple[np.nda
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier and step of every piece."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = written(pieces(docs, path or vocabulary()), "pieces")
     count = np.zeros(LONGEST + 1, np.int64)
     for r in rows.groupBy("length").count().collect():  # at most LONGEST lengths

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LEAST = 8
 TRAIN_RUNS, TRAIN_MADE = 2000, 600
 EPOCHS, RATE, DECAY = 60, 0.5, 1e-4
@@ -282,6 +284,7 @@ def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, spans (kind, begin, end) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
 

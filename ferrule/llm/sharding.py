@@ -104,7 +104,7 @@ def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
             "shard": pa.array([k for owner in versions for k in owner], pa.int32()),
         }
     )
-    return written(spark.createDataFrame(rows), "slot-map")
+    return written(spark.createDataFrame(rows).coalesce(1), "slot-map")  # a few rows for each slot
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
