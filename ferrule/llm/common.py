@@ -49,7 +49,7 @@ def small_batches(spark: SparkSession) -> None:
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if not 0 < int(spark.conf.get(size, "0").rstrip("b") or 0) <= BATCH_BYTES:
+    if not 0 < int(spark.conf.get(size).rstrip("b")) <= BATCH_BYTES:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
