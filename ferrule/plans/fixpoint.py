@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from .store import counted, stored
+from .store import counted, one_partition, stored
 
 #: Written parts of the result after which they become one.
 PARTS = 8
@@ -41,19 +41,20 @@ def fixpoint(
     columns = seed.columns
     keys = keys or columns
     delta, n = counted(seed.dropDuplicates(keys))
-    parts, rounds = [delta], 0
+    parts, rounds, total = [delta], 0, n
     while n:
         if rounds >= max_rounds:
             raise NotConverged(f"no fixpoint after {rounds} rounds")
-        known = union(parts)
-        found = step(delta, known).select(columns).dropDuplicates(keys)
+        known = one_partition(union(parts), total)
+        found = one_partition(step(delta, known).select(columns), total).dropDuplicates(keys)
         delta, n = counted(found.join(known, keys, "left_anti").select(columns))
+        total += n
         if n:
             parts.append(delta)
         if len(parts) > PARTS:
             parts = [stored(union(parts))]
         rounds += 1
-    return union(parts)
+    return one_partition(union(parts), total)
 
 
 def repeated(hop: Callable[[DataFrame], DataFrame], times: int = 3) -> Callable[[DataFrame, DataFrame], DataFrame]:

@@ -20,6 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows up to which a relation is one partition: joins and distincts of such relations need no exchange.
+SMALL = 50_000
+
+
+def one_partition(df: DataFrame, rows: int) -> DataFrame:
+    """df in one partition if its number of rows is small."""
+    return df.coalesce(1) if rows <= SMALL else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a written table."""
     return counted(df)[0]
@@ -31,4 +40,5 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     path = f"{shared_dir(spark)}/ferrule-facts-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    n = seen.get["n"]
+    return one_partition(spark.read.schema(df.schema).parquet(path), n), n
