@@ -110,9 +110,9 @@ def orta(site, func, entry, alloc, index_method, method_class) -> DataFrame:
 def signature_matches(site, func, edges, callers) -> DataFrame:
     """Edges for unresolved sites: functions of equal type, or else of equal arity and result."""
     left = site.where("kind <> 'named'").join(callers, "f", "left_semi").join(edges.select("s"), "s", "left_anti")
-    types = func.select(F.col("f").alias("dst"), "full_type", F.col("nargs").alias("n"), F.col("ret").alias("r"))
-    exact = left.join(types, "full_type").select("s", F.col("f").alias("src"), "dst")
-    loose = left.join(exact.select("s"), "s", "left_anti").join(types, (F.col("nargs") == F.col("n")) & (F.col("ret") == F.col("r")))
+    left = left.select("s", "f", "full_type", "nargs", "ret").distinct()
+    exact = left.join(func.select(F.col("f").alias("dst"), "full_type"), "full_type").select("s", F.col("f").alias("src"), "dst")
+    loose = left.join(exact.select("s"), "s", "left_anti").join(func.select(F.col("f").alias("dst"), "nargs", "ret"), ["nargs", "ret"])
     return exact.unionByName(loose.select("s", F.col("f").alias("src"), "dst")).distinct()
 
 
@@ -169,8 +169,8 @@ def vta(site, func, flows, index_method, method_class) -> DataFrame:
     cls = flows.where("kind = 'class'").select(F.col("node").alias("recv"), F.col("what").alias("c"))
     fun = flows.where("kind = 'func'").select(F.col("node").alias("fnode"), F.col("what").alias("dst"))
     by_class = site.where("kind = 'dynamic'").join(index_method, "i").join(method_class, "m").join(cls, ["recv", "c"], "left_semi")
-    by_value = site.where("kind = 'value'").join(fun, "fnode").join(func.select(F.col("f").alias("dst"), F.col("nargs").alias("n"), F.col("ret").alias("r")), "dst")
-    by_value = by_value.where((F.col("n") == F.col("nargs")) & (F.col("r") == F.col("ret")))
+    by_value = site.where("kind = 'value'").select("s", "f", "fnode", "nargs", "ret").join(fun, "fnode")
+    by_value = by_value.join(func.select(F.col("f").alias("dst"), "nargs", "ret"), ["dst", "nargs", "ret"])
     return union(
         [
             trivial(site, func),

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from .store import counted, one_partition, stored
+from .store import SMALL, counted, one_partition, stored
 
 #: Written parts of the result after which they become one.
 PARTS = 8
@@ -47,7 +47,7 @@ def fixpoint(
             raise NotConverged(f"no fixpoint after {rounds} rounds")
         known = one_partition(union(parts), total)
         found = one_partition(step(delta, known).select(columns), total).dropDuplicates(keys)
-        delta, n = counted(found.join(known, keys, "left_anti").select(columns))
+        delta, n = counted(found.join(known, keys, "left_anti").select(columns), total <= SMALL)
         total += n
         if n:
             parts.append(delta)

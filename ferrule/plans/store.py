@@ -34,11 +34,17 @@ def stored(df: DataFrame) -> DataFrame:
     return counted(df)[0]
 
 
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """df as a written table, and its number of rows, from one job."""
+def counted(df: DataFrame, small: bool = False) -> tuple[DataFrame, int]:
+    """df as a written table, and its number of rows, from one job; small plans run without generated code."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ferrule-facts-{uuid.uuid4().hex}"
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    seen, whole = Observation(), "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(whole)
+    try:
+        if small:  # compiling such plans takes longer than running them
+            spark.conf.set(whole, "false")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    finally:
+        spark.conf.set(whole, before)
     n = seen.get["n"]
     return one_partition(spark.read.schema(df.schema).parquet(path), n), n
