@@ -8,7 +8,8 @@ outside by rule, so the chain falls into short runs between them, which are deco
 the same result as the whole chain.
 
 The weights are fitted here, on runs of a hash sample of at most TRAIN_RUNS runs of the texts,
-labelled by the patterns that name a key, and on TRAIN_MADE made-up runs of common key formats.
+labelled by the patterns that name a key (runs with tokens that look like keys, but have no name, are
+left out, as they may be either), and on TRAIN_MADE made-up runs of common key formats.
 
 Defined results: null text is empty and has no spans; positions are code points; repeated rows get
 equal results; null doc_id is kept; an empty table gives an empty result; further columns are
@@ -124,6 +125,13 @@ def labels(text: str, run: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def undecided(token: list[str], tag: int) -> bool:
+    """Whether a token that no pattern names looks so much like a key that it is no example of the contrary."""
+    seen = set(token)
+    long = any(f"length:{k}" in seen for k in range(2, 7)) and any(f"entropy:{k}" in seen for k in range(6, 14))
+    return tag == 0 and long and not seen & {"numeric", "numbers", "at", "url"}
+
+
 def made_runs(seed: int = 7) -> list[tuple[list[list[str]], list[int]]]:
     """Runs of common key formats, and of what looks like keys and is none."""
     rng = random.Random(seed)
@@ -242,6 +250,8 @@ def learn(docs: DataFrame) -> Field:
                     around = text[max(0, run[0][0] - 80) : run[-1][1] + 10]
                     shift = max(0, run[0][0] - 80)
                     tags = labels(around, [(a - shift, b - shift) for a, b in run])
+                    if any(map(undecided, seen, tags)):
+                        continue
                     digest = hashlib.md5(around.encode("utf-8", "replace")).hexdigest()
                     out.append((digest, seen[:64], tags[:64]))
             if out:
