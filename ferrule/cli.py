@@ -11,11 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import callgraph, dispatch, flow, graphs, reports, taint
+from .operators import callgraph, graphs, reports
+from .plans.program import ALGORITHMS, Program
 from .plans.store import stored
-from .sources import ir_model, ir_text, probe, sil, specs, summaries
-
-ALGORITHMS = ("chafp", "vtafp", "ucg", "ucg_no_vta", "prta", "orta")
+from .sources import ir_text, probe, sil, specs
 
 
 @dataclass
@@ -26,6 +25,8 @@ class Options:
     out: str
     algorithm: str = "ucg_no_vta"
     taint: str | None = None
+    typestate: str | None = None
+    crypto: bool = False
     libraries: bool = False
     closures: bool = False
     prune: bool = True
@@ -44,6 +45,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--out", default="ferrule-out", help="folder of results")
     p.add_argument("--cg-algo", dest="algorithm", choices=ALGORITHMS, default="ucg_no_vta")
     p.add_argument("-t", "--taint", help="taint specification (JSON)")
+    p.add_argument("-e", "--typestate", help="typestate specification (JSON)")
+    p.add_argument("--crypto", action="store_true", help="check the use of cryptography")
     p.add_argument("-l", "--libraries", action="store_true", help="library functions are entries, too")
     p.add_argument("-u", "--closures", action="store_true", help="closures are entries, too")
     p.add_argument("--no-prune", dest="prune", action="store_false", help="keep entries that have callers")
@@ -56,102 +59,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-class Program:
-    """A program's fact tables and what is derived from them."""
-
-    def __init__(self, functions: DataFrame, tables: dict[str, DataFrame] | None = None, filters: list[str] | None = None):
-        self.spark = functions.sparkSession
-        self.functions = stored(functions)
-        self.facts = {k: stored(v) for k, v in ir_model.facts_of(self.functions, filters).items()}
-        f = self.facts
-        self.func = stored(
-            f["function"].select(F.col("func").alias("f"), F.col("func").alias("name"), F.col("return_type").alias("ret"), "full_type", "nargs", "is_stub", "is_library")
-        )
-        self.tables = tables
-
-    def dispatch(self) -> tuple[DataFrame, DataFrame]:
-        if self.tables is None:
-            return self.spark.createDataFrame([], "i string, m string"), self.spark.createDataFrame([], "m string, c string")
-        t = self.tables
-        known = self.func.select(F.col("f").alias("func"))
-        nodes, edges = dispatch.build(t["witness"], t["witness_entry"], t["base"], t["vtable_entry"], known)
-        return tuple(stored(x) for x in dispatch.from_graph(stored(nodes), stored(edges)))
-
-    def sites(self) -> DataFrame:
-        """One row for each call and definition of its function symbol; with value nodes of receiver and function."""
-        f = self.facts
-        call = f["stmt"].where("kind = 'apply'").select(F.col("stmt_id").alias("s"), F.col("func").alias("f"), "callee_sym", F.col("result_type").alias("ret"), F.size("args").alias("nargs"), F.col("block_ord").alias("block"), "callee_type", F.try_element_at("args", F.lit(-1)).alias("last"), F.col("result").alias("r"))
-        defs = f["stmt"].where("result is not null").select(F.col("func").alias("f"), F.col("result").alias("callee_sym"), F.col("kind").alias("def_kind"), F.col("fn_name").alias("target"), F.col("fn_index").alias("i"))
-        args = f["param"].select(F.col("func").alias("f"), F.col("sym").alias("callee_sym"), F.lit("argument").alias("def_kind"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("i"))
-        kind = F.when(F.col("def_kind").isin("function_ref", "builtin_ref"), "named").when(F.col("def_kind") == "dynamic_ref", "dynamic").otherwise("value")
-        out = call.join(defs.unionByName(args), ["f", "callee_sym"]).withColumn("kind", kind)
-        return out.select("s", "f", "kind", "i", "target", "nargs", "ret", F.col("callee_type").alias("full_type"), "block", F.concat_ws(".", "f", "last").alias("recv"), F.concat_ws(".", "f", "callee_sym").alias("fnode"), "r").distinct()
-
-    def alloc(self) -> DataFrame:
-        return self.facts["stmt"].where("kind = 'new'").select(F.col("func").alias("f"), F.col("block_ord").alias("block"), F.regexp_replace("alloc_type", r"^[*]", "").alias("c")).distinct()
-
-    def entries(self, options: Options) -> DataFrame:
-        return callgraph.entries(self.func, options.closures, options.libraries)
-
-    def call_graph(self, options: Options) -> DataFrame:
-        """s, src, dst by the chosen algorithm."""
-        site, alloc = stored(self.sites()), stored(self.alloc())
-        index_method, method_class = self.dispatch()
-        a = options.algorithm
-        if a == "prta":
-            return callgraph.prta(site, self.func, alloc, index_method, method_class)
-        if a == "orta":
-            return callgraph.orta(site, self.func, self.entries(options), alloc, index_method, method_class)
-        base = stored(callgraph.cha(site, self.func, index_method, method_class))
-        if a == "chafp":
-            found = callgraph.signature_matches(site, self.func, base, self.func.where("not is_library").select("f"))
-            return base.unionByName(found).distinct()
-        stmt = self.facts["stmt"]
-        ret = stmt.where("kind = 'return'").select(F.col("func"), F.col("src").alias("sym"))
-        edges = callgraph.value_edges(stmt, self.facts["arg"], ret, self.facts["param"], base)
-        seeds = callgraph.value_seeds(stmt).withColumn("what", F.when(F.col("kind") == "class", F.regexp_replace("what", r"^[*]", "")).otherwise(F.col("what")))
-        flows = stored(callgraph.reaching(seeds, edges))
-        if a == "vtafp":
-            return callgraph.vta(site, self.func, flows, index_method, method_class)
-        fun = flows.where("kind = 'func'").select(F.col("node").alias("fnode"), F.col("what").alias("dst"))
-        points = site.where("kind = 'value'").join(fun, "fnode").select("s", "dst")
-        return self.unified(site, alloc, index_method, method_class, flows if a == "ucg" else None, points, options)
-
-    def unified(self, site, alloc, index_method, method_class, flows, points, options) -> DataFrame:
-        """The flow-sensitive graph; names become dense numbers, as the state holds numbers only."""
-        names = site.select(F.col("f").alias("n")).union(self.func.select("f")).union(alloc.select("c")).union(method_class.select("c")).union(method_class.select("m")).union(site.select("s"))
-        ids = stored(names.distinct().withColumn("id", F.monotonically_increasing_id()))
-
-        def num(df, *columns):
-            for c in columns:
-                df = df.join(ids.toDF(c, "id_"), c, "left").withColumn(c, F.col("id_")).drop("id_")
-            return df
-
-        n_site = stored(num(site, "s", "f", "target"))
-        index, cls = num(index_method, "m"), num(method_class, "m", "c")
-        f_flows = None
-        if flows is not None:
-            f_flows = num(flows.where("kind = 'class'").withColumnRenamed("what", "c"), "c").select("node", F.col("c").alias("what"), "kind")
-        edge = self.facts["block_edge"].where("dst >= 0").select(F.col("func").alias("f"), "src", "dst")
-        exits = self.facts["block_edge"].where("dst = -1").select(F.col("func").alias("f"), F.col("src").alias("block"))
-        found = callgraph.ucg(
-            n_site, num(self.func.select("f"), "f"), num(self.entries(options), "f"), num(alloc, "f", "c"), index, cls, num(edge, "f"), f_flows,
-            num(points, "s", "dst") if points is not None else None, num(exits, "f"),
-        )
-        back = lambda df, c: df.join(ids.toDF("n_", "id_"), F.col(c) == F.col("id_")).withColumn(c, F.col("n_")).drop("n_", "id_")
-        return back(back(back(found, "s"), "src"), "dst").select("s", "src", "dst")
-
-    def taint(self, spec: DataFrame, edge: DataFrame, sanitize: bool = False) -> DataFrame:
-        stmt = self.facts["stmt"]
-        known = summaries.summaries(self.spark)
-        edges = flow.program_edges(stmt)
-        args, rets, more = flow.program_calls(stmt, self.facts["arg"], self.facts["param"], edge, known)
-        use = self.facts["arg"].select(F.col("stmt_id").alias("s"), "idx", F.col("sym").alias("v"))
-        site = self.sites().select("s", "f", "r").distinct()
-        hits = taint.forward(spec, self.func, site, edge.select("s", "dst"), use, stored(edges.unionByName(more)), stored(args), stored(rets), sanitize)
-        return taint.paths(stored(hits), stmt)
-
-
 def load(spark: SparkSession, options: Options) -> Program:
     """The functions of all modules of a folder; a model among the textual ones takes the place of a stub of its name."""
     parts, tables = [], None
@@ -172,8 +79,8 @@ def load(spark: SparkSession, options: Options) -> Program:
 def run(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
     """Do what the options ask for and write it; the tables are returned, too."""
     program = load(spark, options)
-    edge = stored(program.call_graph(options))
-    entry = program.entries(options)
+    edge = stored(program.call_graph(options.algorithm, options.closures, options.libraries))
+    entry = program.entries(options.closures, options.libraries)
     if options.prune:
         entry = graphs.prune_entries(entry, edge)
     out = {"call_edge": edge, "entry": stored(entry)}
@@ -190,6 +97,11 @@ def run(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
         paths = stored(program.taint(spec, edge, options.sanitize))
         sites = edge.join(spec.select(F.col("method").alias("dst"), "description"), "dst").select("s", F.col("dst").alias("method"), "description").distinct()
         out["taint"] = reports.taint_json(paths, spec, sites)
+    if options.typestate and not options.call_graph_only:
+        machines = specs.typestate(spark, options.typestate)
+        out["typestate"] = reports.typestate_json(stored(program.typestate(machines, edge)), machines["machine"])
+    if options.crypto and not options.call_graph_only:
+        out["crypto"] = reports.crypto_json(stored(program.crypto(edge, options.libraries)))
     for name, df in out.items():
         target = f"{options.out}/{name}"
         if df.columns == ["value"]:

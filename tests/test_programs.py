@@ -254,3 +254,89 @@ def test_command_line(spark, tmp_path, algorithm):
     found = json.loads(out["taint"].first().json)
     assert [p["path"] for p in found["paths"]] == [["m:1:1", "m:3:1"]]
     assert json.loads(out["stats"].first().json)["resolved"] == 6
+
+
+MACHINE = """[{"style": 0, "name": "file", "type": "File", "description": "d", "advice": "a",
+ "states": [{"name": "open", "initial": true}, {"name": "closed"}, {"name": "bad", "error": true, "message": "read after close", "severity": 2}],
+ "transitions": [{"from": "open", "method": "File\\\\.close.*", "param": "This", "to": "closed", "type": "OnCall"},
+                 {"from": "closed", "method": "File\\\\.read.*", "param": "This", "to": "bad", "type": "OnCall"}]}]"""
+
+FILES = """ir_stage raw
+func @`main_app` : $`Int32` {
+bb0:
+  a = new $`File` : "m":1:1
+  b = new $`File` : "m":2:1
+  done = function_ref @`finish(it: File) -> ()`, $`Any`
+  read = function_ref @`File.read() -> ()`, $`Any`
+  x = apply done(a), $`()` : "m":3:1
+  y = apply read(a), $`()` : "m":4:1
+  z = apply read(b), $`()` : "m":5:1
+  return x
+}
+func @`finish(it: File) -> ()` : $`()` {
+bb0(it : $`File`):
+  close = function_ref @`File.close() -> ()`, $`Any`
+  r = apply close(it), $`()` : "m":9:1
+  return r
+}
+func [stub] @`File.close() -> ()` : $`()` {
+bb0(self : $`File`):
+  r = new $`()`
+  return r
+}
+func [stub] @`File.read() -> ()` : $`()` {
+bb0(self : $`File`):
+  r = new $`()`
+  return r
+}
+"""
+
+KEYS = """ir_stage raw
+func @`main_app` : $`Int32` {
+bb0:
+  text = literal [string] "0123", $`Builtin.RawPointer`
+  key = new $`String`
+  field_write text to key, _value
+  init = function_ref @`CryptoSwift.HMAC.__allocating_init(key: Swift.String) throws -> CryptoSwift.HMAC`, $`Any`
+  h = apply init(key), $`HMAC` : "m":5:1
+  given = function_ref @`app.random() -> String`, $`Any`
+  other = apply given(), $`String`
+  h2 = apply init(other), $`HMAC` : "m":7:1
+  return h
+}
+func [stub] @`app.random() -> String` : $`String` {
+bb0:
+  r = new $`String`
+  return r
+}
+func [stub] @`CryptoSwift.HMAC.__allocating_init(key: Swift.String) throws -> CryptoSwift.HMAC` : $`HMAC` {
+bb0(k : $`String`):
+  r = new $`HMAC`
+  return r
+}
+"""
+
+
+def run_program(spark, tmp_path, text, *more):
+    from ferrule import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "app.ir").write_text(text)
+    args = [str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--cg-algo", "prta", *more]
+    return cli.run(spark, cli.Options(**vars(cli.parser().parse_args(args))))
+
+
+def test_typestate_of_a_program(spark, tmp_path):
+    import json
+
+    (tmp_path / "m.json").write_text(MACHINE)
+    out = run_program(spark, tmp_path, FILES, "-e", str(tmp_path / "m.json"))
+    found = json.loads(out["typestate"].first().json)
+    assert [(e["pos"], e["state"], e["severity"]) for e in found["errors"]] == [("m:4:1", "bad", 2)]
+
+
+def test_crypto_of_a_program(spark, tmp_path):
+    import json
+
+    out = run_program(spark, tmp_path, KEYS, "--crypto")
+    assert [(r["name"], r["location"]) for r in json.loads(out["crypto"].first().json)] == [("KEY", "m:5:1")]
