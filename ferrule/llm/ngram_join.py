@@ -53,6 +53,8 @@ RARE = 8
 #: Sets, and shingles, of a verification block.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 COLUMNS = 4096
+#: Links in a partition of the tables that label propagation writes.
+ROWS_A_PART = 200_000
 
 
 def most_missing(size, least: int):
@@ -498,13 +500,16 @@ def components(edges: DataFrame) -> DataFrame:
     """v, label: the least vertex that each vertex of the edges (a, b) reaches."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.where("a <> b").distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label")), "labels")
+    parts = max(1, -(-both.count() // ROWS_A_PART))
+    few = lambda df: df.coalesce(parts)  # noqa: E731  the tables of a round are as small as the links
+    both = few(both)
+    label = written(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("label"))), "labels")
     while True:
         near = both.join(label.toDF("b", "theirs"), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
         lower = label.join(near.toDF("v", "theirs"), "v").select("v", F.col("label").alias("old"), F.least("label", "theirs").alias("label"))
-        lower = written(lower, "lower")
+        lower = written(few(lower), "lower")
         jump = lower.join(lower.select("v", "label").toDF("label", "next"), "label").select("v", "old", F.col("next").alias("label"))
-        jump = written(jump, "labels")
+        jump = written(few(jump), "labels")
         label = jump.select("v", "label")
         if jump.where("label <> old").isEmpty():
             return label
