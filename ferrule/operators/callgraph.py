@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import fixpoint, repeated, union
+from ..plans.fixpoint import PARTS, NotConverged, fixpoint, repeated, union
 from ..plans.store import counted, stored
 from .dispatch import targets
 
@@ -191,7 +191,7 @@ def ucg(
     site, alloc have a block; block_edge(f, src, dst) orders blocks, 0 the first of a function;
     exits(f, block) are the blocks a function is left from (those without successor, if not given).
     flows(node, what, kind) narrows receivers to classes that reach them (site.recv); points_to(s, dst)
-    resolves function values. The state relation is tagged: (`in`, f, block, c), (`edge`, s, m).
+    resolves function values. A block's classes are kept as 64-bit words, so sets join and grow by bit operations.
     """
     if block_edge is None:
         block_edge = site.sparkSession.createDataFrame([], "f long, src int, dst int")
@@ -210,48 +210,47 @@ def ucg(
     if points_to is not None:
         fixed = fixed.unionByName(points_to.select("s", "dst"))
     where = stored(site.select("s", "f", "block").distinct())
-    fixed = fixed.distinct()
-    # out(f, block, c) holds what may exist when the block is left; in() of a block is out() of its predecessors
-    null = F.lit(None).cast("long")
-    seed = union(
-        [
-            news.select(F.lit("out").alias("tag"), F.col("f").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.col("c").cast("long").alias("c")),
-            fixed.select(F.lit("edge").alias("tag"), F.col("s").alias("a"), F.col("dst").alias("b"), F.lit(-1).cast("long").alias("c")),
-        ]
-    )
-
-    def outs(df):
-        return df.where("tag = 'out'").select(F.col("a").alias("f"), F.col("b").cast("int").alias("block"), F.col("c"))
-
-    def calls(df):
-        return df.where("tag = 'edge'").select(F.col("a").alias("s"), F.col("b").alias("m"))
-
-    def as_out(df):
-        return df.select(F.lit("out").alias("tag"), F.col("f").cast("long").alias("a"), F.col("block").cast("long").alias("b"), F.col("c").cast("long").alias("c"))
-
-    def step(delta, known):
-        new_out, new_edge, all_out, all_edge = outs(delta), calls(delta), outs(known), calls(known)
-
-        def into(out, edge):  # a call passes what exists to the first block of its target
-            return edge.join(where, "s").join(out, ["f", "block"]).select(F.col("m").alias("f"), F.lit(0).alias("block"), "c")
-
-        def back(out, edge):  # and gets back what exists where its target is left
-            left = out.join(exits, ["f", "block"]).select(F.col("f").alias("m"), "c").distinct()
-            return edge.join(left, "m").join(where, "s").select("f", "block", "c")
-
-        return union(
-            [
-                as_out(new_out.join(block_edge.withColumnRenamed("src", "block"), ["f", "block"]).select("f", F.col("dst").alias("block"), "c")),
-                as_out(into(new_out, all_edge)),
-                as_out(into(all_out, new_edge)),
-                as_out(back(new_out, all_edge)),
-                as_out(back(all_out, new_edge)),
-                possible.join(new_out, ["f", "block", "c"]).select(F.lit("edge").alias("tag"), F.col("s").alias("a"), F.col("m").cast("long").alias("b"), F.lit(-1).cast("long").alias("c")),
-            ]
-        )
-
-    found = calls(stored(fixpoint(seed, step, max_rounds=max_rounds)))
-    return found.join(where, "s").select("s", F.col("f").alias("src"), F.col("m").alias("dst"))
+    # classes as 64-bit words: word c div 64 of a block's set, bit c mod 64
+    word, bit = F.floor(F.col("c") / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("c"), F.lit(64)).cast("int"))
+    cell = ["f", "block", "w"]
+
+    def merged(df: DataFrame) -> DataFrame:
+        return df.groupBy(*cell).agg(F.bit_or("bits").alias("bits"))
+
+    seeds = news.select("f", F.col("block").cast("int").alias("block"), word.alias("w"), bit.alias("bits"))
+    new_out, outs_n = counted(merged(seeds))
+    new_edge, edges_n = counted(fixed.select("s", F.col("dst").alias("m")).distinct())
+    possible = stored(possible.withColumn("w", word).withColumn("bit", bit).drop("c"))
+    outs, edges = [new_out], [new_edge]
+    for _ in range(max_rounds):
+        if not outs_n and not edges_n:
+            break
+        all_out, all_edge = union(outs), union(edges)
+
+        def into(out: DataFrame, edge: DataFrame) -> DataFrame:
+            """A call passes what exists to the first block of its target."""
+            return edge.join(where, "s").join(out, ["f", "block"]).select(F.col("m").alias("f"), F.lit(0).alias("block"), "w", "bits")
+
+        def back(out: DataFrame, edge: DataFrame) -> DataFrame:
+            """It gets back what exists where its target is left."""
+            left = out.join(exits, ["f", "block"]).groupBy(F.col("f").alias("m"), "w").agg(F.bit_or("bits").alias("bits"))
+            return edge.join(left, "m").join(where, "s").select("f", "block", "w", "bits")
+
+        nxt = new_out.join(block_edge.withColumnRenamed("src", "block"), ["f", "block"]).select("f", F.col("dst").cast("int").alias("block"), "w", "bits")
+        found = merged(union([nxt, into(new_out, all_edge), into(all_out, new_edge), back(new_out, all_edge), back(all_out, new_edge)]))
+        known = merged(all_out).withColumnRenamed("bits", "had")
+        fresh = found.join(known, cell, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+        hit = possible.join(new_out, cell).where(F.col("bit").bitwiseAND(F.col("bits")) != 0).select("s", "m").distinct()
+        more_edge, edges_n = counted(hit.join(all_edge, ["s", "m"], "left_anti"))
+        new_out, outs_n = counted(fresh.where("bits <> 0").select(*cell, "bits"))
+        new_edge = more_edge
+        outs.append(new_out)
+        edges.append(new_edge)
+        if len(outs) > PARTS:
+            outs, edges = [stored(merged(union(outs)))], [stored(union(edges))]
+    else:
+        raise NotConverged(f"no fixpoint after {max_rounds} rounds")
+    return union(edges).join(where, "s").select("s", F.col("f").alias("src"), F.col("m").alias("dst"))
 
 
 def by_queries(site, func, resolve: Callable[[DataFrame], DataFrame], index_method, method_class, mode: str = "none", alloc: DataFrame | None = None, receivers: DataFrame | None = None) -> DataFrame:
