@@ -516,7 +516,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int, least: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (to other sets), row_key and vid of every row of docs."""
+    """doc_id, n_shingles, component_id, n_links (to other sets), row_key, set and component of every row of docs.
+
+    component_id is a doc_id, which may be null or stand for several components; component names one, by a set's vid.
+    """
     small_batches(docs.sparkSession)
     buckets = min(65535, partitions(docs.sparkSession))
     first = written(first_pass(docs, k, least, buckets), "first")
@@ -531,9 +534,9 @@ def near_duplicates(docs: DataFrame, k: int, least: int) -> DataFrame:
     links = found.groupBy("vid").agg(F.sum("links").alias("n_links"))
     members = label.toDF("vid", "label").join(sets.select("vid", "least_id"), "vid")
     tops = members.groupBy("label").agg(F.min("least_id").alias("top"))
-    told = members.select("vid", "label").join(tops, "label").join(links, "vid").select("vid", "top", "n_links")
+    told = members.select("vid", "label").join(tops, "label").join(links, "vid").select("vid", "label", "top", "n_links")
     told = sets.select("set", "vid", "least_id", "n").join(told, "vid", "left")
-    told = told.select("set", "vid", "least_id", "top", "n_links")
+    told = told.select("set", "vid", "least_id", "label", "top", "n_links")
     empty = F.col("n") == 0
     return rows.join(told, ["set", "vid"]).select(
         "doc_id",
@@ -542,18 +545,23 @@ def near_duplicates(docs: DataFrame, k: int, least: int) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         "row_key",
         "set",
+        F.coalesce("label", "vid").alias("component"),
     )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
-    """The rows of docs, with their columns, of which each component keeps one, its smallest id.
+    """The rows of docs, with their columns, of which each component keeps one, its smallest id (null if it has no other).
 
     Rows without words are components by themselves and stay; of rows with equal id and text one stays.
     """
     found = written(near_duplicates(docs, k, least), "components")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    chosen = first.select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("chosen")).distinct()
+    rows = found.where("n_shingles > 0").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "n")).alias("first"))
+    first = written(first.select("first.row_key", "first.n"), "chosen")
+    chosen = first.select("row_key", F.lit(True).alias("chosen")).distinct()
     decided = found.join(chosen, "row_key", "left").select(
         "row_key", (F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)).alias("kept")
     )
-    return keep_rows(docs, decided)
+    # all copies of a chosen row have its key: that one of them goes leaves one
+    repeated = first.where("n > 1").select("row_key", F.lit(False).alias("kept"))
+    return keep_rows(docs, decided.unionByName(repeated))

@@ -97,6 +97,23 @@ def test_one_of_each_component(spark, docs):
     assert len(blank) == 3
 
 
+def test_one_of_each_component_of_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    text = lambda: [f"w{rng.randrange(10_000)}" for _ in range(40)]
+    rows = [(None if i % 3 == 0 else i % 7, text()) for i in range(60)]  # unrelated texts
+    near = text()
+    rows += [(None, near), (50, near[:-1] + ["end"]), (40, near)]  # one component, null id first
+    far = text()
+    rows += [(None, far), (None, far[:-1] + ["end"]), (None, far)]  # one without any id
+    rows += [(90, text())] * 3 + [(None, ["lone", "row"])] * 2
+    rows = [(i, " ".join(t)) for i, t in rows] + [(None, None), (None, " ")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5, 80)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    want = Counter(rows[:60] + [rows[62], rows[66], rows[69], *rows[-2:]])
+    left = Counter({x: n for x, n in got.items() if x not in rows[63:66]})
+    assert left == want and sum(n for x, n in got.items() if x in rows[63:66]) == 1
+
+
 def test_words_of_any_size():
     from ferrule.llm import words as w
 
