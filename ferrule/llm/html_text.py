@@ -2,8 +2,9 @@
 
 Pages are range-sorted by host and URL path, so that a page's nearest URL stands beside it
 wherever the ranges fall and however hot its host is. A page is read into lines: the text of
-each block, or of a whole region that markup or its names declare to be no content (menus,
-headers, footers, sidebars, notices, adverts, forms, reader comments). A region's line is known
+each block, or of a whole region that an element, its role or an unambiguous whole name declares
+to be no content (menus, headers, footers, sidebars, adverts, forms, reader comments); elements
+that hold the page or the article open none by name or role. A region's line is known
 by its place in the page's template, since what menus and adverts say differs from page to
 page; a content line by its text. The lines of page and neighbour are aligned by a longest common
 subsequence, and shared lines are deleted.
@@ -45,11 +46,17 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
-NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies discussion share sharing social related recommended toolbar pagination pager login signup search widget".split()
+#: Names that say no content wherever they stand; and those that do outside an article.
+ANYWHERE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies gdpr newsletter subscribe subscription comments disqus breadcrumb breadcrumbs navbar".split()
 )
-#: Names that say little inside an article, whose own heading may be so called.
-MILD = frozenset("header masthead notice alert widget banner".split())
+OUTSIDE = ANYWHERE | frozenset("banner sidebar rail menu nav navigation footer header masthead toolbar pagination pager login signup".split())
+#: Names that add nothing to one of the above, as in site-footer or cookie-notice.
+NEUTRAL = frozenset("site global main top bottom left right primary secondary notice bar box block".split())
+#: Elements that hold the page or its text: names and roles open no region there.
+HOLDERS = frozenset("html body main article".split())
+#: Elements of text; inside an article names open no region there.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dl dt dd".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z/][^>]*+(?:>|\Z)", re.S
@@ -58,21 +65,36 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _PARTS = re.compile(r"[a-z]+")
 
 
+def _named(value: str, known: frozenset) -> str | None:
+    """The first name of a class or id value that is a known one, all of it but neutral parts."""
+    for name in value.split():
+        parts = _PARTS.findall(name)
+        told = [x for x in parts if x in known]
+        if told and all(x in known or x in NEUTRAL for x in parts):
+            return told[0]
+    return None
+
+
 def _declared(tag: str, attributes: str, in_article: bool) -> str | None:
     """What region the element declares, if one that is no content."""
+    if tag in ("html", "body"):
+        return None
     if tag in REGIONS and not (in_article and tag == "header"):
         return tag
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
-            if name == "role" and value in ROLES:
-                return f"{tag}[{value}]"
             if name == "aria-hidden" and value == "true":
                 return f"{tag}[hidden]"
-            if name in ("class", "id"):
-                for part in _PARTS.findall(value):
-                    if part in NAMES and not (in_article and part in MILD):
-                        return f"{tag}.{part}"
+            if tag in HOLDERS:
+                continue
+            if name == "role" and value in ROLES:
+                return f"{tag}[{value}]"
+            # within an article an id is the anchor of one of its sections
+            if name == "class" or name == "id" and not in_article:
+                part = None if in_article and tag in TEXTS else _named(value, ANYWHERE if in_article else OUTSIDE)
+                if part:
+                    return f"{tag}.{part}"
     elif re.search(r"\bhidden\b", attributes):
         return f"{tag}[hidden]"
     return None
@@ -203,10 +225,7 @@ def main_text(page: list[tuple[str, str | None, bool]], neighbours: list[list[tu
         if 3 * content <= 2 * max(size, theirs):
             gone |= {i for i in common if not page[i][2]}
             break
-    has_article = any(article for *_, article in page)
-    return " ".join(
-        text for i, (text, region, article) in enumerate(page) if i not in gone and region is None and (article or not has_article)
-    )
+    return " ".join(text for i, (text, region, _) in enumerate(page) if i not in gone and region is None)
 
 
 def nearness(a: str, b: str) -> int:

@@ -341,6 +341,25 @@ def test_main_text(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="has-sidebar"><p>Kept text</p></body>',
+        '<html id="search"><body class="menu"><p>Kept text</p>',
+        '<body><div class="content no-ads"><p>Kept text</p></div></body>',
+        '<main class="search-results"><p>Kept text</p></main>',
+        '<article class="related" role="dialog"><p>Kept text</p></article>',
+        '<article><section id="discussion">Kept</section><h2 class="promo">text</h2></article>',
+        '<article><h2 id="search">Kept</h2><p class="related-work">text</p></article>',
+        "<p>Kept</p><article>text</article>",
+    ],
+)
+def test_names_alone_cut_no_content(page):
+    drop = '<nav>x</nav><div class="ad">x</div><div id="site-footer">x</div><div role="search">x</div>'
+    assert html_text.main_text(html_text.lines(page), []) == "Kept text"
+    assert html_text.main_text(html_text.lines(drop + page), []) == "Kept text"
+
+
 def test_shared_lines_are_deleted_outside_articles():
     a, b, c = (html_text.lines(f"<body><div>Shared notice text</div><p>{x}</p><div>Shared foot</div></body>") for x in ("Story number one is here", "Another story", "Story number one is here"))
     assert html_text.main_text(a, [b]) == "Story number one is here"
