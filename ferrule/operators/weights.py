@@ -24,47 +24,58 @@ SHARE, STOP, RESET = 1 / 8, 1e-3, 1e-12
 MOST_EDGES = 5_000_000
 
 
-def relaxed(edges: pd.DataFrame, lost: set[int], max_steps: int = 1_000_000) -> pd.DataFrame:
-    """src, dst, weight of each edge; flow runs from dst to src, node -1 is the root."""
-    src, dst = edges.src.to_numpy(), edges.dst.to_numpy()
-    nodes = sorted(set(src.tolist()) | set(dst.tolist()))
+def relaxed(edges: pd.DataFrame, lost: set[int]) -> pd.DataFrame:
+    """src, dst, weight of each edge; flow runs from dst to src, node -1 is the root.
+
+    Ends when no edge has a difference of STOP: each step lowers the sum of squared levels, so there is an end.
+    """
+    src, dst = edges.src.tolist(), edges.dst.tolist()
+    nodes = sorted(set(src) | set(dst))
     level = {n: 1.0 if n in lost else 0.0 for n in nodes}
     at: dict[int, list[int]] = {n: [] for n in nodes}
-    for e, (a, b) in enumerate(zip(src.tolist(), dst.tolist())):
-        at[a].append(e)
+    for e, (a, b) in enumerate(zip(src, dst)):
+        if a != -1:  # the root's level never changes
+            at[a].append(e)
         if b != a:
             at[b].append(e)
     flow = [0.0] * len(edges)
-    force = lambda e: level[int(dst[e])] - level[int(src[e])]
-    heap = [(-force(e), e) for e in range(len(edges))]
+    force = lambda e: level[dst[e]] - level[src[e]]
+    queued = [force(e) for e in range(len(edges))]  # what each edge stands for in the heap, never less than its force
+    heap = [(-f, e) for e, f in enumerate(queued) if f >= STOP]
     heapq.heapify(heap)
     steps = 0
-    while heap and steps < max_steps:
+    while heap:
         f, e = heapq.heappop(heap)
+        if -f != queued[e]:
+            continue
         now = force(e)
-        if now < -f - 1e-15:  # it has sunk since
-            heapq.heappush(heap, (-now, e))
+        if now < -f:  # it has sunk since
+            queued[e] = now
+            if now >= STOP:
+                heapq.heappush(heap, (-now, e))
             continue
-        if now < STOP:
-            break
-        a, b = int(src[e]), int(dst[e])
+        a, b = src[e], dst[e]
         moved = now * SHARE
         flow[e] += moved
         level[a], level[b] = level[a] + moved, level[b] - moved
         steps += 1
         for n in (a, b):
-            if n in lost:
-                level[n] = max(level[n], steps * RESET)
+            if n not in lost:
+                level[n] = steps * RESET
         if -1 in level:
             level[-1] = 0.0
+        queued[e] = 0.0  # it is in the heap no more
         for n in (a, b):
             for x in at[n]:
-                if force(x) >= STOP:
-                    heapq.heappush(heap, (-force(x), x))
+                now = force(x)
+                if now > queued[x]:
+                    queued[x] = now
+                    if now >= STOP:
+                        heapq.heappush(heap, (-now, x))
     return pd.DataFrame({"src": src, "dst": dst, "weight": flow})
 
 
-def edge_weights(super_entry, super_edge, sub_entry, sub_edge, max_steps: int = 200_000) -> DataFrame:
+def edge_weights(super_entry, super_edge, sub_entry, sub_edge) -> DataFrame:
     """src, dst, weight: how much each edge or entry (src -1) of the larger graph explains of what it adds."""
     edge = super_edge.select("src", "dst").distinct().unionByName(super_entry.select(F.lit(-1).cast("long").alias("src"), F.col("f").alias("dst")).distinct())
     extra = stored(reachable(super_entry, super_edge).subtract(reachable(sub_entry, sub_edge)))
@@ -79,11 +90,11 @@ def edge_weights(super_entry, super_edge, sub_entry, sub_edge, max_steps: int =
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["src", "dst"])
-        return relaxed(group, set(group.dst[group.lost.notna()].tolist()), max_steps)
+        return relaxed(group, set(group.dst[group.lost.notna()].tolist()))
 
     return rows.groupBy("g").applyInPandas(run, "src long, dst long, weight double")
 
 
-def node_weights(super_entry, super_edge, sub_entry, sub_edge, max_steps: int = 200_000) -> DataFrame:
+def node_weights(super_entry, super_edge, sub_entry, sub_edge) -> DataFrame:
     """f, weight: the flow that leaves each function towards its callers."""
-    return edge_weights(super_entry, super_edge, sub_entry, sub_edge, max_steps).groupBy(F.col("dst").alias("f")).agg(F.sum("weight").alias("weight"))
+    return edge_weights(super_entry, super_edge, sub_entry, sub_edge).groupBy(F.col("dst").alias("f")).agg(F.sum("weight").alias("weight"))

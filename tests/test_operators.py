@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ferrule.operators import annotations, callgraph, crypto, graphs, merge, query_engine, reports, typestate, unify
+from ferrule.operators import annotations, callgraph, crypto, graphs, merge, query_engine, reports, typestate, unify, weights
 from ferrule.plans.fixpoint import NotConverged, fixpoint
 from ferrule.sources import probe, specs, summaries
 from ferrule import streaming
@@ -247,3 +247,35 @@ def test_typestate_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.obj, r.ord, r.state) for r in spark.table("states").collect()} == {(1, 1, "opened"), (1, 2, "closed"), (2, 1, "error"), (1, 3, "error")}
+
+
+def test_edge_weights_run_to_the_end(spark):
+    n = 5000  # each takes 52 steps: more than 200,000
+    entry = spark.range(n).select(F.col("id").alias("f"))
+    none = pairs(spark, [])
+    got = weights.edge_weights(entry, none, entry.limit(0), none).collect()
+    assert len(got) == n and all(r.src == -1 and r.weight == pytest.approx(1 - (7 / 8) ** 52) for r in got)
+
+
+def test_relaxation_is_that_of_the_largest_difference():
+    import pandas as pd
+
+    rng = random.Random(5)
+    for _ in range(20):
+        edge = sorted({(rng.randrange(-1, 8), rng.randrange(8)) for _ in range(14)})
+        lost = set(rng.sample(range(8), 4)) & {b for _, b in edge}
+        level = {i: float(i in lost) for i in range(-1, 8)}
+        flow, steps = [0.0] * len(edge), 0
+        while True:
+            force = [level[b] - level[a] for a, b in edge]
+            e = max(range(len(edge)), key=lambda i: (force[i], -i))
+            if force[e] < 1e-3:
+                break
+            moved, steps = force[e] / 8, steps + 1
+            flow[e] += moved
+            a, b = edge[e]
+            level[a] += moved
+            level[b] -= moved
+            level |= {x: steps * 1e-12 for x in (a, b) if x not in lost} | {-1: 0.0}
+        got = weights.relaxed(pd.DataFrame(edge, columns=["src", "dst"]), lost)
+        assert got.weight.tolist() == pytest.approx(flow)
