@@ -48,7 +48,7 @@ ENTITY = "|".join(
         r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
         r"(?<![\w+.-])\d(?:[ -]?\d){12,18}(?!\d)",
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)",
-        r"(?<!\w)\+\d{8,15}(?!\w)",
+        r"(?<!\w)\+\d(?:[ ./-]?\(?\d\)?){7,14}(?!\w)",  # in groups of any size: 8 to 15 digits in all
         r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
         rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?![\p{{L}}\p{{N}}])",
         rf"(?<![\p{{L}}\p{{N}}])(?:{_given}) \p{{Lu}}\p{{L}}+(?![\p{{L}}\p{{N}}])",
@@ -148,8 +148,11 @@ def in_layout(m: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
 
 
-def new_name(m: Column, h: Column, secret: str) -> Column:
-    """Title kept; a given name of the list for another of its gender and script; a drawn surname."""
+def new_name(m: Column, h: Column, attempt: Column, secret: str) -> Column:
+    """Title kept; a given name of the list for another of its gender and script; the last word for a drawn surname.
+
+    A surname has a syllable more with each attempt, so that there are always more of them than entities.
+    """
     parts = F.split(m, " ")
     turn = F.conv(F.substring(F.sha2(F.lit(secret + "\x1fgiven"), 256), 1, 4), 16, 10).cast("int")
 
@@ -164,7 +167,7 @@ def new_name(m: Column, h: Column, secret: str) -> Column:
     def surname(p):
         def pick(pool):
             array = F.array(*[F.lit(x) for x in pool])
-            return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(array, number(h, i, len(pool)) + 1)), "")
+            return F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(array, number(h, i, len(pool)) + 1)), "")
 
         return F.initcap(F.when(p.rlike(r"^\p{IsCyrillic}"), pick(SYLLABLES_CYR)).otherwise(pick(SYLLABLES)))
 
@@ -172,7 +175,8 @@ def new_name(m: Column, h: Column, secret: str) -> Column:
     last = F.size(parts)
 
     def one(p, i):
-        return F.when(p.rlike(title), p).when(p.isin([*GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M]), given(p)).when(i == last - 1, surname(p)).otherwise(
+        # the last word is what tells the entity, also if it is a given name
+        return F.when(p.rlike(title), p).when(i == last - 1, surname(p)).when(p.isin([*GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M]), given(p)).otherwise(
             letters_and_digits(p, h, False)
         )
 
@@ -214,7 +218,7 @@ def surrogates(entities: Column, secret: str) -> Column:
         plain = F.concat(F.substring(x["c"], 1, 2), letters_and_digits(F.substring(x["c"], F.lit(3), F.length(x["c"])), h))
         iban = F.when(m.contains(" "), F.trim(F.regexp_replace(plain, "(.{4})", "$1 "))).otherwise(plain)
         return (
-            F.when(t == "email", email).when(t == "ip", octets).when(t == "iban", iban).when(t == "name", new_name(m, h, secret)).otherwise(in_layout(m, x["d"]))
+            F.when(t == "email", email).when(t == "ip", octets).when(t == "iban", iban).when(t == "name", new_name(m, h, x["attempt"], secret)).otherwise(in_layout(m, x["d"]))
         )
 
     return F.transform(F.transform(F.transform(F.transform(entities, split), digits), checked), written_out)
@@ -240,7 +244,7 @@ def attempts(entities: DataFrame, secret: str) -> DataFrame:
         first = drawn.groupBy("t", "s").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "s", "first")
         known = entities.select("t", F.lower("c").alias("s")).distinct().withColumn("known", F.lit(True))
         tried = drawn.join(first, ["t", "s"], "left").join(known, ["t", "s"], "left")
-        again = (F.col("first").isNotNull() & (F.col("first") != F.col("c"))) | (F.col("known").isNotNull() & (F.col("attempt") < 12))
+        again = (F.col("first").isNotNull() & (F.col("first") != F.col("c"))) | F.col("known").isNotNull()
         tried = written(tried.select("t", "c", "attempt", again.alias("again")), "tried")
         if tried.where("again").isEmpty():
             return tried.where("attempt > 0").select("t", "c", "attempt")

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -472,3 +473,22 @@ def test_surrogates(spark, none):
 
 def test_row_keys_of_nulls(docs):
     assert docs.select(row_key().alias("k")).where("k is null").count() == 0
+
+
+def test_more_surnames_than_short_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", ["bar", "cal"])
+    short = ["".join(x).capitalize() for x in itertools.product(["bar", "cal"], repeat=4)]  # every first draw is known
+    real = [*short, "Weber", "Thomas", "William", "Élan"]
+    table = spark.createDataFrame([(i, f"Mr {name}") for i, name in enumerate(real)], "doc_id long, text string")
+    new = [r.text for r in pii.pseudonymise(table, "key").collect()]
+    assert len(set(new)) == len(real) and not set(new) & {f"Mr {name}" for name in real}
+
+
+def test_grouped_international_numbers(spark):
+    numbers = ["+49 30 1234567", "+33 1 23 45 67 89", "+44 20 7946 0958", "+44 (0)20 7946 0959", "+4930123456", "+1 (499) 555-6503"]
+    table = spark.createDataFrame([(i, f"Call {x}, or 12 +3 45.") for i, x in enumerate([*numbers, "+1 23 456"])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(table, "key").collect()}
+    for i, x in enumerate(numbers):
+        layout = re.escape("".join("0" if c.isdigit() else c for c in x)).replace("0", r"\d")
+        assert got[i].n_phone == 1 and x not in got[i].text and re.fullmatch(rf"Call {layout}, or 12 \+3 45\.", got[i].text)
+    assert got[len(numbers)].n_phone == 0
