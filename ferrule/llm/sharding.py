@@ -6,10 +6,11 @@ rebalancing edits the map into a new version, moving only slots of shards above
 Only slot totals (SLOTS numbers, whatever the input) ever reach the driver.
 
 Law: `bytes`, the shards' sizes are near equal. A hot record key cannot unbalance it, as the
-hash takes the id and the text's checksum together.
+hash takes the id and the text's checksum together, and the row's number, too, where equal
+rows are more than HOT times what a slot holds on average.
 
 Defined results: null text has no bytes and checksum 0; null doc_id hashes as null; repeated
-rows are placed one by one, those equal in all respects in one slot; an empty table gives an
+rows are placed one by one, those equal in all respects in one slot if they are few; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -27,6 +28,8 @@ SLOTS = 8192
 SHARDS = 24
 #: Fixed part of a record's size, in bytes.
 RECORD_BYTES = 8
+#: Equal rows are spread over slots beyond so many times a slot's mean number of rows.
+HOT = 4
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -39,6 +42,22 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
+def spread(rows: DataFrame, count: dict[int, int], slots: int) -> DataFrame | None:
+    """rows, written, with slots by row number too for records repeated too often; None if there are none."""
+    most = HOT * sum(count.values()) / slots
+    if max(count.values(), default=0) <= max(1, most):
+        return None
+    # fewer than slots / HOT records can be so frequent
+    hot = rows.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, most))
+    hot = written(hot.select(F.col("doc_id").alias("hot_id"), F.col("text_crc32").alias("hot_crc32"), F.lit(True).alias("hot")), "hot")
+    if hot.isEmpty():
+        return None
+    same = F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("text_crc32") == F.col("hot_crc32"))
+    salted = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
+    joined = rows.join(F.broadcast(hot), same, "left")
+    return written(joined.select("doc_id", "size", "text_crc32", F.when(F.col("hot"), salted).otherwise(F.col("vslot")).alias("vslot")), "spread")
+
+
 def first_map(slots: int, shards: int) -> list[int]:
     """Version 0: slots dealt round."""
     return [s % shards for s in range(slots)]
@@ -107,12 +126,21 @@ def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
     return written(spark.createDataFrame(rows).coalesce(1), "slot-map")  # a few rows for each slot
 
 
+def totals(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Bytes and rows of each virtual slot."""
+    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+    return {r.vslot: r.bytes for r in sums}, {r.vslot: r.n for r in sums}
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot and map_version of every row."""
     spark = docs.sparkSession
-    rows = written(records(docs, slots), "records")
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-    load, count = {r.vslot: r.bytes for r in sums}, {r.vslot: r.n for r in sums}
+    rows = written(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
+    load, count = totals(rows)
+    even = spread(rows, count, slots)
+    if even is not None:
+        rows = even
+        load, count = totals(rows)
     owner = first_map(slots, shards)
     versions = [owner, rebalanced(owner, load, shards)]
     owner, base, start = versions[-1], [0] * shards, []

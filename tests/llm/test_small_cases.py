@@ -166,6 +166,18 @@ def test_shards_are_near_equal(spark):
     assert len(sums) == 24 and max(sums) - min(sums) < 0.01 * max(sums)
 
 
+def test_repeated_rows_are_spread(spark):
+    same = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = same.unionByName(spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("y").alias("text")))
+    got = sharding.shard(rows).collect()
+    sums, slots = Counter(), Counter(r.vslot for r in got)
+    for r in got:
+        sums[r.shard] += r.size
+    assert len(got) == 12_000 and len(sums) == 24 and max(sums.values()) - min(sums.values()) < 0.01 * max(sums.values())
+    assert max(slots.values()) < 20
+    assert len({(r.shard, r.slot) for r in got}) == len(got)
+
+
 def test_slot_maps_move_little():
     rng = random.Random(2)
     load = {s: rng.randrange(1, 100) for s in range(512)}
