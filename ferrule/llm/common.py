@@ -32,12 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting by which the shuffle files of a job go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here."""
+    """Write df as a table in the shared folder and read it back: lineage ends here, and shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ferrule-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    try:
+        spark.conf.set(_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def erased(*tables: DataFrame) -> None:
+    """Remove tables that `written` returned, once nothing that is still to run reads them."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if isinstance(path, str):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 #: Rows and bytes of a batch that goes to Python: what a worker holds at once doesn't grow with texts.
@@ -74,11 +95,20 @@ def text_or_empty(name: str = "text"):
 SUMMARY_BITS = 1 << 26
 
 
+#: The two columns that name a row.
+ROW = ("row_key", "row_check")
+
+
 def row_key():
-    """A hash of a row's id and text, by which its decision finds it again; rows that share it are equal in both."""
+    """A hash of a row's id and text; with row_check, 128 bits by which its decision finds it again."""
     return F.xxhash64("doc_id", "text")
 
 
+def row_check():
+    """A second hash of a row's id and text, by other seeds."""
+    return F.xxhash64(F.lit("check"), "text", F.lit("check"), "doc_id")
+
+
 def summary(keys: DataFrame, name: str):
     """The keys' bits in a bitmap of SUMMARY_BITS, on the driver: its size does not depend on the input.
 
@@ -104,14 +134,14 @@ def summarised(bits, keys):
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs that stay, by decided (row_key, kept); of rows with one key that both stay and go, one stays.
+    """The rows of docs that stay, by decided (row_key, row_check, kept); of rows with one name that both stay and go, one stays.
 
     Rows that surely stay never move; only rows of which a copy goes are looked up.
     """
     spark = docs.sparkSession
     small_batches(spark)
     gone = (
-        decided.groupBy("row_key")
+        decided.groupBy(*ROW)
         .agg(F.bool_or("kept").alias("some_stay"), F.bool_or(~F.col("kept")).alias("some_go"))
         .where("some_go")
         .drop("some_go")
@@ -125,12 +155,12 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     may_go = F.pandas_udf(check, "boolean")
 
     columns = docs.columns
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], row_key().alias("row_key"))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], row_key().alias("row_key"), row_check().alias("row_check"))
     keyed = keyed.withColumn("may_go", may_go("row_key"))
-    looked = keyed.where("may_go").join(gone, "row_key", "left")
-    stay = keyed.where(~F.col("may_go")).drop("row_key", "may_go")
+    looked = keyed.where("may_go").join(gone, list(ROW), "left")
+    stay = keyed.where(~F.col("may_go")).drop(*ROW, "may_go")
     new = looked.where(F.col("some_stay").isNull())
-    one = looked.where("some_stay").dropDuplicates(["row_key"])
+    one = looked.where("some_stay").dropDuplicates(list(ROW))
     out = stay
     for more in (new, one):
         out = out.unionByName(more.select(stay.columns))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, partitions, power_at_least, row_key, text_or_empty, written
+from .common import ROW, SPACE, partitions, power_at_least, row_check, row_key, text_or_empty, written
 
 #: Runs that meet in one merge.
 FAN = 4
@@ -32,14 +32,14 @@ def digests(docs: DataFrame) -> DataFrame:
     """Row number, length, digest and check facts of every row."""
     norm = F.regexp_replace(text_or_empty(), f"[{SPACE}]+", "")
     return (
-        docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_cp"), norm.alias("norm"), row_key().alias("row_key"))
+        docs.select("doc_id", F.length(text_or_empty()).cast("long").alias("n_cp"), norm.alias("norm"), row_key().alias("row_key"), row_check().alias("row_check"))
         .select(
             "doc_id",
             "n_cp",
             F.sha2(F.col("norm").cast("binary"), 256).alias("digest"),
             F.octet_length("norm").cast("long").alias("norm_len"),
             F.xxhash64("norm").alias("check"),
-            "row_key",
+            *ROW,
         )
         .withColumn("rid", F.monotonically_increasing_id())
     )
@@ -53,7 +53,7 @@ def _digit(col, r: int):
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, rid and row_key, a row for each row of docs."""
+    """doc_id, keep_id, group_size, kept, text_sha256, rid, row_key and row_check, a row for each row of docs."""
     spark = docs.sparkSession
     runs = power_at_least(partitions(spark), FAN)
     rows = written(digests(docs), "digests").withColumn("run", F.pmod(F.xxhash64("rid"), F.lit(runs)))
@@ -83,5 +83,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.col("best.rid") == F.col("rid")).alias("kept"),
         F.col("digest").alias("text_sha256"),
         "rid",
-        "row_key",
+        *ROW,
     )

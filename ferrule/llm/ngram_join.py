@@ -16,21 +16,26 @@ after t losses is in the other's prefix, too, so sets that link share a signatur
 in one set only can't match, so sets with t + 1 of these, nearly all in most corpora, are done.
 
 Verification. Each signature makes its first set in a hash order its pivot; sets that share a
-signature share a pivot. The sets of a pivot are verified among each other, exactly, by products
-of their incidence matrices in tasks for pairs of blocks of bounded size, so neither a common
-passage nor a group of thousands of near copies ends in one task, and no pairs are written.
-Each task returns the links' components within it; label propagation with pointer jumping joins
-them. A link counts where its pivot is the first that both sets have.
+signature share a pivot, and form its group. A group is cut into blocks of bounded size. First
+each block is verified exactly, within itself and with one block of its group, by products of
+incidence matrices; label propagation with pointer jumping joins the links into components.
+Then only sets outside their group's main component are verified with the rest of the group,
+in one block of them, then two, four and so on, as long as there are such sets: what is in one
+component already needs no further link. A dense group of copies ends with its first round, whose
+work is in proportion to its sets; each pair of a group that shares no component has been verified
+at the end, so no link that joins components is lost. No pairs are written, only stars of links.
+
+Sets are named by 128 bits of their shingles' digest. A 64-bit name (vid) only finds candidates:
+sets that share one are verified each for itself.
 
 Data between tasks goes in packed arrays. All is recomputable from the input and from tables in
-the shared folder.
+the shared folder; such tables are erased once nothing reads them any more.
 
 Defined results: documents without words (null text among them) have no shingles and link with
 none, so are components by themselves; one with fewer than k words has one shingle, the whole
 sequence; equal sets always link; repeated rows are as any equal sets; null doc_id is ignored
 in smallest ids unless a component has no other; an empty table gives an empty result; further
-columns are ignored. Different sets whose 64-bit hashes collide, about one pair in 10**19, would
-count as one.
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import column_bytes, row_slices
-from .common import keep_rows, partitions, row_key, small_batches, summarised, summary, written
+from .common import ROW, erased, keep_rows, partitions, row_check, row_key, small_batches, summarised, summary, written
 from .words import U, mix, shingle_sets
 
 #: Bytes of text that are worked on at once; shingles that a task holds before it passes them on.
@@ -53,6 +58,8 @@ RARE = 8
 #: Sets, and shingles, of a verification block.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
 COLUMNS = 4096
+#: Tasks that share what is looked up for the sets of a pivot.
+SALTS = 64
 #: Links in a partition of the tables that label propagation writes.
 ROWS_A_PART = 200_000
 
@@ -120,13 +127,13 @@ def joined(rows, name: str, kind) -> np.ndarray:
 
 # --- first pass: sets, and the counted shingles of each band -----------------------------
 
-_FIRST = "kind int, doc_id long, set binary, vid long, n long, row_key long, bucket int, a binary, b binary, c binary"
+_FIRST = "kind int, doc_id long, set binary, vid long, n long, row_key long, row_check long, bucket int, a binary, b binary, c binary"
 
 
 def first_pass(docs: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
     """kind 0: a row's set; kind 1: packed shingles by bucket; kind 2: packed sets by bucket."""
-    names = ["kind", "doc_id", "set", "vid", "n", "row_key", "bucket", "a", "b", "c"]
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["kind", "doc_id", "set", "vid", "n", *ROW, "bucket", "a", "b", "c"]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -145,11 +152,11 @@ def first_pass(docs: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
                 own, local = np.unique(s[lo:hi], return_inverse=True)
                 small = np.uint16 if len(own) < 65536 else np.uint32
                 code = bytes([small(0).itemsize])
-                rows.append((1, None, code, None, None, None, b, *packed(t[lo:hi], local.astype(small), dk[own])))
+                rows.append((1, None, code, None, None, None, None, b, *packed(t[lo:hi], local.astype(small), dk[own])))
         home = (dk >> U(32)) % U(buckets)
         for b in np.unique(home).tolist():
             at = np.flatnonzero(home == b)
-            rows.append((2, None, None, None, None, None, b, *packed(dk[at], info[at]), b""))
+            rows.append((2, None, None, None, None, None, None, b, *packed(dk[at], info[at]), b""))
         for i in range(0, len(rows), 16):
             yield batch_of(rows[i : i + 16])
 
@@ -157,16 +164,16 @@ def first_pass(docs: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
         tokens, sets, table, held, seen = [], [], [], 0, set()
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            ids, rks = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
+            ids, keys, checks = (batch.column(c).to_pylist() for c in ("doc_id", *ROW))
             for a, b in row_slices(offsets, SLICE):
                 rows = []
                 for i, own in enumerate(shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k), a):
                     key = set_key(own)
                     vid = int.from_bytes(key[:8], "little", signed=True)
-                    rows.append((0, ids[i], key, vid, len(own), rks[i], None, None, None, None))
-                    if vid in seen:
+                    rows.append((0, ids[i], key, vid, len(own), keys[i], checks[i], None, None, None, None))
+                    if key in seen:
                         continue
-                    seen.add(vid)
+                    seen.add(key)
                     for band in bands(len(own), least) if len(own) else ():
                         t = in_band(own, band)
                         t = t[(t & U(0xFFFF)) < U(counted_share(band, least))]
@@ -183,7 +190,7 @@ def first_pass(docs: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
         if table:
             yield from passed_on(tokens, sets, table)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row_key"), row_check().alias("row_check"))
     return rows.mapInArrow(run, _FIRST)
 
 
@@ -260,7 +267,7 @@ def open_sets(first: DataFrame, told: DataFrame, least: int, buckets: int) -> Da
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """vid and all shingles of the wanted sets, from the texts of one row each."""
+    """node, set, vid, n, least_id and all shingles of the wanted sets, from the texts of one row each."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(summary(wanted, "row_key"))
 
@@ -274,11 +281,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 for a, b in row_slices(offsets, SLICE):
                     sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rk[a:b]), pa.array([s.tobytes() for s in sets], pa.binary())], ["row_key", "shingles"]
+                        [pa.array(rk[a:b]), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                        ["row_key", "set", "shingles"],
                     )
 
-    found = docs.select(row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, shingles binary")
-    return found.join(wanted, "row_key").dropDuplicates(["vid"]).select("vid", "n", "shingles")
+    found = docs.select(row_key().alias("row_key"), "text").mapInArrow(run, "row_key long, set binary, shingles binary")
+    own = found.join(wanted, ["row_key", "set"]).dropDuplicates(["set"])
+    return own.select(F.monotonically_increasing_id().alias("node"), "set", "vid", "n", "least_id", "shingles")
 
 
 # --- signatures and pivots -----------------------------------------------------------------
@@ -378,7 +387,7 @@ def pivot_pairs(opened: DataFrame, sets: DataFrame, least: int, buckets: int) ->
             pairs = np.unique(joined(rows, "a", np.int64).reshape(-1, 2), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "vid"])
 
-    signed = opened.join(sets, "vid").select("vid", "band", "tokens", "df", "shingles")
+    signed = opened.join(sets.select("vid", "shingles"), "vid").select("vid", "band", "tokens", "df", "shingles")
     signed = signed.mapInArrow(sign, "bucket long, a binary, b binary")
     met = dealt(signed, buckets).mapInArrow(meet, "bucket long, a binary")
     return dealt(met, buckets).mapInArrow(single, "pivot long, vid long")
@@ -406,94 +415,145 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_of(group: list[dict], pivot: int, i: int, j: int, blocks: int, least: int) -> list[tuple[int, int, int]]:
-    """(hub, vid, links counted here) of the sets of a task that link."""
-    group = sorted(group, key=lambda r: r["vid"])
-    where = [r["block"] for r in group]
-    sets = [np.frombuffer(r["shingles"], U) for r in group]
-    left = [x for x, b in enumerate(where) if b == i]
-    right = [x for x, b in enumerate(where) if b == j]
-    if i == j and len(left) < 2 or not left or not right:
+def links_of(rows: list[dict], least: int) -> list[tuple[int, int]]:
+    """(root, node) of the sets of a task that link: those of side 0 among each other and with those of side 1, or, if labels are given, sets of side 0 with sets of side 1 of another label."""
+    left, right = ([r for r in rows if r["side"] == k] for k in (0, 1))
+    labelled = rows[0]["label"] is not None
+    if not labelled:
+        right = left + right
+    if not left or not right or len(right) < 2 and not labelled:
         return []
-    size = np.array([len(s) for s in sets], np.int64)
-    if len(group) == 2:
-        both = np.array([[len(np.intersect1d(sets[left[0]], sets[right[-1]], assume_unique=True))]], np.int64)
-        rows, cols = np.array([left[0]]), np.array([right[-1]])
+    own, other = ([np.frombuffer(r["shingles"], U) for r in side] for side in (left, right))
+    a, b = ([np.array([r["node"] for r in side]) for side in (left, right)])
+    na, nb = ([np.array([len(x) for x in side], np.int64) for side in (own, other)])
+    # only sets whose sizes allow a link, and that are not in one component already
+    may = (100 * np.minimum.outer(na, nb) >= least * np.maximum.outer(na, nb)) & (a[:, None] != b[None, :])
+    if labelled:
+        la, lb = (np.array([r["label"] for r in side]) for side in (left, right))
+        may &= la[:, None] != lb[None, :]
+    some, some_other = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(some):
+        return []
+    if len(some) == 1 or len(some_other) == 1 or may.sum() <= 4:
+        x, y = np.nonzero(may)
+        both = np.array([len(np.intersect1d(own[i], other[j], assume_unique=True)) for i, j in zip(x, y)], np.int64)
+        linked = 100 * both >= least * (na[x] + nb[y] - both)
+        x, y = x[linked], y[linked]
     else:
-        both = overlaps([sets[x] for x in left], [sets[x] for x in right]).astype(np.int64)
-        rows, cols = np.array(left), np.array(right)
-    linked = 100 * both >= least * (size[rows][:, None] + size[cols][None, :] - both)
-    a, b = np.nonzero(linked)
-    a, b = rows[a], cols[b]
-    a, b = a[a != b], b[a != b]
-    if i == j:
-        a, b = a[a < b], b[a < b]
-    if not len(a):
+        both = overlaps([own[i] for i in some], [other[j] for j in some_other]).astype(np.int64)
+        linked = may[np.ix_(some, some_other)] & (100 * both >= least * (na[some][:, None] + nb[some_other][None, :] - both))
+        x, y = np.nonzero(linked)
+        x, y = some[x], some_other[y]
+    if not len(x):
         return []
-    # a link counts here if no earlier pivot has both
-    early = [{q for q in np.frombuffer(r["pivots"], np.int64).tolist() if q < pivot} for r in group]
-    all_early = sorted(set().union(*early))
-    counted = np.ones(len(a), bool)
-    if all_early:
-        column = {q: c for c, q in enumerate(all_early)}
-        m = np.zeros((len(group), len(all_early)), np.float32)
-        for x, own in enumerate(early):
-            m[x, [column[q] for q in own]] = 1
-        counted = (m[a] * m[b]).sum(axis=1) == 0 if len(a) * len(all_early) < 1 << 24 else np.array([not (early[x] & early[y]) for x, y in zip(a, b)])
-    degree = np.bincount(a[counted], minlength=len(group)) + np.bincount(b[counted], minlength=len(group))
-    label = np.arange(len(group))
+    nodes, at = np.unique(np.concatenate([a[x], b[y]]), return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
     while True:
         old = label.copy()
-        np.minimum.at(label, a, old[b])
-        np.minimum.at(label, b, label[a])
+        np.minimum.at(label, x, old[y])
+        np.minimum.at(label, y, label[x])
         label = label[label]
         if (label == old).all():
-            break
-    touched = np.unique(np.concatenate([a, b]))
-    return [(group[label[x]]["vid"], group[x]["vid"], int(degree[x])) for x in touched.tolist()]
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: int, buckets: int) -> DataFrame:
-    """hub, vid, links: what each verification task finds."""
-    sizes = pairs.join(sets.select("vid", "n"), "vid").groupBy("pivot").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("words"))
-    by_count = F.least(F.ceil(F.col("sets") / BLOCK_SETS), F.greatest(F.lit(16), F.ceil(F.col("sets") / (16 * BLOCK_SETS))))
-    blocks = F.greatest(by_count, F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("pivot", blocks.alias("blocks")).where("blocks > 1")
-    pivots = pairs.groupBy("vid").agg(F.collect_set("pivot").alias("own"))
-    spread = (
-        pairs.join(sizes.toDF("pivot", "blocks"), "pivot", "left")
-        .select("pivot", "vid", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("vid", "pivot"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pivot", "vid", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    rows = spread.join(sets.toDF("vid", "n", "shingles"), "vid").join(pivots.toDF("vid", "own"), "vid")
-    # the pivots that a set has are few: each is the first set of one of its signatures
+            return list(zip(nodes[label].tolist(), nodes.tolist()))
+
+
+def checked(tasks: DataFrame, full: DataFrame, least: int, buckets: int) -> DataFrame:
+    """a, b: links that join the components of the sets of each task (pivot, i, j), as stars."""
+    rows = tasks.join(full.select("node", "shingles"), "node").select("pivot", "i", "j", "side", "node", "label", "shingles")
     rows = rows.repartition(buckets, "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
 
     def check(batches):
         def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["hub", "vid", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
         key, group, found = None, [], []
         for batch in batches:
             for r in batch.to_pylist():
-                now = r["pivot"], r["i"], r["j"], r["blocks"]
+                now = r["pivot"], r["i"], r["j"]
                 if now != key and group:
-                    found += links_of(group, *key, least)
+                    found += links_of(group, least)
                     group = []
                 key = now
-                r["pivots"] = np.array(r.pop("own"), np.int64).tobytes()
                 group.append(r)
             if len(found) > 10_000:
                 yield out(found)
                 found = []
         if group:
-            found += links_of(group, *key, least)
+            found += links_of(group, least)
         if found:
             yield out(found)
 
-    return rows.select("pivot", "i", "j", "blocks", "block", "vid", "shingles", "own").mapInArrow(check, "hub long, vid long, links long")
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def block_of(blocks, seed: str):
+    return F.pmod(F.xxhash64("node", "pivot", F.lit(seed)), blocks).cast("int")
+
+
+def blocks_for(sets: str, words: str):
+    return F.greatest(F.ceil(F.col(sets) / BLOCK_SETS), F.ceil(F.col(words) / BLOCK_SHINGLES)).cast("int")
+
+
+def by_group(members: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """members joined with what is known of their pivots, those of a hot pivot by many tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", salt).join(salted, ["pivot", "salt"], how).drop("salt")
+
+
+def linked(pairs: DataFrame, full: DataFrame, least: int, buckets: int) -> DataFrame:
+    """v, label: the component of every set that links with another, v and label being nodes of full."""
+    none = F.lit(None).cast("long").alias("label")
+    members = written(pairs.join(full.select("vid", "node", "n"), "vid").select("pivot", "node", "n"), "members")
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("words"))
+    sizes = written(sizes.where("sets > 1").select("pivot", blocks_for("sets", "words").alias("blocks")), "sizes")
+    large = sizes.where("blocks > 1")
+    # first all blocks, each within itself and with block 0
+    dealt_out = by_group(members, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt_out = dealt_out.withColumn("i", block_of(F.col("blocks"), "first"))
+    home = dealt_out.select("pivot", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "node", none)
+    hubs = dealt_out.where("blocks > 1 AND i = 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    hubs = hubs.select("pivot", "i", F.lit(0).alias("j"), F.lit(1).alias("side"), "node", none)
+    found = written(checked(home.unionByName(hubs), full, least, buckets), "found")
+    label = components(found)
+    erased(found)
+    # then what is not yet in its group's main component, in ever more blocks a round, with all of its group
+    far, done, span = None, 0, 1
+    while True:
+        known = label.select(F.col("v").alias("node"), "label")
+        if far is None:
+            marked = by_group(members, large.select("pivot")).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            held = marked.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("words"))
+            main = held.groupBy("pivot").agg(
+                F.max_by("label", F.struct("sets", "label")).alias("main"),
+                F.sum("sets").alias("sets"),
+                F.sum("words").alias("words"),
+                F.max(F.struct("sets", "label", "words")).alias("top"),
+            )
+            main = main.withColumn("rest", F.col("sets") - F.col("top.sets")).withColumn("rest_words", F.col("words") - F.col("top.words"))
+            main = main.where("rest > 0").select("pivot", "main", blocks_for("sets", "words").alias("blocks"), blocks_for("rest", "rest_words").alias("parts"))
+            far = written(main, "far")
+        # main is a set of the main component: it leads to its label of today
+        now = far.where(F.col("parts") > done).join(known.toDF("main", "now"), "main", "left")
+        now = now.select("pivot", F.coalesce("now", "main").alias("main"), "blocks", "parts")
+        marked = by_group(members, now).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        marked = marked.withColumn("part", F.when(F.col("label") != F.col("main"), block_of(F.col("parts"), "rest")))
+        marked = written(marked.select("pivot", "node", "label", "blocks", "part"), "marked")
+        todo = marked.where((F.col("part") >= done) & (F.col("part") < done + span))
+        asked = written(todo.select("pivot", "part", "blocks").distinct(), "asked")
+        if marked.where(F.col("part") >= done).isEmpty():
+            erased(marked, asked, members, far, sizes)
+            return label
+        per = asked.groupBy("pivot").agg(F.collect_set("part").alias("parts"))  # at most span numbers
+        home = by_group(marked, per).withColumn("i", block_of(F.col("blocks"), "all")).withColumn("j", F.explode("parts"))
+        home = home.select("pivot", "i", "j", F.lit(0).alias("side"), "node", "label")
+        hubs = todo.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        hubs = hubs.select("pivot", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "node", "label")
+        found = written(checked(home.unionByName(hubs), full, least, buckets), "found")
+        old, label = label, components(found.unionByName(label.toDF("a", "b")))
+        erased(found, marked, asked, old)
+        done, span = done + span, 2 * span
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -510,42 +570,50 @@ def components(edges: DataFrame) -> DataFrame:
         lower = written(few(lower), "lower")
         jump = lower.join(lower.select("v", "label").toDF("label", "next"), "label").select("v", "old", F.col("next").alias("label"))
         jump = written(few(jump), "labels")
-        label = jump.select("v", "label")
         if jump.where("label <> old").isEmpty():
-            return label
+            erased(label, lower, both)
+            return written(jump.select("v", "label"), "components")
+        erased(label, lower)
+        label = jump.select("v", "label")
 
 
 def near_duplicates(docs: DataFrame, k: int, least: int) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (to other sets), row_key, set and component of every row of docs.
+    """doc_id, n_shingles, component_id, n_copies, component_size, row_key, row_check, set and component of every row of docs.
 
-    component_id is a doc_id, which may be null or stand for several components; component names one, by a set's vid.
+    component_id is a doc_id, which may be null or stand for several components; component names one, by one of
+    its sets. n_copies are the rows with the same set, component_size those of the component, the row itself included.
     """
     small_batches(docs.sparkSession)
     buckets = min(65535, partitions(docs.sparkSession))
     first = written(first_pass(docs, k, least, buckets), "first")
-    opened = written(open_sets(first, frequencies(first, buckets), least, buckets), "open")
-    rows = first.where("kind = 0").select("doc_id", "n", "row_key", "set", "vid")
-    sets = written(rows.groupBy("set", "vid").agg(F.min("doc_id").alias("least_id"), F.min("row_key").alias("row_key"), F.first("n").alias("n")), "sets")
-    wanted = written(opened.select("vid").distinct().join(sets.select("vid", "row_key", "n"), "vid"), "wanted")
+    told = written(frequencies(first, buckets), "frequencies")
+    opened = written(open_sets(first, told, least, buckets), "open")
+    rows = written(first.where("kind = 0").select("doc_id", "n", *ROW, "set", "vid"), "rows")
+    erased(first, told)
+    one = F.min(F.struct(*ROW)).alias("one")
+    sets = rows.groupBy("set", "vid").agg(F.min("doc_id").alias("least_id"), one, F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    sets = written(sets.select("set", "vid", "least_id", "one.row_key", "n", "copies"), "sets")
+    wanted = written(opened.select("vid").distinct().join(sets.select("vid", "set", "row_key", "n", "least_id"), "vid"), "wanted")
     full = written(full_sets(docs, wanted, k), "full")
     pairs = written(pivot_pairs(opened, full, least, buckets), "pairs")
-    found = written(verified(pairs, full, least, buckets), "found")
-    label = components(found.select(F.col("hub").alias("a"), F.col("vid").alias("b")))
-    links = found.groupBy("vid").agg(F.sum("links").alias("n_links"))
-    members = label.toDF("vid", "label").join(sets.select("vid", "least_id"), "vid")
-    tops = members.groupBy("label").agg(F.min("least_id").alias("top"))
-    told = members.select("vid", "label").join(tops, "label").join(links, "vid").select("vid", "label", "top", "n_links")
-    told = sets.select("set", "vid", "least_id", "n").join(told, "vid", "left")
-    told = told.select("set", "vid", "least_id", "label", "top", "n_links")
-    empty = F.col("n") == 0
-    return rows.join(told, ["set", "vid"]).select(
+    erased(wanted, opened)
+    label = linked(pairs, full, least, buckets)
+    erased(pairs)
+    members = label.toDF("node", "label").join(full.select("node", "set"), "node").join(sets.select("set", "least_id", "copies"), "set")
+    members = written(members.select("set", "label", "least_id", "copies"), "members")
+    erased(label, full)
+    tops = members.groupBy("label").agg(F.min("least_id").alias("top"), F.sum("copies").alias("size"), F.min("set").alias("component"))
+    told = sets.select("set", "least_id", "n", "copies").join(members.select("set", "label").join(tops, "label"), "set", "left")
+    empty = F.col("n_shingles") == 0
+    return rows.withColumnRenamed("n", "n_shingles").drop("vid").join(told.drop("n"), "set").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        "n_shingles",
         F.when(empty, F.col("doc_id")).otherwise(F.coalesce("top", "least_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        "row_key",
+        F.when(empty, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
+        F.when(empty, F.lit(1)).otherwise(F.coalesce("size", "copies")).cast("long").alias("component_size"),
+        *ROW,
         "set",
-        F.coalesce("label", "vid").alias("component"),
+        F.coalesce("component", "set").alias("component"),
     )
 
 
@@ -554,14 +622,14 @@ def one_of_each(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
 
     Rows without words are components by themselves and stay; of rows with equal id and text one stays.
     """
-    found = written(near_duplicates(docs, k, least), "components")
-    rows = found.where("n_shingles > 0").groupBy("component", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "n")).alias("first"))
-    first = written(first.select("first.row_key", "first.n"), "chosen")
-    chosen = first.select("row_key", F.lit(True).alias("chosen")).distinct()
-    decided = found.join(chosen, "row_key", "left").select(
-        "row_key", (F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)).alias("kept")
+    found = written(near_duplicates(docs, k, least).select("doc_id", "n_shingles", "component", *ROW), "components")
+    rows = found.where("n_shingles > 0").groupBy("component", "doc_id", *ROW).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW, "n")).alias("first"))
+    first = written(first.select(*[f"first.{c}" for c in (*ROW, "n")]), "chosen")
+    chosen = first.select(*ROW, F.lit(True).alias("chosen")).distinct()
+    decided = found.join(chosen, list(ROW), "left").select(
+        *ROW, (F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)).alias("kept")
     )
     # all copies of a chosen row have its key: that one of them goes leaves one
-    repeated = first.where("n > 1").select("row_key", F.lit(False).alias("kept"))
+    repeated = first.where("n > 1").select(*ROW, F.lit(False).alias("kept"))
     return keep_rows(docs, decided.unionByName(repeated))

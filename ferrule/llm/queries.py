@@ -11,7 +11,7 @@ from .common import table
 
 def op1_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=4, least=85).select(
-        "doc_id", "n_shingles", "component_id", "n_links"
+        "doc_id", "n_shingles", "component_id", "n_copies", "component_size"
     )
 
 
@@ -85,11 +85,11 @@ l AS (
   SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.t = b.t AND a.row <> b.row AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
   GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 r AS (SELECT a AS row, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.row),
-c AS (SELECT r.row, min(n.doc_id) AS top FROM r JOIN n ON n.row = r.root GROUP BY r.row),
-k AS (SELECT l.a AS row, count(DISTINCT n.s) - count(DISTINCT CASE WHEN list_sort(n.s) = list_sort(o.s) THEN n.s END) AS n_links
-      FROM l JOIN (SELECT row, list_sort(s) AS s FROM n) n ON n.row = l.b JOIN n o ON o.row = l.a GROUP BY l.a)
-SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(c.top, n.doc_id) AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
-FROM n LEFT JOIN c ON c.row = n.row LEFT JOIN k ON k.row = n.row""",
+c AS (SELECT r.row, min(n.doc_id) AS top, count(*) AS size FROM r JOIN n ON n.row = r.root GROUP BY r.row),
+e AS (SELECT row, count(*) OVER (PARTITION BY list_sort(s)) AS copies FROM n)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(c.top, n.doc_id) AS component_id,
+  (CASE WHEN n.n > 0 THEN e.copies ELSE 1 END)::BIGINT AS n_copies, coalesce(c.size, 1)::BIGINT AS component_size
+FROM n JOIN e ON e.row = n.row LEFT JOIN c ON c.row = n.row""",
     "op4_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.llm import cover_topk, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pii, secrets_crf, sharding
-from ferrule.llm.common import keep_rows, row_key
+from ferrule.llm.common import ROW, keep_rows, row_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
 SPACES = "[\x20\x09-\x0d]"
@@ -58,29 +58,50 @@ def jaccard_components(rows, k, least):
             x = root[x]
         return x
 
-    links = defaultdict(set)
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
             if a and b and 100 * len(a & b) >= least * len(a | b):
                 root[find(i)] = find(j)
-                if a != b:
-                    links[a].add(b)
-                    links[b].add(a)
     group = defaultdict(list)
     for i in range(len(rows)):
         group[find(i)].append(rows[i][0])
     top = {r: min((x for x in ids if x is not None), default=None) for r, ids in group.items()}
-    return Counter((r[0], len(s), r[0] if not s else top[find(i)], len(links[s]) if s else 0) for i, (r, s) in enumerate(zip(rows, sets)))
+    copies = Counter(sets)
+    return Counter(
+        (r[0], len(s), r[0] if not s else top[find(i)], copies[s] if s else 1, len(group[find(i)])) for i, (r, s) in enumerate(zip(rows, sets))
+    )
 
 
 @pytest.mark.parametrize("k, least, seed", [(4, 85, 1), (5, 80, 2), (2, 60, 3)])
 def test_near_duplicates(spark, k, least, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "RARE", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     rows = corpus(seed)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), k, least)
-    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == jaccard_components(rows, k, least)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_copies, r.component_size) for r in got.collect()) == jaccard_components(rows, k, least)
+
+
+def test_a_dense_group_loses_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 32)
+    monkeypatch.setattr(ngram_join, "RARE", 2)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(400):  # around one text, none too far from it, many too far from each other
+        ws = list(base)
+        for _ in range(rng.randrange(3)):
+            ws[rng.randrange(len(ws))] = f"e{rng.randrange(10_000)}"
+        texts.append(ws)
+    step = list(base)
+    for i in range(0, 100, 2):  # a chain, each link with the one before only
+        step = [*step[:i], f"c{i}", *step[i + 1 :]]
+        texts.append(step)
+    texts += [[*base[:60], *(f"x{i}-{j}" for j in range(60))] for i in range(200)]  # half a passage in common, no links
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_copies, r.component_size) for r in got.collect()) == jaccard_components(rows, 4, 85)
 
 
 def test_near_duplicates_empty(none):
@@ -92,7 +113,7 @@ def test_one_of_each_component(spark, docs):
     assert kept.columns == docs.columns
     want = jaccard_components(corpus(), 5, 80)
     ids = Counter(r.doc_id for r in kept.collect())
-    tops = {c for (i, n, c, _) in want if n and c is not None}
+    tops = {c for (i, n, c, *_) in want if n and c is not None}
     assert tops <= set(ids) and all(n == 1 for i, n in ids.items() if i in tops)
     blank = [r for r in kept.collect() if not words(r.text)]
     assert len(blank) == 3
@@ -141,7 +162,7 @@ def test_exact_dedup(spark, docs):
         best = min(g, key=lambda x: (-len(x[1] or ""), x[0] is None, x[0]))
         assert (r.keep_id, r.group_size) == (best[0], len(g))
     assert sum(r.kept for r in got) == len(groups)
-    kept = keep_rows(docs, exact_dedup.exact_dedup(docs).select("row_key", "kept"))
+    kept = keep_rows(docs, exact_dedup.exact_dedup(docs).select(*ROW, "kept"))
     assert kept.columns == docs.columns and Counter(norm(r.text) for r in kept.collect()) == Counter(dict.fromkeys(groups, 1))
 
 
