@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ferrule.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from ferrule.llm.common import keep_rows, table, written
+from ferrule.llm.common import ROW, keep_rows, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_rows(docs, exact_dedup.exact_dedup(docs).select("row_key", "kept"))
+    return keep_rows(docs, exact_dedup.exact_dedup(docs).select(*ROW, "kept"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
