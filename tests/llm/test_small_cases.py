@@ -321,15 +321,16 @@ def test_packing(spark, docs, none):
                 part = np.array(one[a : a + 2048], "<u4")
                 want[i, len(one), a, len(part), zlib.crc32(part.tobytes())] += 1
     assert pieces == want
-    windows = defaultdict(list)
+    windows, tier = defaultdict(list), {}
     for r in got:
         windows[r.sequence_id].append((r.offset, r.length))
-    for w in windows.values():
+        assert tier.setdefault(r.sequence_id, r.tier) == r.tier
+    for i, w in windows.items():
         at = 0
         for offset, length in sorted(w):
             assert offset == at
             at += length
-        assert at <= 2048
+        assert at == tier[i] or at < tier[i] == 2048
     assert packing.pack(none).count() == 0
 
 
@@ -338,11 +339,41 @@ def test_plan_pads_little():
     count = np.bincount(np.minimum(2048, rng.exponential(700, 50_000).astype(int) + 1), minlength=2049)
     rows, windows = packing.plan(count)
     total = int((count * np.arange(2049)).sum())
-    assert windows * 2048 < 1.002 * total
-    placed = Counter()
-    for n, a, b, *_ in rows.tolist():
+    placed, filled, size = Counter(), Counter(), {}
+    for n, a, b, c, first, _, tier in rows.tolist():
         placed[n] += b - a
+        for w in range(first, first + (b - a) // c):
+            filled[w] += c * n
+            size[w] = tier
     assert all(placed[n] == count[n] for n in range(1, 2049))
+    assert set(filled) == set(range(windows)) and all(n <= size[w] for w, n in filled.items())
+    assert all(n == size[w] for w, n in filled.items() if size[w] < 2048)  # short windows are full
+    assert sum(size.values()) < 1.005 * total
+    assert Counter(size.values())[256] > 100 and Counter(size.values())[1024] > 100
+    flat, few = packing.plan(count, tiers=(2048,))
+    assert few < windows and set(flat[:, 6].tolist()) == {2048}
+
+
+def test_step_groups_are_balanced(spark):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") * 7919 % 700).cast("int")).alias("text"))
+    got = packing.pack(rows).groupBy("step").agg(F.sum("length").alias("n"), F.count_distinct("tier").alias("tiers")).collect()
+    assert len(got) > 5 and max(r.n for r in got) < 1.15 * min(r.n for r in got)
+
+
+def test_exact_fill_is_exact():
+    rng = random.Random(5)
+    for _ in range(300):
+        free = np.array([0, *(rng.choice([0, 0, 1, 2]) for _ in range(60))])
+        gap = rng.randrange(1, 61)
+        got = packing.exact_fill(gap, free)
+        if got is not None:
+            assert sum(m * c for m, c in got) == gap
+            need = Counter()
+            for m, c in got:
+                need[m] += c
+            assert all(free[m] >= c for m, c in need.items())
+        pairs = any(free[m] and free[gap - m] and (2 * m != gap or free[m] > 1) for m in range(1, gap))
+        assert got is not None or not (free[gap] or pairs)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body>
