@@ -110,13 +110,13 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM p""",
     "op5_dual_tree_topk": r"""
 WITH v AS (
-  SELECT vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS vec FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS vec FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.vec) = len(c.vec)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row AND len(q.vec) = len(c.vec)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_tree_merge_dedup": r"""
 WITH d AS (

@@ -250,34 +250,74 @@ def test_mix(docs, none):
     assert out.columns == docs.columns and out.count() >= len([r for r in got if r.taken])
 
 
-def test_top_k(spark):
+def top_by_hand(rows, every, k):
+    """(query id, rank, id, score) of each query row, by scoring all pairs."""
+    ok = [(n, i, np.floor(256 * np.array(v, np.float32).astype(float))) for n, (i, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all()]
+    out = Counter()
+    for n, q, v in ok:
+        if q is not None and q % every == 0:
+            scores = sorted((-int(v @ w), i is None, i) for m, i, w in ok if m != n and len(w) == len(v))
+            out.update((q, r + 1, i, -s) for r, (s, _, i) in enumerate(scores[:k]))
+    return out
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 8)) / 4
     rows = [(i, base[i % 40].tolist() if i % 3 else rng.normal(size=8).tolist(), i) for i in range(400)]
     rows += [(1000, None, 1), (1050, [1.0, None] + [0.0] * 6, 1), (1100, [float("nan")] * 8, 1), (1150, [], 1), (None, [1.0] * 8, 1), (1200, [0.5, 0.5], 2), (1201, [0.25, 0.1], 2)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = cover_topk.top_k(table, 50, 5)
-    ints = {r[0]: np.floor(256 * np.array(r[1], np.float32).astype(float)) for r in rows if r[0] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all()}
-    want = set()
-    for q, v in ints.items():
-        if q % 50 == 0:
-            scores = sorted((-int(v @ w), i) for i, w in ints.items() if i != q and len(w) == len(v))
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])}
-    assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+    rows += [(50, [0.5] * 8, 1), (50, [0.5] * 8, 1), (None, base[3].tolist(), 1), (1250, [0.5] * 3, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row long")
+    table = table.select("*", *[F.lit("x").alias(c) for c in ("dim", "cell", "block", "floor", "score", "kind")]).repartition(4)
+    want = top_by_hand([r[:2] for r in rows], 50, 5)
+    for block, part, groups in ((4096, 16, 128), (16, 2, 2)):
+        monkeypatch.setattr(cover_topk, "BLOCK", block)
+        monkeypatch.setattr(cover_topk, "BLOCKS_A_TASK", part)
+        monkeypatch.setattr(cover_topk, "GROUPS_A_TASK", groups)
+        got = cover_topk.top_k(table, 50, 5)
+        assert Counter(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
     assert cover_topk.top_k(table.limit(0), 50, 5).count() == 0
 
 
+def clusters(rng, n, d=4):
+    centers = rng.normal(size=(30, d)) * 1000
+    return np.floor(centers[rng.integers(30, size=n)] + rng.normal(size=(n, d)) * 20)
+
+
 def test_bounds_prune_and_lose_nothing():
     rng = np.random.default_rng(1)
-    points = np.floor(rng.normal(size=(3000, 4)) * 100)
-    points[:1000] = points[0]
-    ids = np.arange(3000)
-    trees = [cover_topk.Tree(ids[i::3], points[i::3]) for i in range(3)]
-    asks = cover_topk.Tree(ids[:200], points[:200])
-    scores, found = cover_topk.search(asks, np.full(200, -np.inf), trees, 5)
-    for q, s, f in zip(asks.ids, scores, found):
-        all_ = sorted((-(points[q] @ points[i]), i) for i in ids if i != q)[:5]
-        assert [(-a, b) for a, b in zip(s, f)] == all_
+    for points in (np.floor(rng.normal(size=(3000, 4)) * 100), clusters(rng, 3000), np.full((500, 3), 7.0), np.zeros((300, 2))):
+        points[: len(points) // 3] = points[0]
+        ids, n = np.arange(len(points)), len(points)
+        cuts = [np.arange(i, n, 3) for i in range(3)]
+        data = cover_topk.forest([points[c] for c in cuts])
+        asks = cover_topk.Tree(points[: n // 5])
+        names = np.concatenate(cuts)[data.order]
+        seen = Counter()
+        scores, found = cover_topk.search(asks, ids[asks.order], np.full(n // 5, -np.inf), data, names, names, 5, seen)
+        for q, s, f in zip(asks.order, scores, found):
+            all_ = sorted((-(points[q] @ points[i]), i) for i in ids if i != q)[:5]
+            assert [(-a, b) for a, b in zip(s, f)] == all_
+        floor = scores[:, -1].copy()  # with a floor known, nodes are pruned from the root down
+        again = Counter()
+        more, ids_again = cover_topk.search(asks, ids[asks.order], floor, data, names, names, 5, again)
+        assert (more == scores).all() and (ids_again == found).all()
+        if len(np.unique(points, axis=0)) > 100:
+            assert again["pruned"] > again["pairs"] / 4
+
+
+def test_cover_trees_cover():
+    rng = np.random.default_rng(2)
+    points = clusters(rng, 2000)
+    tree = cover_topk.Tree(points)
+    assert sorted(tree.order) == list(range(2000)) and (~tree.leaf).sum() > 3
+    for x, below in enumerate(tree.children):
+        own = tree.points[tree.start[x] : tree.end[x]]
+        assert np.sqrt(((own - tree.centers[x]) ** 2).sum(axis=1)).max() <= tree.radius[x]
+        if len(below):
+            assert tree.start[x] == tree.start[below].min() and (tree.end[below] - tree.start[below]).sum() == len(own)
+            gaps = [np.linalg.norm(tree.centers[a] - tree.centers[b]) for a, b in itertools.combinations(below, 2)]
+            assert min(gaps) > 0 and (len(below) == cover_topk.FAN or min(gaps) >= tree.radius[x] / 2 - 1e-6)
 
 
 def test_language_id(spark, none):
