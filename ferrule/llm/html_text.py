@@ -1,39 +1,50 @@
 """Main text of web pages, by differencing each page against its nearest URLs.
 
-Pages are range-sorted by host and URL path, so that a page's nearest URL stands beside it
-wherever the ranges fall and however hot its host is. A page is read into lines: the text of
-each block, or of a whole region that an element, its role or an unambiguous whole name declares
-to be no content (menus, headers, footers, sidebars, adverts, forms, reader comments); elements
-that hold the page or the article open none by name or role. A region's line is known
-by its place in the page's template, since what menus and adverts say differs from page to
-page; a content line by its text. The lines of page and neighbour are aligned by a longest common
-subsequence, and shared lines are deleted.
-
-What is not deleted: lines within an element that declares itself the article, and lines shared
-with a neighbour with which the page shares most of its content, as such a pair are copies of one
-article, not two uses of a template. A declared region for which no neighbour has the like is
-deleted by its declaration.
+A page is read into lines: the text of each block, or of a whole region that an element, its role
+or an unambiguous whole name marks (menus, headers, footers, sidebars, adverts, forms, reader
+comments); elements that hold the page or the article open none by name or role. A region's line
+is known by its place in the page's template, since what menus and adverts say differs from page
+to page; any other line by its text.
+
+Pages are ordered by host and URL path in ranges, and pages that stand beside each other with the
+same lines form a run, numbered over all ranges, so a run and its neighbours are the same however
+the ranges fall. Each run is paired with the NEAREST runs of its host on either side, the longest
+common path first. Page and neighbour are aligned by a longest common subsequence of their lines,
+and shared lines are deleted, until a neighbour that is no copy has been met: pages that share
+most of their content are copies of one article, not two uses of a template, and tell of regions
+only. Lines within an element that declares itself the article are not deleted as shared. A region
+for which no neighbour has the like is the one case in which its mark alone decides: it goes.
 
 The k-th line with a key in one page can only match the k-th with that key in the other, so keys
-are unique and the alignment takes n log n steps for any page.
+are unique and the alignment takes n log n steps for any page; reading a page takes steps in
+proportion to its length, however deep its markup is.
 
 Defined results: null html is the empty page with the empty text; null url sorts as a host
-without name; repeated pages are read one by one; unclosed elements end where an element around
-them ends, unclosed comments, scripts and styles with the page; an empty table gives an empty
-result; further columns are ignored.
+without name; repeated pages are one run and get the same text each; unclosed elements end where
+an element around them ends, unclosed comments, scripts and styles with the page; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
+import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import partitions, small_batches, written
+
+#: Runs on either side that a run is paired with.
+NEAREST = 2
+#: Tasks that share the decision of a run.
+SALTS = 16
 
 # Elements of HTML by how they are read.
 RAW = frozenset("script style template textarea title noscript iframe noembed noframes xmp".split())
@@ -109,6 +120,7 @@ def lines(page: str) -> list[tuple[str, str | None, bool]]:
     out: list[tuple[str, str | None, bool]] = []
     stack: list[tuple[str, str | None, bool]] = []  # tag, region that it opened, article that it opened
     region, articles, text, at = [], 0, [], 0
+    opened_now: Counter[str] = Counter()
 
     def flush():
         if text:
@@ -126,6 +138,7 @@ def lines(page: str) -> list[tuple[str, str | None, bool]]:
     def close():
         nonlocal articles
         tag, opened, article = stack.pop()
+        opened_now[tag] -= 1
         if opened is not None:
             region.pop()
             fresh[0] = True
@@ -146,11 +159,12 @@ def lines(page: str) -> list[tuple[str, str | None, bool]]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    flush() if any(x[1] is not None or x[2] for x in stack[depth:]) else None
-                    while len(stack) > depth:
-                        close()
+            while opened_now[tag]:  # an element ends what is open within it
+                inner, opens, article = stack[-1]
+                if opens is not None or article:
+                    flush()
+                close()
+                if inner == tag:
                     break
             continue
         if tag in RAW or tag in SKIPPED and tag != "head":
@@ -176,6 +190,7 @@ def lines(page: str) -> list[tuple[str, str | None, bool]]:
             fresh[0] = True
         articles += article
         stack.append((tag, opened, article))
+        opened_now[tag] += 1
     flush()
     return out
 
@@ -213,19 +228,34 @@ def shared_lines(a: list[tuple], b: list[tuple]) -> set[int]:
     return found
 
 
-def main_text(page: list[tuple[str, str | None, bool]], neighbours: list[list[tuple[str, str | None, bool]]]) -> str:
-    """The page's text without the lines that it shares with the first neighbour that is no copy."""
-    keys, gone = keyed(page), set()
-    size = sum(len(t) for t, region, _ in page if region is None)
-    for other in neighbours:
-        common = shared_lines(keys, keyed(other))
-        content = sum(len(page[i][0]) for i in common if page[i][1] is None)
-        theirs = sum(len(t) for t, region, _ in other if region is None)
-        gone |= {i for i in common if page[i][1] is not None}
+def gone(page: tuple, neighbours: list[tuple]) -> tuple[set[int], set[int]]:
+    """The lines that the page shares with its neighbours, up to the first that is no copy; and marked lines that none shares.
+
+    A page is (keys, lengths, whether marked as no content, whether within an article) of its lines.
+    """
+    keys, length, marked, article = page
+    shared: set[int] = set()
+    size = sum(n for n, m in zip(length, marked) if not m)
+    for other_keys, other_length, other_marked, _ in neighbours:
+        common = shared_lines(keys, other_keys)
+        content = sum(length[i] for i in common if not marked[i])
+        theirs = sum(n for n, m in zip(other_length, other_marked) if not m)
+        shared |= {i for i in common if marked[i]}
         if 3 * content <= 2 * max(size, theirs):
-            gone |= {i for i in common if not page[i][2]}
+            shared |= {i for i in common if not article[i]}
             break
-    return " ".join(text for i, (text, region, _) in enumerate(page) if i not in gone and region is None)
+    return shared, {i for i, m in enumerate(marked) if m} - shared
+
+
+def facts(page: list[tuple[str, str | None, bool]]) -> tuple:
+    """Keys, lengths and marks of a page's lines, for `gone`."""
+    return keyed(page), [len(t) for t, *_ in page], [r is not None for _, r, _ in page], [a for *_, a in page]
+
+
+def main_text(page: list[tuple[str, str | None, bool]], neighbours: list[list[tuple[str, str | None, bool]]]) -> str:
+    """The page's text by differencing with its neighbours."""
+    shared, marked = gone(facts(page), [facts(n) for n in neighbours])
+    return " ".join(text for i, (text, *_) in enumerate(page) if i not in shared and i not in marked)
 
 
 def nearness(a: str, b: str) -> int:
@@ -238,10 +268,21 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    spark = pages.sparkSession
-    small_batches(spark)
+def _packed(page: list[tuple[str, str | None, bool]]) -> tuple[bytes, bytes, bytes]:
+    """Keys (128 bits each), lengths and marks of a page's lines."""
+    keys, length, marked, article = facts(page)
+    names = b"".join(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys)
+    return names, np.array(length, np.int64).tobytes(), np.array([m + 2 * a for m, a in zip(marked, article)], np.uint8).tobytes()
+
+
+def _unpacked(keys: bytes, length: bytes, marks: bytes) -> tuple:
+    kinds = np.frombuffer(marks, np.uint8)
+    names = [keys[i : i + 16] for i in range(0, len(keys), 16)]
+    return names, np.frombuffer(length, np.int64).tolist(), (kinds & 1 == 1).tolist(), (kinds & 2 == 2).tolist()
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path, the lines' texts and packed facts, and a digest of these of every page."""
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -250,41 +291,125 @@ def extract(pages: DataFrame) -> DataFrame:
         F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "").alias("path"),
         "html",
     )
-    rows = rows.repartitionByRange(4 * partitions(spark), "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
     def run(batches):
-        def stream():
-            for batch in batches:
-                columns = [batch.column(c) for c in ("page_id", "url", "host", "path", "html")]
-                for i in range(batch.num_rows):
-                    pid, url, host, path, page = (c[i].as_py() for c in columns)
-                    yield pid, url, host, path, lines(page or "")
-
-        def done(before, page, after):
-            near = [x for x in (before, after) if x is not None and x[2] == page[2]]
-            near.sort(key=lambda x: -nearness(x[3], page[3]))
-            text = main_text(page[4], [x[4] for x in near])
-            return page[0], page[1], text, len(text)
-
-        out, size = [], 0
-
-        def batch_of():
+        for batch in batches:
+            read = [lines(page.as_py() or "") for page in batch.column("html")]
+            packed = [_packed(page) for page in read]
+            texts = [["" if marked else t for t, marked, _ in page] for page in read]  # marked ones are never put out
+            digest = [hashlib.blake2b(b"".join(p), digest_size=16).digest() for p in packed]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("page_id", "url", "host", "path")),
+                    pa.array(texts, pa.list_(pa.string())),
+                    *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)),
+                    pa.array(digest, pa.binary()),
+                ],
+                ["page_id", "url", "host", "path", "texts", "keys", "length", "marks", "digest"],
+            )
+
+    return rows.mapInArrow(
+        run, "page_id long, url string, host string, path string, texts array<string>, keys binary, length binary, marks binary, digest binary"
+    )
+
+
+def in_runs(rows: DataFrame, ranges: int) -> DataFrame:
+    """rows, written in order of URL, with the number of their run; runs of one host have successive numbers.
+
+    A run is a stretch of rows of one host with one digest. Ranges number their own runs; what is
+    gathered from each range is the number of its runs and the first and the last.
+    """
+    order = ["host", "path", "digest", "page_id"]
+    sorted_rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+
+    def number(batches):
+        part, at, i = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            own, head = [], []
+            for name in zip(batch.column("host").to_pylist(), batch.column("digest").to_pylist()):
+                head.append(name != at)
+                i += name != at
+                at = name
+                own.append(i)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([part] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array(head, pa.bool_())],
+                [*batch.schema.names, "part", "i", "head"],
+            )
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields)
+    out = written(sorted_rows.mapInArrow(number, types + ", part int, i long, head boolean"), "ordered")
+    ends = F.struct("host", "digest")
+    told = out.where("head").groupBy("part").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(ends, "i").alias("first"), F.max_by(ends, "i").alias("last")
+    )
+    base, run, last = [], 0, None
+    for r in sorted(told.collect(), key=lambda r: r.part):  # a row for each range
+        run -= last is not None and tuple(r.first) == last
+        base.append((r.part, run))
+        run, last = run + r.n, tuple(r.last)
+    spark = rows.sparkSession
+    bases = spark.createDataFrame(base, "part int, base long")
+    return out.join(F.broadcast(bases), "part").withColumn("run", F.col("base") + F.col("i")).drop("base", "i", "part")
+
+
+def decisions(runs: DataFrame, parts: int) -> DataFrame:
+    """run, and the numbers of the lines that go: shared with a neighbour, or marked with none that shares them."""
+    heads = runs.where("head").dropDuplicates(["run"]).select("run", "host", "path", "keys", "length", "marks")
+    heads = written(heads, "heads")
+    away = [d for d in range(-NEAREST, NEAREST + 1)]
+    sent = heads.withColumn("away", F.explode(F.array(*[F.lit(d) for d in away]))).withColumn("run", F.col("run") + F.col("away"))
+    sent = sent.repartition(parts, "run").sortWithinPartitions("run", "away")
+
+    def decide(batches):
+        def of(group):
+            own = next((g for g in group if g["away"] == 0), None)
+            if own is None:
+                return None
+            near = [g for g in group if g["away"] and g["host"] == own["host"]]
+            near.sort(key=lambda g: (-nearness(g["path"], own["path"]), abs(g["away"]), g["away"]))
+            shared, marked = gone(_unpacked(own["keys"], own["length"], own["marks"]), [_unpacked(g["keys"], g["length"], g["marks"]) for g in near])
+            return own["run"], sorted(shared), sorted(marked)
+
+        def out(found):
+            numbers = pa.list_(pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"]
+                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), numbers, numbers))], ["run", "shared", "marked"]
             )
 
-        before = page = None
-        for after in stream():
-            if page is not None:
-                out.append(done(before, page, after))
-                size += out[-1][3]
-                if size > 1 << 22 or len(out) >= 2000:
-                    yield batch_of()
-                    out, size = [], 0
-            before, page = page, after
-        if page is not None:
-            out.append(done(before, page, None))
-        if out:
-            yield batch_of()
-
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        at, group, found = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["run"] != at and group:
+                    found.append(of(group))
+                    group = []
+                at = row["run"]
+                group.append(row)
+            found = [x for x in found if x]
+            if len(found) > 1000:
+                yield out(found)
+                found = []
+        if group:
+            found.append(of(group))
+        found = [x for x in found if x]
+        if found:
+            yield out(found)
+
+    return sent.mapInArrow(decide, "run long, shared array<int>, marked array<int>")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every page, and how many lines went as shared with a neighbour, and by their mark alone."""
+    spark = pages.sparkSession
+    small_batches(spark)
+    parts = partitions(spark)
+    runs = in_runs(parsed(pages), 4 * parts)
+    told = written(decisions(runs, 4 * parts), "decisions")
+    # a run of very many copies is looked up by several tasks
+    salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = runs.select("page_id", "url", "texts", "run", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = rows.join(salted, ["run", "salt"])
+    left = F.filter("texts", lambda t, i: ~F.array_contains("shared", i) & ~F.array_contains("marked", i))
+    text = F.array_join(left, " ")
+    return out.select("page_id", "url", text.alias("text"), F.size("shared").cast("long").alias("n_shared"), F.size("marked").cast("long").alias("n_marked")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked"
+    )

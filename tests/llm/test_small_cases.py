@@ -472,6 +472,59 @@ def test_shared_lines_are_deleted_outside_articles():
     assert html_text.main_text(a, [c, b]) == "Story number one is here"
 
 
+def neighbours_by_hand(rows):
+    """The text of each page by its nearest runs, in one process."""
+    place = lambda u: re.match(r"(?:[A-Za-z][\w+.-]*://([^/?#]*))?(.*)$", u or "", re.S).groups("")
+    read = [(place(u)[0].lower(), place(u)[1], html_text.lines(h or ""), i, u) for i, u, h in rows]
+    digest = lambda r: repr(html_text.facts(r[2]))
+    packed = lambda r: hashlib.blake2b(b"".join(html_text._packed(r[2])), digest_size=16).digest()
+    read.sort(key=lambda r: (r[0].encode(), r[1].encode(), packed(r), r[3]))
+    runs = [list(g) for _, g in itertools.groupby(read, key=lambda r: (r[0], digest(r)))]
+    out = Counter()
+    for n, run in enumerate(runs):
+        host, path, page, *_ = run[0]
+        near = [(d, runs[n + d][0]) for d in (-2, -1, 1, 2) if 0 <= n + d < len(runs) and runs[n + d][0][0] == host]
+        near.sort(key=lambda x: (-html_text.nearness(x[1][1], path), abs(x[0]), x[0]))
+        text = html_text.main_text(page, [x[1][2] for x in near])
+        out.update((r[3], r[4], text, len(text)) for r in run)
+    return out
+
+
+def site(pages):
+    """A host's pages: untagged head and foot that all share, articles in plain divs, copies, and copies of copies."""
+    rows = []
+    for i in range(pages):
+        story = f"<div>Story {i // 3 if i % 4 else i} tells of matters number {i // 3 if i % 4 else i} and no others</div>"
+        rows.append((i, f"http://Host.example/{i % 5}/{i:03}", f"<body><div>Shared head</div><b>Menu</b>{story * 2}<div>Shared foot</div></body>"))
+    rows += [rows[3]] * 30 + [(900, rows[3][1], rows[3][2]), (901, None, None), (902, "http://alone.example/", "<p>Alone</p>")]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 4, 32, 200])
+def test_pages_at_any_number_of_partitions(spark, parts):
+    rows = site(60)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = Counter(tuple(r)[:4] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == neighbours_by_hand(rows)
+    assert not any("Shared" in r[2] for r in got) and all("Story" in r[2] for r in got if r[0] < 900)
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        page = "<div>" * n + "</q>" * n + "<p>text" + "</div>" * n
+        began = time.perf_counter()
+        assert [t for t, *_ in html_text.lines(page)] == ["text"]
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.5 and took[1] < 10
+
+
 def longest(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):
