@@ -1,9 +1,11 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into SLOTS virtual slots; bytes are summed per slot; a map, kept as a
-table of versions, says which shard each slot belongs to. Version 0 deals the slots round;
-rebalancing edits the map into a new version, moving only slots of shards above the mean.
-Only slot totals (SLOTS numbers, whatever the input) ever reach the driver.
+table of versions, says which shard each slot belongs to. Version 0 deals the slots round. A
+run loads the latest version of the map that it is given (a new one where there is none) and
+writes its edit as the next version: rebalancing moves only slots of shards above the mean, and
+growing by a shard moves slots only into it. Older versions stay as they are. Only slot totals
+and the map (SLOTS numbers, whatever the input) ever reach the driver.
 
 Law: `bytes`, the shards' sizes are near equal. A hot record key cannot unbalance it, as the
 hash takes the id and the text's checksum together, and the row's number, too, where equal
@@ -17,12 +19,13 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import shared_dir, text_or_empty, written
 
 SLOTS = 8192
 SHARDS = 24
@@ -113,17 +116,31 @@ def grown(owner: list[int], load: dict[int, int], shards: int) -> list[int]:
     return owner
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """The slot-to-shard map with all its versions, written in the shared folder."""
-    slots = range(len(versions[0]))
-    rows = pa.table(
-        {
-            "version": pa.array([v for v in range(len(versions)) for _ in slots], pa.int32()),
-            "vslot": pa.array([s for _ in versions for s in slots], pa.int32()),
-            "shard": pa.array([k for owner in versions for k in owner], pa.int32()),
-        }
-    )
-    return written(spark.createDataFrame(rows).coalesce(1), "slot-map")  # a few rows for each slot
+def map_folder(spark: SparkSession) -> str:
+    """A folder for a new map in the shared folder."""
+    return f"{shared_dir(spark)}/ferrule-slot-map-{uuid.uuid4().hex}"
+
+
+def stored_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """The latest version of the map in a folder and its number; None where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        return None
+    versions = spark.read.schema("vslot int, shard int, version int").parquet(path)
+    latest = versions.agg(F.max("version")).first()[0]
+    if latest is None:
+        return None
+    rows = versions.where(F.col("version") == latest).collect()  # a row for each slot
+    owner = [0] * len(rows)
+    for r in rows:
+        owner[r.vslot] = r.shard
+    return latest, owner
+
+
+def store_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
+    """Add a version to the map in a folder; versions are written once."""
+    rows = pa.table({"vslot": pa.array(range(len(owner)), pa.int32()), "shard": pa.array(owner, pa.int32())})
+    spark.createDataFrame(rows).coalesce(1).write.parquet(f"{path}/version={version}")  # a row for each slot
 
 
 def totals(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -132,25 +149,14 @@ def totals(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
     return {r.vslot: r.bytes for r in sums}, {r.vslot: r.n for r in sums}
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot and map_version of every row."""
-    spark = docs.sparkSession
-    rows = written(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
-    load, count = totals(rows)
-    even = spread(rows, count, slots)
-    if even is not None:
-        rows = even
-        load, count = totals(rows)
-    owner = first_map(slots, shards)
-    versions = [owner, rebalanced(owner, load, shards)]
-    owner, base, start = versions[-1], [0] * shards, []
-    for slot in range(slots):  # where each virtual slot's rows begin in its shard
+def placed_by(rows: DataFrame, owner: list[int], count: dict[int, int], shards: int, version: int) -> DataFrame:
+    """The columns of `shard` for records under a map."""
+    base, start = [0] * shards, []
+    for slot in range(len(owner)):  # where each virtual slot's rows begin in its shard
         start.append(base[owner[slot]])
         base[owner[slot]] += count.get(slot, 0)
-    kept = map_table(spark, versions).where(F.col("version") == len(versions) - 1)
-    begins = spark.createDataFrame(pa.table({"vslot": pa.array(range(slots), pa.int32()), "begins": pa.array(start, pa.int64())}))
-    # both hold a row for each of the fixed number of slots
-    here = F.broadcast(kept.join(F.broadcast(begins), "vslot"))
+    here = pa.table({"vslot": pa.array(range(len(owner)), pa.int32()), "shard": pa.array(owner, pa.int32()), "begins": pa.array(start, pa.int64())})
+    here = F.broadcast(rows.sparkSession.createDataFrame(here))  # a row for each slot
     order = Window.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     return (
         rows.withColumn("i", F.row_number().over(order))
@@ -164,6 +170,35 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
             (F.col("begins") + F.col("i") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "vslot",
-            F.col("version").alias("map_version"),
+            F.lit(version).alias("map_version"),
         )
     )
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot and map_version of every row.
+
+    map_path: the folder of the map to load and edit. A map of fewer shards is grown, a shard at a
+    time, before it is balanced; one of more shards or another number of slots is an error.
+    """
+    spark = docs.sparkSession
+    path = map_path or map_folder(spark)
+    known = stored_map(spark, path)
+    if known is None:
+        store_map(spark, path, 0, first_map(slots, shards))
+        known = 0, first_map(slots, shards)
+    version, owner = known
+    held = max(owner) + 1
+    if len(owner) != slots or held > shards:
+        raise ValueError(f"the map in {path} has {len(owner)} slots and {held} shards")
+    rows = written(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
+    load, count = totals(rows)
+    even = spread(rows, count, slots)
+    if even is not None:
+        rows = even
+        load, count = totals(rows)
+    for more in range(held, shards):
+        owner = grown(owner, load, more)
+    owner = rebalanced(owner, load, shards)
+    store_map(spark, path, version + 1, owner)
+    return placed_by(rows, owner, count, shards, version + 1)

@@ -212,6 +212,46 @@ def test_slot_maps_move_little():
     assert abs(total(more, 9)[8] - sum(load.values()) / 9) < 100
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 90).cast("int")).alias("text"))
+    path = f"{tmp_path}/map"
+    at = lambda df: {r.doc_id: (r.shard, r.map_version) for r in df.collect()}
+    first = at(sharding.shard(rows, 4, 512, path))
+    again = at(sharding.shard(rows, 4, 512, path))
+    assert {v for _, v in first.values()} == {1} and {v for _, v in again.values()} == {2}
+    assert all(first[i][0] == again[i][0] for i in first)  # balanced already: nothing moves
+    more = rows.unionByName(rows.select((F.col("doc_id") + 10_000).alias("doc_id"), F.lit("z" * 200).alias("text")).limit(500))
+    third = at(sharding.shard(more, 4, 512, path))
+    assert sum(third[i][0] != first[i][0] for i in first) < 0.2 * len(first)
+    grown = sharding.shard(more, 5, 512, path)
+    new = at(grown)
+    assert sum(new[i][0] not in (third[i][0], 4) for i in third) < 0.1 * len(third)
+    sums = [r.b for r in grown.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sums) == 5 and max(sums) - min(sums) < 0.05 * max(sums)
+    versions = spark.read.parquet(path).groupBy("version").count().collect()
+    assert {r.version: r["count"] for r in versions} == dict.fromkeys(range(5), 512)
+    with pytest.raises(ValueError):
+        sharding.shard(rows, 4, 512, path)
+
+
+def bytes_by_hand(docs, shards, slots):
+    """Bytes of each shard by the first map and its rebalancing, in one process."""
+    load = Counter()
+    for r in sharding.records(docs, slots).collect():
+        load[r.vslot] += r.size
+    owner = sharding.rebalanced(sharding.first_map(slots, shards), load, shards)
+    out = Counter()
+    for slot, n in load.items():
+        out[owner[slot]] += n
+    return out
+
+
+def test_shards_by_hand(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") * F.col("id") % 97).cast("int")).alias("text"))
+    got = sharding.shard(docs, 5, 1024).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert {r.shard: r.b for r in got} == bytes_by_hand(docs, 5, 1024)
+
+
 def fill(sizes, total, most):
     """Targets by sharing the excess again and again."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode())
