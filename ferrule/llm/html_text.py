@@ -39,10 +39,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import erased, partitions, small_batches, written
 
-#: Runs on either side that a run is paired with.
-NEAREST = 2
+#: Runs on either side that a run is paired with; runs that are decided together.
+NEAREST, CHUNK = 2, 64
 #: Tasks that share the decision of a run.
 SALTS = 16
 
@@ -269,16 +269,16 @@ def nearness(a: str, b: str) -> int:
 
 
 def _packed(page: list[tuple[str, str | None, bool]]) -> tuple[bytes, bytes, bytes]:
-    """Keys (128 bits each), lengths and marks of a page's lines."""
+    """Keys (64 bits each, only ever compared between two pages), lengths and marks of a page's lines."""
     keys, length, marked, article = facts(page)
-    names = b"".join(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=16).digest() for k in keys)
-    return names, np.array(length, np.int64).tobytes(), np.array([m + 2 * a for m, a in zip(marked, article)], np.uint8).tobytes()
+    names = b"".join(hashlib.blake2b(repr(k).encode("utf-8", "surrogatepass"), digest_size=8).digest() for k in keys)
+    return names, np.array(length, np.int32).tobytes(), np.array([m + 2 * a for m, a in zip(marked, article)], np.uint8).tobytes()
 
 
-def _unpacked(keys: bytes, length: bytes, marks: bytes) -> tuple:
-    kinds = np.frombuffer(marks, np.uint8)
-    names = [keys[i : i + 16] for i in range(0, len(keys), 16)]
-    return names, np.frombuffer(length, np.int64).tolist(), (kinds & 1 == 1).tolist(), (kinds & 2 == 2).tolist()
+def _unpacked(row: dict) -> tuple:
+    kinds = np.frombuffer(row["marks"], np.uint8)
+    names = [row["keys"][i : i + 8] for i in range(0, len(row["keys"]), 8)]
+    return names, np.frombuffer(row["length"], np.int32).tolist(), (kinds & 1 == 1).tolist(), (kinds & 2 == 2).tolist()
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def in_runs(rows: DataFrame, ranges: int) -> DataFrame:
     A run is a stretch of rows of one host with one digest. Ranges number their own runs; what is
     gathered from each range is the number of its runs and the first and the last.
     """
-    order = ["host", "path", "digest", "page_id"]
+    order = ["host", "path", "digest", "row"]
     sorted_rows = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def number(batches):
@@ -347,54 +347,53 @@ def in_runs(rows: DataFrame, ranges: int) -> DataFrame:
         run -= last is not None and tuple(r.first) == last
         base.append((r.part, run))
         run, last = run + r.n, tuple(r.last)
-    spark = rows.sparkSession
-    bases = spark.createDataFrame(base, "part int, base long")
-    return out.join(F.broadcast(bases), "part").withColumn("run", F.col("base") + F.col("i")).drop("base", "i", "part")
+    bases = rows.sparkSession.createDataFrame(base, "part int, base long")
+    numbered = out.join(F.broadcast(bases), "part").withColumn("run", F.col("base") + F.col("i")).drop("base", "i", "part")
+    numbered.written_at = out.written_at
+    return numbered
 
 
 def decisions(runs: DataFrame, parts: int) -> DataFrame:
-    """run, and the numbers of the lines that go: shared with a neighbour, or marked with none that shares them."""
-    heads = runs.where("head").dropDuplicates(["run"]).select("run", "host", "path", "keys", "length", "marks")
-    heads = written(heads, "heads")
-    away = [d for d in range(-NEAREST, NEAREST + 1)]
-    sent = heads.withColumn("away", F.explode(F.array(*[F.lit(d) for d in away]))).withColumn("run", F.col("run") + F.col("away"))
-    sent = sent.repartition(parts, "run").sortWithinPartitions("run", "away")
+    """run, the numbers of the lines that stay, and how many go as shared with a neighbour or by their mark alone."""
+    heads = runs.where("head").select("run", "host", "path", "keys", "length", "marks")
+    chunk = lambda away: F.floor((F.col("run") + F.lit(away)) / F.lit(CHUNK))
+    # a chunk of runs gets those beside it, too
+    sent = heads.withColumn("chunk", F.explode(F.array_distinct(F.array(chunk(-NEAREST), chunk(0), chunk(NEAREST)))))
+    sent = sent.repartition(parts, "chunk").sortWithinPartitions("chunk")
+
+    def of(chunk, group):
+        pages = {g["run"]: g for g in group}  # a run that goes on in the next range has a head there, too
+        facts_of = {run: _unpacked(g) for run, g in pages.items()}
+        for run in range(chunk * CHUNK, (chunk + 1) * CHUNK):
+            if run in pages:
+                own = pages[run]
+                near = [run + d for d in range(-NEAREST, NEAREST + 1) if d and run + d in pages and pages[run + d]["host"] == own["host"]]
+                near.sort(key=lambda n: (-nearness(pages[n]["path"], own["path"]), abs(n - run), n))
+                shared, marked = gone(facts_of[run], [facts_of[n] for n in near])
+                yield run, [i for i in range(len(facts_of[run][0])) if i not in shared and i not in marked], len(shared), len(marked)
 
     def decide(batches):
-        def of(group):
-            own = next((g for g in group if g["away"] == 0), None)
-            if own is None:
-                return None
-            near = [g for g in group if g["away"] and g["host"] == own["host"]]
-            near.sort(key=lambda g: (-nearness(g["path"], own["path"]), abs(g["away"]), g["away"]))
-            shared, marked = gone(_unpacked(own["keys"], own["length"], own["marks"]), [_unpacked(g["keys"], g["length"], g["marks"]) for g in near])
-            return own["run"], sorted(shared), sorted(marked)
-
         def out(found):
-            numbers = pa.list_(pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), numbers, numbers))], ["run", "shared", "marked"]
-            )
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["run", "kept", "n_shared", "n_marked"])
 
         at, group, found = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["run"] != at and group:
-                    found.append(of(group))
+                if row["chunk"] != at and group:
+                    found += of(at, group)
                     group = []
-                at = row["run"]
+                at = row["chunk"]
                 group.append(row)
-            found = [x for x in found if x]
             if len(found) > 1000:
                 yield out(found)
                 found = []
         if group:
-            found.append(of(group))
-        found = [x for x in found if x]
+            found += of(at, group)
         if found:
             yield out(found)
 
-    return sent.mapInArrow(decide, "run long, shared array<int>, marked array<int>")
+    return sent.mapInArrow(decide, "run long, kept array<int>, n_shared long, n_marked long")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -402,14 +401,14 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     parts = partitions(spark)
-    runs = in_runs(parsed(pages), 4 * parts)
+    read = written(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "lines")
+    runs = in_runs(read.select("row", "host", "path", "digest", "keys", "length", "marks"), 4 * parts)
     told = written(decisions(runs, 4 * parts), "decisions")
     # a run of very many copies is looked up by several tasks
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = runs.select("page_id", "url", "texts", "run", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = rows.join(salted, ["run", "salt"])
-    left = F.filter("texts", lambda t, i: ~F.array_contains("shared", i) & ~F.array_contains("marked", i))
-    text = F.array_join(left, " ")
-    return out.select("page_id", "url", text.alias("text"), F.size("shared").cast("long").alias("n_shared"), F.size("marked").cast("long").alias("n_marked")).select(
-        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked"
-    )
+    rows = runs.select("row", "run", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    by_row = written(rows.join(salted, ["run", "salt"]).select("row", "kept", "n_shared", "n_marked"), "kept")
+    erased(runs, told)
+    text = F.array_join(F.transform("kept", lambda i: F.get("texts", i)), " ")
+    out = read.select("row", "page_id", "url", "texts").join(by_row, "row").select("page_id", "url", text.alias("text"), "n_shared", "n_marked")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
