@@ -60,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, options: Options) -> Program:
-    """The functions of all modules of a folder; a model among the textual ones takes the place of a stub of its name."""
+    """The functions of all modules of a folder, merged by name; a model among the textual ones takes the place of a stub."""
     parts, tables = [], None
     names = [p.name for p in Path(options.path).rglob("*")] if "://" not in options.path else ["x.sil", "x.ir"]
     if any(n.endswith(".sil") for n in names):

@@ -9,14 +9,14 @@ from ..functions import position_text
 
 
 def taint_json(paths: DataFrame, spec: DataFrame, func_of_site: DataFrame) -> DataFrame:
-    """name, json: a document for each rule with results; func_of_site(s, method, description) describes sites' targets."""
-    about = spec.groupBy("name").agg(F.first("advice").alias("advice"))
+    """name, json: a document for each rule with results; spec has the rules' about and advice; func_of_site(s, method, description) describes sites' targets."""
+    about = spec.groupBy("name").agg(F.first("about").alias("description"), F.first("advice").alias("advice"))
     src = func_of_site.select(F.col("s").alias("source"), F.struct(F.col("method").alias("name"), "description").alias("source_m"))
     snk = func_of_site.select(F.col("s").alias("sink"), F.struct(F.col("method").alias("name"), "description").alias("sink_m"))
     rows = paths.join(src, "source", "left").join(snk, "sink", "left")
     one = F.struct(F.col("source_m").alias("source"), F.col("sink_m").alias("sink"), F.transform("path", position_text).alias("path"))
     out = rows.groupBy("name").agg(F.array_sort(F.collect_list(one)).alias("paths")).join(about, "name")
-    return out.select("name", F.to_json(F.struct("name", "advice", "paths")).alias("json"))
+    return out.select("name", F.to_json(F.struct("name", "description", "advice", "paths")).alias("json"))
 
 
 def typestate_json(errors: DataFrame, machine: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def fixpoint(
         if rounds >= max_rounds:
             raise NotConverged(f"no fixpoint after {rounds} rounds")
         known = one_partition(union(parts), total)
-        found = one_partition(step(delta, known).select(columns), total).dropDuplicates(keys)
+        # only tables whose size is known are put in one partition: a step also scans relations of any size
+        found = step(delta, known).select(columns).dropDuplicates(keys)
         delta, n = counted(found.join(known, keys, "left_anti").select(columns), total <= SMALL)
         total += n
         if n:

@@ -362,8 +362,8 @@ def pointer_promotion(spark, sf_dir):
 
 # --- annotations -----------------------------------------------------------------------------------
 
-NOTES = """res AS (SELECT l_orderkey % 500 AS line, l_returnflag AS kind FROM lineitem WHERE l_quantity = 20),
-note AS (SELECT l_orderkey % 500 AS line, l_returnflag AS kind, CASE WHEN l_linenumber = 1 THEN 'fn' WHEN l_linenumber = 2 THEN 'fp' END AS status FROM lineitem WHERE l_quantity = 21),
+NOTES = """res AS (SELECT l_orderkey AS line, l_returnflag AS kind FROM lineitem WHERE l_linestatus = 'F'),
+note AS (SELECT l_orderkey AS line, l_returnflag AS kind, CASE WHEN l_linenumber = 1 THEN 'fn' WHEN l_linenumber = 2 THEN 'fp' END AS status FROM lineitem WHERE l_linestatus = 'O'),
 a AS (SELECT line, kind, row_number() OVER (PARTITION BY line, kind) AS k FROM res),
 b AS (SELECT line, kind, status, row_number() OVER (PARTITION BY line, kind ORDER BY status NULLS FIRST) AS k FROM note)
 """
@@ -378,8 +378,8 @@ SELECT verdict, count(*) AS n FROM v GROUP BY verdict"""
 )
 def annotation_check(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    result = spark.sql("SELECT l_orderkey % 500 AS line, l_returnflag AS kind FROM lineitem WHERE l_quantity = 20").selectExpr("'main' AS path", "line", "'rule' AS name", "kind")
+    result = spark.sql("SELECT l_orderkey AS line, l_returnflag AS kind FROM lineitem WHERE l_linestatus = 'F'").selectExpr("'main' AS path", "line", "'rule' AS name", "kind")
     note = spark.sql(
-        "SELECT l_orderkey % 500 AS line, l_returnflag AS kind, CASE WHEN l_linenumber = 1 THEN 'fn' WHEN l_linenumber = 2 THEN 'fp' END AS status FROM lineitem WHERE l_quantity = 21"
+        "SELECT l_orderkey AS line, l_returnflag AS kind, CASE WHEN l_linenumber = 1 THEN 'fn' WHEN l_linenumber = 2 THEN 'fp' END AS status FROM lineitem WHERE l_linestatus = 'O'"
     ).selectExpr("'main' AS path", "line", "'rule' AS name", "kind", "status")
     return annotations.checked(result, note).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))

@@ -82,10 +82,10 @@ def ddg_dispatch(spark, sf_dir):
     return dispatch.targets(index_method, method_class, f["alloc"].select("c").distinct())
 
 
-@query("SELECT DISTINCT i, c, m FROM dispatch", "dispatch")
+@query("SELECT DISTINCT a.i, b.c, a.m FROM dispatch a JOIN dispatch b ON b.m = a.m", "dispatch")
 def ddg_class_targets(spark, sf_dir):
     d = facts(spark, sf_dir, "dispatch")["dispatch"]
-    return dispatch.class_targets(d.select("i", "m"), d.select("m", "c").distinct()).join(d.select("i", "c", "m").distinct(), ["i", "c", "m"], "left_semi")
+    return dispatch.class_targets(d.select("i", "m"), d.select("m", "c"))
 
 
 @query("SELECT f FROM entry WHERE f NOT IN (SELECT dst FROM call)", "entry", "call")
@@ -255,13 +255,18 @@ def cg_cha(spark, sf_dir):
     return callgraph.cha(f["site"], f["func"], f["index_method"], f["method_class"])
 
 
-PRTA = f"{KINDS}, {TRIVIAL}, {MC}, prta AS (SELECT s, src, dst FROM triv UNION SELECT s, f, m FROM x JOIN im ON im.i = x.i WHERE k = 'dynamic' AND m IN (SELECT m FROM mc JOIN alloc ON alloc.c = mc.c))"
+#: Only what entries allocate counts, so that types prune.
+PRTA = f"{KINDS}, {TRIVIAL}, {MC}, made AS (SELECT c FROM alloc WHERE f IN (SELECT f FROM entry)), prta AS (SELECT s, src, dst FROM triv UNION SELECT s, f, m FROM x JOIN im ON im.i = x.i WHERE k = 'dynamic' AND m IN (SELECT m FROM mc JOIN made ON made.c = mc.c))"
 
 
-@query(f"{PRTA} SELECT * FROM prta", "func", "site", "dispatch", "alloc")
+def made(f):
+    return f["alloc"].join(f["entry"], "f", "left_semi")
+
+
+@query(f"{PRTA} SELECT * FROM prta", "func", "site", "dispatch", "alloc", "entry")
 def cg_prta(spark, sf_dir):
     f = call_inputs(spark, sf_dir)
-    return callgraph.prta(f["site"], f["func"], f["alloc"], f["index_method"], f["method_class"])
+    return callgraph.prta(f["site"], f["func"], made(f), f["index_method"], f["method_class"])
 
 
 @query(
@@ -298,10 +303,11 @@ SELECT s, src, dst FROM e UNION SELECT s, o.f, func.f FROM o JOIN func ON func.n
     "site",
     "dispatch",
     "alloc",
+    "entry",
 )
 def cg_sigmatch(spark, sf_dir):
     f = call_inputs(spark, sf_dir)
-    edges = callgraph.prta(f["site"], f["func"], f["alloc"], f["index_method"], f["method_class"])
+    edges = callgraph.prta(f["site"], f["func"], made(f), f["index_method"], f["method_class"])
     types = f["func"].select(F.col("f").alias("like"), "ret", "full_type")
     site = f["site"].withColumn("like", F.expr("i % 40")).join(types, "like")
     return callgraph.signature_matches(site, f["func"], edges, f["func"].where("not is_library").select("f"))
@@ -392,25 +398,32 @@ def cg_ucg_vta(spark, sf_dir):
 
 
 @query(
-    f"""{KINDS}, {TRIVIAL}, {MC}, {FLOWS}, {VSITE}
-SELECT s, src, dst FROM triv
-UNION SELECT s, f, m FROM x JOIN im ON im.i = x.i WHERE k = 'dynamic' AND m IN (SELECT m FROM mc JOIN alloc ON alloc.c = mc.c)
-UNION SELECT s, v.f, fl.what FROM v JOIN fl ON fl.kind = 'func' AND fl.node = v.fnode WHERE k = 'value'""",
+    f"""{KINDS}, {TRIVIAL}, {MC}, {FLOWS}, {VSITE},
+q(s, src, dst) AS (
+  (SELECT s, src, dst FROM triv WHERE src % 10 = 0
+   UNION SELECT s, f, m FROM x JOIN im ON im.i = x.i WHERE k = 'dynamic' AND f % 10 = 0 AND m IN (SELECT m FROM mc JOIN alloc ON alloc.c = mc.c)
+   UNION SELECT s, v.f, fl.what FROM v JOIN fl ON fl.kind = 'func' AND fl.node = v.fnode WHERE k = 'value' AND v.f IN (SELECT f FROM entry))
+  UNION SELECT v.s, v.f, fl.what FROM q JOIN v ON v.f = q.dst AND k = 'value' JOIN fl ON fl.kind = 'func' AND fl.node = v.fnode)
+SELECT s, src, dst FROM q""",
     "func",
     "site",
     "dispatch",
     "alloc",
     "vseed",
     "vedge",
+    "entry",
 )
 def cg_queries(spark, sf_dir):
+    """Named and dynamic calls of every tenth function; function values are asked for as the graph comes to their functions."""
     f = call_inputs(spark, sf_dir, "vseed", "vedge")
     flows = stored(callgraph.reaching(f["vseed"], f["vedge"]))
-    sites = stored(flow_sites(f))
+    sites = stored(flow_sites(f).where("kind = 'value' or f % 10 = 0"))
+    fun = flows.where("kind = 'func'").select(F.col("node").alias("fnode"), F.col("what").alias("dst"))
+    entry = stored(f["entry"])
 
     def resolve(edges):
-        fun = flows.where("kind = 'func'").select(F.col("node").alias("fnode"), F.col("what").alias("dst"))
-        return sites.where("kind = 'value'").join(fun, "fnode").select("s", F.col("f").alias("src"), "dst")
+        live = edges.select(F.col("dst").alias("f")).union(entry).distinct()
+        return sites.where("kind = 'value'").join(live, "f", "left_semi").join(fun, "fnode").select("s", F.col("f").alias("src"), "dst")
 
     return callgraph.by_queries(sites, f["func"], resolve, f["index_method"], f["method_class"], "program", f["alloc"])
 
@@ -422,10 +435,11 @@ count_if(s NOT IN (SELECT s FROM prta) AND k <> 'named') AS truly_unresolved FRO
     "site",
     "dispatch",
     "alloc",
+    "entry",
 )
 def callsite_resolution(spark, sf_dir):
     f = call_inputs(spark, sf_dir)
-    return callgraph.resolution(f["site"], callgraph.prta(f["site"], f["func"], f["alloc"], f["index_method"], f["method_class"]))
+    return callgraph.resolution(f["site"], callgraph.prta(f["site"], f["func"], made(f), f["index_method"], f["method_class"]))
 
 
 @query(
