@@ -198,7 +198,7 @@ def test_taint_specification(spark, tmp_path):
     assert got == {("source", "s", (), False), ("sink", "k.*", (1,), True)}
     del one["advice"]
     (tmp_path / "t.json").write_text(json.dumps([one], indent=1))
-    with pytest.raises(specs.SpecError, match='expected "advice"'):
+    with pytest.raises(specs.SpecError, match="lacks advice"):
         specs.taint(spark, str(tmp_path / "t.json"))
 
 
