@@ -33,8 +33,9 @@ import html as entities
 import re
 from collections import Counter
 
-import pyarrow as pa
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,7 +283,7 @@ def _unpacked(row: dict) -> tuple:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, the lines' texts and packed facts, and a digest of these of every page."""
+    """page_id, url, host, path, the lines' texts (compressed) and packed facts, and a digest of these of every page."""
     url = F.coalesce("url", F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -293,15 +294,18 @@ def parsed(pages: DataFrame) -> DataFrame:
     )
 
     def run(batches):
+        small = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             read = [lines(page.as_py() or "") for page in batch.column("html")]
             packed = [_packed(page) for page in read]
-            texts = [["" if marked else t for t, marked, _ in page] for page in read]  # marked ones are never put out
+            # marked lines are never put out; no line holds a line feed
+            texts = ["\n".join("" if marked else t for t, marked, _ in page) for page in read]
+            texts = [small.compress(t.encode("utf-8", "surrogatepass")) for t in texts]
             digest = [hashlib.blake2b(b"".join(p), digest_size=16).digest() for p in packed]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("page_id", "url", "host", "path")),
-                    pa.array(texts, pa.list_(pa.string())),
+                    pa.array(texts, pa.binary()),
                     *(pa.array([p[i] for p in packed], pa.binary()) for i in range(3)),
                     pa.array(digest, pa.binary()),
                 ],
@@ -309,7 +313,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             )
 
     return rows.mapInArrow(
-        run, "page_id long, url string, host string, path string, texts array<string>, keys binary, length binary, marks binary, digest binary"
+        run, "page_id long, url string, host string, path string, texts binary, keys binary, length binary, marks binary, digest binary"
     )
 
 
@@ -407,8 +411,26 @@ def extract(pages: DataFrame) -> DataFrame:
     # a run of very many copies is looked up by several tasks
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = runs.select("row", "run", F.pmod(F.col("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    by_row = written(rows.join(salted, ["run", "salt"]).select("row", "kept", "n_shared", "n_marked"), "kept")
+    # the same joins at every size, so that what they need grows as the input does
+    by_row = written(rows.join(salted.hint("merge"), ["run", "salt"]).select("row", "kept", "n_shared", "n_marked"), "kept")
     erased(runs, told)
-    text = F.array_join(F.transform("kept", lambda i: F.get("texts", i)), " ")
-    out = read.select("row", "page_id", "url", "texts").join(by_row, "row").select("page_id", "url", text.alias("text"), "n_shared", "n_marked")
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_marked")
+
+    def put_out(batches):
+        plain = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = []
+            for blob, kept in zip(batch.column("texts").to_pylist(), batch.column("kept").to_pylist()):
+                page = plain.decompress(blob).decode("utf-8", "surrogatepass").split("\n")
+                texts.append(" ".join(page[i] for i in kept))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in ("page_id", "url")),
+                    pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    *(batch.column(c) for c in ("n_shared", "n_marked")),
+                ],
+                ["page_id", "url", "text", "n_chars", "n_shared", "n_marked"],
+            )
+
+    out = read.select("row", "page_id", "url", "texts").join(by_row.hint("merge"), "row").drop("row")
+    return out.mapInArrow(put_out, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long")
