@@ -4,9 +4,11 @@ A text is folded to lower-case letters with every run of other characters as one
 1- to 3-grams are hashed into BUCKETS. Counts per language and bucket are summed over a
 sample of the labelled rows of a documented bound (TRAIN_DOCS for each language, chosen by a
 hash of the id, all where there are fewer); the smoothed log-probability matrix, languages x
-BUCKETS, is broadcast, and batches are scored in numpy.
+BUCKETS, is broadcast with the priors (the languages' shares of all labelled rows), and batches
+are scored in numpy.
 
-Memory is bounded by slices of SLICE bytes; a longer text is scored in parts.
+Memory is bounded by slices of SLICE bytes; a longer text is scored in parts, each of which is
+told the last two folded letters of the part before it, so that no n-gram is lost or counted twice.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as are all
 where nothing could be learned; equal scores go to the first language by name; null doc_id is
@@ -47,14 +49,20 @@ def fold_table() -> np.ndarray:
     return _fold
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and row of each n-gram of the rows, and whether each row has a letter."""
+NO_CONTEXT = np.zeros(0, np.uint32)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, context: np.ndarray = NO_CONTEXT):
+    """Bucket and row of each n-gram of the rows, whether each row has a letter, and the last two folded letters.
+
+    context holds the folded letters before the first row, if that row goes on a text; n-grams within it are left out.
+    """
     rows = len(offsets) - 1
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     at = before[offsets]  # offsets in code points
-    codes = fold_table()[points]
-    row = np.repeat(np.arange(rows), np.diff(at))
+    codes = np.concatenate([context, fold_table()[points]])
+    row = np.concatenate([np.zeros(len(context), np.int64), np.repeat(np.arange(rows), np.diff(at))])
     letter = codes != 32
     lettered = np.zeros(rows, bool)
     lettered[row[letter]] = True
@@ -72,31 +80,33 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         h = (h[:m] * np.uint32(0x01000193)) ^ (codes[n - 1 :] * np.uint32(0x9E3779B1))
         some = some[:m] | letter[n - 1 :]
         ok = some & (row[:m] == row[n - 1 :])
+        ok[: max(0, len(context) - n + 1)] = False
         mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n)
         grams.append((mixed >> np.uint32(32 - BUCKETS.bit_length() + 1))[ok])
         owners.append(row[:m][ok])
     if not grams:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), lettered
-    return np.concatenate(grams), np.concatenate(owners), lettered
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), lettered, codes[-2:]
+    return np.concatenate(grams), np.concatenate(owners), lettered, codes[-2:]
 
 
 def parts(data: np.ndarray, offsets: np.ndarray):
-    """Rows first..last with their bytes, in slices; a row longer than a slice comes in several."""
+    """Rows a..b with the features of their n-grams, in slices; a row longer than a slice comes in several."""
     for a, b in row_slices(offsets, SLICE):
-        lo, hi = int(offsets[a]), int(offsets[b])
+        lo, hi, context = int(offsets[a]), int(offsets[b]), NO_CONTEXT
         while hi - lo > 2 * SLICE and b == a + 1:
             cut = lo + SLICE
             while cut < hi and (data[cut] & 0xC0) == 0x80:
                 cut += 1
-            yield a, b, data[lo:cut], np.array([0, cut - lo])
+            *found, context = features(data[lo:cut], np.array([0, cut - lo]), context)
+            yield a, b, *found
             lo = cut
         start = offsets[a : b + 1] - lo
         start[0] = 0
-        yield a, b, data[lo:hi], start
+        yield a, b, *features(data[lo:hi], start, context)[:3]
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray | None]:
-    """The languages, sorted, and the log-probability matrix, buckets x languages."""
+    """The languages, sorted, and their log probabilities: a row for each bucket, then the priors."""
     labelled = docs.where(
         F.col("lang").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
     )
@@ -115,8 +125,7 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
-            for a, b, piece, at in parts(data, offsets):
-                gram, row, _ = features(piece, at)
+            for a, b, gram, row, _ in parts(data, offsets):
                 total += np.bincount(lang[a:b][row] * BUCKETS + gram, minlength=total.size).reshape(total.shape)
         i, j = np.nonzero(total)
         for s in range(0, len(i), 1 << 16):
@@ -127,7 +136,8 @@ def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
     got = got.groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()  # at most languages x buckets
     sums = np.full((BUCKETS, len(langs)), ALPHA)
     sums[got.g.to_numpy(np.int64), got.k.to_numpy(np.int64)] += got.n.to_numpy(np.float64)
-    return langs, np.log(sums / sums.sum(axis=0)).astype(np.float32)
+    prior = np.array([counts[k] for k in langs], np.float64)
+    return langs, np.log(np.vstack([sums / sums.sum(axis=0), prior / prior.sum()])).astype(np.float32)
 
 
 def rating(spark: SparkSession, langs: list[str], matrix: np.ndarray | None):
@@ -139,9 +149,8 @@ def rating(spark: SparkSession, langs: list[str], matrix: np.ndarray | None):
         pred, score = np.full(n, -1), np.zeros(n)
         if logp is not None and n:
             data, offsets = column_bytes(text)
-            sums, letters = np.zeros((n, logp.shape[1])), np.zeros(n, bool)
-            for a, b, piece, at in parts(data, offsets):
-                gram, row, lettered = features(piece, at)
+            sums, letters = np.tile(logp[BUCKETS].astype(np.float64), (n, 1)), np.zeros(n, bool)
+            for a, b, gram, row, lettered in parts(data, offsets):
                 letters[a:b] |= lettered
                 for k in range(logp.shape[1]):
                     sums[a:b, k] += np.bincount(row, logp[gram, k], minlength=b - a)
