@@ -1,6 +1,7 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key. Rows are dealt to ranges of that key within their source
+Every row gets a hash-random key of its id and text, so that rows without or with one id are
+spread over all keys as well. Rows are dealt to ranges of that key within their source
 (the key is uniform, so equal ranges are even parts, however hot a source is), each range is
 sorted, and prefix sums of word counts run first over ranges, then within them. A source's
 budget is cut exactly where the running sum reaches it; a budget above the source's size runs
@@ -25,7 +26,7 @@ TOTAL_SHARE, MOST_EPOCHS = 1.5, 2
 
 
 def random_key(seed: str):
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_or_empty())))
 
 
 def sized(docs: DataFrame, seed: str) -> DataFrame:

@@ -53,7 +53,9 @@ def op9_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), secret="corpus-1")
+    # a corpus sets a key of its own; without one, the test key gives results that anyone can repeat
+    secret = spark.conf.get("spark.ferrule.pii.key", "corpus-1")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), secret=secret)
 
 
 QUERIES = {
@@ -93,7 +95,7 @@ FROM n JOIN e ON e.row = n.row LEFT JOIN c ON c.row = n.row""",
     "op4_source_mix": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0 * source_size AS cap FROM s),
