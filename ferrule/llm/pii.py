@@ -6,7 +6,12 @@ name before a capitalised word). Each entity has a canonical form, so that spell
 share a surrogate (coreference); the surrogate is drawn with a keyed hash of type, canonical form
 and attempt, and written in the layout of the mention: digits for digits, letters of the same case
 and script for letters, the same punctuation; cards keep the state of their check digit, names
-their title, their gender and their script.
+their title, their gender and their script. A given name is drawn from the lists of its script by
+its own gender or that of the title before it; surnames are made of syllables where the script has
+some here, else of letters of the script. Letters of scripts without an alphabet here become Latin.
+
+The texts are searched once: rows, with what was found in them, are written in the shared folder,
+and all further steps read that table.
 
 Distinctness is checked over all entities: of those that drew one surrogate, all but the first by
 name draw again, as do those whose surrogate is an entity of the texts itself, until none is left.
@@ -24,7 +29,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, row_key, written
+from .common import ROW, erased, partitions, row_check, row_key, written
 
 # Titles by gender, and given names by gender and script.
 TITLES_F = "Mrs Ms Miss Frau Señora Madame Mme Госпожа".split()
@@ -34,12 +39,35 @@ GIVEN_F = "Alice Barbara Charlotte Elizabeth Emily Francesca Ingrid Jennifer Jes
 GIVEN_M = "Alexander Benjamin Charles Christopher David Frederick George James John Joseph Matthew Michael Nicholas Oliver Patrick Robert Thomas William".split()
 GIVEN_CYR_F = "Анна Елена Екатерина Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split()
 GIVEN_CYR_M = "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий".split()
+GIVEN_GRE_F = "Αικατερίνη Άννα Βασιλική Ελένη Μαρία Σοφία".split()
+GIVEN_GRE_M = "Αντώνιος Γεώργιος Γιώργος Δημήτρης Κωνσταντίνος Νικόλαος".split()
+GIVEN_MORE_F = "Aisha Amina Fatima Ifeoma Khadija Leila Mariam Priya Sakura Yasmin Yuki".split()
+GIVEN_MORE_M = "Ahmed Arjun Carlos Hiroshi Ibrahim Jorge Kenji Mohammed Omar Rajesh Yusuf".split()
 SYLLABLES = "bar cal den fol gar hol kel lor mar nor pel rud sol tam vel wil".split()
+SYLLABLES_GRE = "βαρ γολ δαν ζαρ καλ λεν μιρ νοβ παλ ρουδ σαβ τιμ φεδ χολ μαν κορ".split()
 SYLLABLES_CYR = "бар вол гор дан зар кал лен мир нов пав руд сав тим фед хол чер".split()
+#: Letters by script, of which surrogates are made; no word of any language.
+ALPHABETS = {
+    "IsCyrillic": "абвгдежзиклмнопрстуфхцчшэюя",
+    "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω",
+    "IsHebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "IsArabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "IsArmenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ",
+    "IsGeorgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    "IsDevanagari": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    "IsThai": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวสหอ",
+    "IsHiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのまみむめもやゆよらりるれろわ",
+    "IsKatakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノマミムメモヤユヨラリルレロワ",
+    "IsHangul": "가강고구기김나남노다도라류마민박배서선성수신안양오우유윤이임장정조진차최한허홍황",
+    "IsHan": "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗田山木村川本中小石原上野明文华建国平春海云东立志",
+}
 TYPES = ("email", "phone", "card", "ip", "ssn", "iban", "name")
 
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_given = "|".join([*GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M])
+POOLS = (GIVEN_F, GIVEN_M, GIVEN_MORE_F, GIVEN_MORE_M, GIVEN_CYR_F, GIVEN_CYR_M, GIVEN_GRE_F, GIVEN_GRE_M)
+GIVEN = [x for pool in POOLS for x in pool]
+_given = "|".join(GIVEN)
+_first, _letter = r"[\p{Lu}\p{Lo}]", r"[\p{L}\p{M}]"  # scripts without case have no capitals
 _titles = "|".join([*TITLES_F, *TITLES_M, *TITLES_X])
 ENTITY = "|".join(
     [
@@ -50,14 +78,14 @@ ENTITY = "|".join(
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)",
         r"(?<!\w)\+\d(?:[ ./-]?\(?\d\)?){7,14}(?!\w)",  # in groups of any size: 8 to 15 digits in all
         r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-        rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?(?![\p{{L}}\p{{N}}])",
-        rf"(?<![\p{{L}}\p{{N}}])(?:{_given}) \p{{Lu}}\p{{L}}+(?![\p{{L}}\p{{N}}])",
+        rf"(?<![\p{{L}}\p{{N}}])(?:{_titles})\.? {_first}{_letter}+(?: {_first}{_letter}+)?(?![\p{{L}}\p{{N}}])",
+        rf"(?<![\p{{L}}\p{{N}}])(?:{_given}) {_first}{_letter}+(?![\p{{L}}\p{{N}}])",
     ]
 )
 #: What every entity holds; texts without either are passed on as they are.
 HINT = "[@0-9]"
-_initials = "".join(sorted({w[0] for w in [*TITLES_F, *TITLES_M, *TITLES_X, *GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M]}))
-NAME_HINT = rf"(?=[{_initials}])(?:{_titles}|{_given})\.? \p{{Lu}}"
+_initials = "".join(sorted({w[0] for w in [*TITLES_F, *TITLES_M, *TITLES_X, *GIVEN]}))
+NAME_HINT = rf"(?=[{_initials}])(?:{_titles}|{_given})\.? {_first}"
 
 
 def kind(m: Column) -> Column:
@@ -103,8 +131,10 @@ def letters_and_digits(s: Column, h: Column, digits: bool = True) -> Column:
         ch = F.substring(s, i, F.lit(1))
         low = F.lower(ch)
         latin = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), number(h, i, 26) + 1, F.lit(1))
-        cyrillic = F.substring(F.lit("абвгдежзиклмнопрстуфхцчшэюя"), number(h, i, 27) + 1, F.lit(1))
-        new = F.when(low.rlike(r"\p{IsCyrillic}"), cyrillic).when(low.rlike(r"\p{L}"), latin)
+        new = F.when(low.between("a", "z"), latin)
+        for script, letters in ALPHABETS.items():
+            new = new.when(low.rlike(rf"\p{{{script}}}"), F.substring(F.lit(letters), number(h, i, len(letters)) + 1, F.lit(1)))
+        new = new.when(low.rlike(r"\p{L}"), latin)
         new = F.when(ch != low, F.upper(new)).otherwise(new)
         if digits:
             new = F.when(ch.rlike(r"[0-9]"), number(h, i, 10).cast("string")).otherwise(new)
@@ -149,36 +179,51 @@ def in_layout(m: Column, digits: Column) -> Column:
 
 
 def new_name(m: Column, h: Column, attempt: Column, secret: str) -> Column:
-    """Title kept; a given name of the list for another of its gender and script; the last word for a drawn surname.
+    """Title kept; a given name for another of its gender and script; the last word for a drawn surname.
 
-    A surname has a syllable more with each attempt, so that there are always more of them than entities.
+    A surname has a syllable or letter more with each attempt, so that there are always more of them than entities.
     """
     parts = F.split(m, " ")
     turn = F.conv(F.substring(F.sha2(F.lit(secret + "\x1fgiven"), 256), 1, 4), 16, 10).cast("int")
+    array = lambda pool: F.array(*[F.lit(x) for x in pool])
 
-    def given(p):
+    def listed(p):
         new = None
-        for names in (GIVEN_F, GIVEN_M, GIVEN_CYR_F, GIVEN_CYR_M):
-            pool = F.array(*[F.lit(x) for x in names])
+        for names in POOLS:
+            pool = array(names)
             other = F.element_at(pool, (F.pmod(F.array_position(pool, p) + F.pmod(turn, F.lit(len(names) - 1)), F.lit(len(names))) + 1).cast("int"))
             new = F.when(p.isin(names), other) if new is None else new.when(p.isin(names), other)
         return new
 
+    def unlisted(p):
+        own = F.conv(F.substring(F.sha2(F.concat(F.lit(secret + "\x1fgiven\x1f"), F.lower(p)), 256), 1, 7), 16, 10).cast("int")
+        drawn = lambda pool: F.element_at(array(pool), F.pmod(own, F.lit(len(pool))) + 1)
+        title = F.regexp_replace(F.element_at(parts, 1), r"\.", "")
+
+        def by_gender(f, m):
+            return F.when(title.isin(TITLES_F), drawn(f)).when(title.isin(TITLES_M), drawn(m)).otherwise(drawn([*f, *m]))
+
+        return (
+            F.when(p.rlike(r"^\p{IsLatin}"), by_gender(GIVEN_F, GIVEN_M))
+            .when(p.rlike(r"^\p{IsCyrillic}"), by_gender(GIVEN_CYR_F, GIVEN_CYR_M))
+            .when(p.rlike(r"^\p{IsGreek}"), by_gender(GIVEN_GRE_F, GIVEN_GRE_M))
+            .otherwise(letters_and_digits(p, h, False))
+        )
+
     def surname(p):
         def pick(pool):
-            array = F.array(*[F.lit(x) for x in pool])
-            return F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(array, number(h, i, len(pool)) + 1)), "")
+            return F.array_join(F.transform(F.sequence(F.lit(1), attempt + 4), lambda i: F.element_at(array(pool), number(h, i, len(pool)) + 1)), "")
 
-        return F.initcap(F.when(p.rlike(r"^\p{IsCyrillic}"), pick(SYLLABLES_CYR)).otherwise(pick(SYLLABLES)))
+        longer = F.concat(p, F.repeat(F.right(p, F.lit(1)), attempt))
+        made = F.when(p.rlike(r"^\p{IsLatin}"), pick(SYLLABLES)).when(p.rlike(r"^\p{IsCyrillic}"), pick(SYLLABLES_CYR)).when(p.rlike(r"^\p{IsGreek}"), pick(SYLLABLES_GRE))
+        return F.initcap(F.coalesce(made, letters_and_digits(longer, h, False)))
 
     title = rf"^(?:{_titles})\.?$"
     last = F.size(parts)
 
     def one(p, i):
         # the last word is what tells the entity, also if it is a given name
-        return F.when(p.rlike(title), p).when(i == last - 1, surname(p)).when(p.isin([*GIVEN_F, *GIVEN_M, *GIVEN_CYR_F, *GIVEN_CYR_M]), given(p)).otherwise(
-            letters_and_digits(p, h, False)
-        )
+        return F.when(p.rlike(title), p).when(i == last - 1, surname(p)).when(p.isin(GIVEN), listed(p)).otherwise(unlisted(p))
 
     return F.array_join(F.transform(parts, one), " ")
 
@@ -246,6 +291,7 @@ def attempts(entities: DataFrame, secret: str) -> DataFrame:
         tried = drawn.join(first, ["t", "s"], "left").join(known, ["t", "s"], "left")
         again = (F.col("first").isNotNull() & (F.col("first") != F.col("c"))) | F.col("known").isNotNull()
         tried = written(tried.select("t", "c", "attempt", again.alias("again")), "tried")
+        erased(drawn)
         if tried.where("again").isEmpty():
             return tried.where("attempt > 0").select("t", "c", "attempt")
         drawn = tried.select("t", "c", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
@@ -253,16 +299,17 @@ def attempts(entities: DataFrame, secret: str) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
     """doc_id, text with surrogates, and the number of entities of each type of every row."""
-    rows = docs.select("doc_id", "text", row_key().alias("row_key")).withColumn("found", mentions(F.col("text")))
-    entities = rows.select(F.explode("found").alias("e")).select("e.t", "e.c").distinct()
-    anew = attempts(written(entities, "entities"), secret)
+    rows = written(docs.select("doc_id", "text", row_key().alias(ROW[0]), row_check().alias(ROW[1])).withColumn("found", mentions(F.col("text"))), "found")
+    some = rows.where(F.size("found") > 0)
+    entities = written(some.select(F.explode("found").alias("e")).select("e.t", "e.c").distinct(), "entities")
+    anew = attempts(entities, secret)
     none = F.create_map().cast("map<int,int>")
     if anew.isEmpty():
         rows = rows.withColumn("drawn", none)
     else:
-        at = rows.select("row_key", F.posexplode("found").alias("i", "e")).select("row_key", "i", "e.t", "e.c").distinct()
-        told = at.join(anew, ["t", "c"]).groupBy("row_key").agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias("drawn"))
-        some = rows.where(F.size("found") > 0).join(written(told, "told"), "row_key", "left").withColumn("drawn", F.coalesce("drawn", none))
+        at = some.select(*ROW, F.posexplode("found").alias("i", "e")).select(*ROW, "i", "e.t", "e.c").distinct()
+        told = at.join(anew, ["t", "c"]).groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("i", "attempt"))).alias("drawn"))
+        some = some.join(written(told, "told"), list(ROW), "left").withColumn("drawn", F.coalesce("drawn", none))
         rows = rows.where(F.size("found") == 0).withColumn("drawn", none).unionByName(some)
     attempt = lambda i: F.coalesce(F.try_element_at(F.col("drawn"), i), F.lit(0))
     full = F.transform("found", lambda e, i: F.struct(e["m"].alias("m"), e["t"].alias("t"), e["c"].alias("c"), attempt(i).alias("attempt")))

@@ -4,8 +4,8 @@ Base spans come from three patterns of fixed meaning. The field then tags the to
 runs of the characters that keys are made of, as begin, inside or outside of a secret, from their
 shape, what stands beside them, and features of the whole text; Viterbi gives the best tags, and
 spans that overlap no base span are added. Tokens that are shorter than LEAST, or plain words, are
-outside by rule, so the chain falls into short runs between them, which are decoded one by one with
-the same result as the whole chain.
+outside by rule; the runs of other tokens between them are the chains: each is fitted and decoded by
+itself, from the start row of the transitions.
 
 The weights are fitted here, on runs of a hash sample of at most TRAIN_RUNS runs of the texts,
 labelled by the patterns that name a key (runs with tokens that look like keys, but have no name, are

@@ -290,6 +290,15 @@ def test_mix(docs, none):
     assert out.columns == docs.columns and out.count() >= len([r for r in got if r.taken])
 
 
+def test_mix_spreads_rows_of_one_id(spark):
+    rows = [(None, f"text {i} of no id", "a") for i in range(400)] + [(7, f"another {i}", "a") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = mixing.sized(table, "s").select("key").distinct().count()
+    assert keys == 800
+    got = mixing.mix(table).collect()
+    assert sum(r.taken for r in got) == round(1.5 * sum(len(t.split()) for _, t, _ in rows))
+
+
 def top_by_hand(rows, every, k):
     """(query id, rank, id, score) of each query row, by scoring all pairs."""
     ok = [(n, i, np.floor(256 * np.array(v, np.float32).astype(float))) for n, (i, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all()]
@@ -379,6 +388,39 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in language_id.language_id(unlabelled).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [1 << 18, 64])
+def test_language_id_by_hand(spark, monkeypatch, size):
+    """Counts, priors and scores against dictionaries of n-grams of whole texts, whatever the slices."""
+    monkeypatch.setattr(language_id, "SLICE", size)
+    rng = random.Random(5)
+    words_of = {"a": "été là où ça ß".split(), "b": "the où of ça in 9".split(), "c": "жар the пар".split()}
+    texts = [(lang, "".join(w + rng.choice([" ", " 12  ", "\n\n", "..." * 30]) for w in rng.choices(words_of[lang], k=rng.randrange(2, 200)))) for lang in rng.choices("aaabbc", k=40)]
+    table = spark.createDataFrame([(i, t, lang if i % 5 else None) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+
+    def grams(text):
+        folded = re.sub(" +", " ", "".join(chr(language_id.fold_table()[ord(c)]) for c in text))
+        return [folded[i : i + n] for n in (1, 2, 3) for i in range(len(folded) - n + 1) if folded[i : i + n].strip()]
+
+    def bucket(gram):
+        codes, h = [ord(c) for c in gram], 0
+        for c in codes:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ (c * 0x9E3779B1 & 0xFFFFFFFF)
+        return (((h ^ (h >> 15)) * 0x85EBCA6B + len(codes)) & 0xFFFFFFFF) >> (32 - 15)
+
+    train = [(lang, t) for i, (lang, t) in enumerate(texts) if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({lang for lang, _ in train})
+    counts = {k: Counter(bucket(g) for lang, t in train if lang == k for g in grams(t)) for k in langs}
+    prior = Counter(lang for lang, _ in train)
+    got = {r.doc_id: r for r in language_id.language_id(table).collect()}
+    for i, (_, text) in enumerate(texts):
+        seen = [bucket(g) for g in grams(text)]
+        total = {k: sum(counts[k].values()) + language_id.ALPHA * language_id.BUCKETS for k in langs}
+        logs = {k: np.log(prior[k] / len(train)) + sum(np.log((counts[k][b] + language_id.ALPHA) / total[k]) for b in seen) for k in langs}
+        top = max(logs, key=logs.get)
+        assert got[i].lang_pred == top
+        assert got[i].score == pytest.approx(1 / sum(np.exp(v - logs[top]) for v in logs.values()), abs=2e-3)
+
+
 def tokens(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -668,6 +710,29 @@ def test_surrogates(spark, none):
     assert other[0] != a.text and other[3] == PRIVATE[3][1]
 
 
+def test_names_keep_script_and_gender(spark):
+    texts = [
+        "Mr Γιώργος Παπαδόπουλος came", "Mrs Zelda Weber came", "Mr Zelda Weber came", "Fatima Hassan met Priya Patel", "Dr 王小明 came", "Dr שרה לוי came",
+    ]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(table, "key").collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) came", got[0])
+    assert m[1] in pii.GIVEN_GRE_M and m[1] != "Γιώργος" and re.fullmatch("[α-ως]+", m[2].lower()) and m[2] != "Παπαδόπουλος"
+    f, g = (re.fullmatch(r"Mrs? (\w+) (\w+) came", got[i]) for i in (1, 2))
+    assert f[1] in pii.GIVEN_F and g[1] in pii.GIVEN_M and f[2] == g[2] != "Weber"
+    m = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+)", got[3])
+    assert m[1] in pii.GIVEN_MORE_F and m[3] in pii.GIVEN_MORE_F and "Hassan" not in got[3] and "Patel" not in got[3]
+    assert re.fullmatch("Dr [\u4e00-\u9fff]{3,} came", got[4]) and got[4] != texts[4]
+    assert re.fullmatch("Dr [א-ת]+ [א-ת]+ came", got[5]) and got[5] != texts[5]
+
+
+def test_very_long_text_of_entities(spark):
+    text = " ".join(f"u{i}@mail.example.com or {'x' * 50}" for i in range(3000))
+    table = spark.createDataFrame([(1, text, "clash", 2)], "doc_id long, text string, found string, row_key long")
+    got = pii.pseudonymise(table, "key").collect()
+    assert got[0].n_email == 3000 and len(set(re.findall(r"\S+@\S+", got[0].text))) == 3000
+
+
 def test_row_keys_of_nulls(docs):
     assert docs.select(row_key().alias("k")).where("k is null").count() == 0
 
