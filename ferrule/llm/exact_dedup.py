@@ -67,9 +67,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     part = F.pmod(F.col("check"), F.lit(runs))
     level, r = first.withColumn("at", F.col("run")), 0
     while FAN**r < runs:
-        moved = level.withColumn("at", F.col("at") + (_digit(part, r) - _digit(F.col("at"), r)) * F.lit(FAN**r))
+        moved = level.withColumn("at", (F.col("at") + (_digit(part, r) - _digit(F.col("at"), r)) * F.lit(FAN**r)).cast("int"))
+        # a run is the partition of its number: none holds two runs while another is empty
         level = (
-            moved.repartition(runs, "at")
+            moved.repartitionById(runs, F.col("at"))
             .groupBy("at", *KEY)
             .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         )
