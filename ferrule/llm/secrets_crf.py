@@ -22,6 +22,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,9 @@ NEAR = frozenset("password passwd pwd secret token key apikey auth authorization
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _DIGIT = re.compile(r"[0-9]")
+_SETTING = re.compile(r"^[ \t]*[\w.-]{1,64}[ \t]*[=:]", re.M)
+_ENCODED = re.compile(r"^[ \t]*[A-Za-z0-9+/]{40,}={0,2}[ \t]*$", re.M)
+_FILE_NAME = re.compile(r"\.(?:py|js|ts|json|ya?ml|toml|env|ini|cfg|conf|pem|key|sh)\b")
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[\"']?\s*[:=]?\s*[\"']?\Z")
 
 
@@ -112,7 +117,12 @@ def features(text: str, a: int, b: int, whole: list[str]) -> list[str]:
 
 
 def text_features(text: str) -> list[str]:
-    return ["text: code"] if text.count("=") + text.count(";") + text.count("{") > len(text) / 200 + 1 else ["text: prose"]
+    """What is seen of a whole text: code or prose, the shares of its lines that set a value or hold encoded bytes, names of files."""
+    lines = text.count("\n") + 1
+    settings, encoded = sum(1 for _ in _SETTING.finditer(text)), sum(1 for _ in _ENCODED.finditer(text))
+    out = ["text: code"] if text.count("=") + text.count(";") + text.count("{") > len(text) / 200 + 1 else ["text: prose"]
+    out += [f"text: settings {min(3, 4 * settings // lines)}", f"text: encoded {min(3, 4 * encoded // lines)}"]
+    return out + ["text: file name"] if _FILE_NAME.search(text) else out
 
 
 def labels(text: str, run: list[tuple[int, int]]) -> list[int]:
@@ -270,10 +280,16 @@ def learn(docs: DataFrame) -> Field:
     return fitted(made_runs() + own)
 
 
+def covering(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """The spans' begins in order, and the greatest end up to each."""
+    ordered = sorted((a, b) for _, a, b in spans)
+    return [a for a, _ in ordered], list(accumulate((b for _, b in ordered), max))
+
+
 def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
     """Base spans and those that the field adds, by start and kind."""
     base = base_spans(text)
-    covered = sorted((a, b) for _, a, b in base)
+    begins, reach = covering(base)
     added = []
     whole = None
     for run in runs(text):
@@ -282,7 +298,8 @@ def all_spans(text: str, field: Field) -> list[tuple[str, int, int]]:
         span = None
         for (a, b), tag in [*zip(run, tags), ((0, 0), 0)]:
             if tag != 2 and span:
-                if not any(x < span[1] and span[0] < y for x, y in covered):
+                at = bisect_left(begins, span[1])  # base spans that begin before this one ends
+                if not at or reach[at - 1] <= span[0]:
                     added.append(("crf", *span))
                 span = None
             if tag == 1:

@@ -1,5 +1,6 @@
 """Operators against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
+import bisect
 import hashlib
 import itertools
 import random
@@ -649,6 +650,45 @@ def test_secrets(spark, none):
     assert secrets_crf.scan(none).count() == 0
 
 
+def test_secrets_of_odd_rows(spark):
+    long = "plain words and more " * 60_000 + "\ntoken = " + "ab12" * 50_000 + " end " + "0123456789abcdef " * 3000
+    rows = [(None, SECRETS, 1, "a"), (7, SECRETS, 2, "b"), (7, SECRETS, 2, "b"), (8, long, None, None), (None, None, 3, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_hex long, spans string")
+    got = secrets_crf.digest_columns(secrets_crf.scan(table)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    same = {(r.base_sha256, r.spans) for r in got if r.doc_id == 7 or (r.doc_id is None and r.spans)}
+    assert len(same) == 1
+    at = next(r for r in got if r.doc_id == 8)
+    begin = long.index("ab12")
+    assert f"assign:{begin}:{begin + 200_000}" in at.spans.split(",")
+    assert (at.n_assign, at.n_hex) == (1, 3001)
+
+
+def test_added_spans_overlap_no_base_span():
+    rng = random.Random(4)
+    for _ in range(200):
+        spans = [("hex", a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        begins, reach = secrets_crf.covering(spans)
+        a = rng.randrange(60)
+        b = a + rng.randrange(1, 9)
+        at = bisect.bisect_left(begins, b)
+        assert bool(at and reach[at - 1] > a) == any(x < b and a < y for _, x, y in spans)
+
+
+def test_keys_without_a_name_on_held_out_runs():
+    field = secrets_crf.fitted(secrets_crf.made_runs())
+    right = Counter()
+    for run, tags in secrets_crf.made_runs(seed=1234):
+        right[bool(tags[0])] += field.best(run) == tags
+        right[bool(tags[0]), "all"] += 1
+    assert right[True] >= 0.9 * right[True, "all"] and right[False] >= 0.95 * right[False, "all"]
+
+
+def test_features_of_whole_texts():
+    assert secrets_crf.text_features("a plain line") == ["text: prose", "text: settings 0", "text: encoded 0"]
+    assert secrets_crf.text_features("a = 1\nb: 2\nin app.yaml\n" + "Ab0/" * 12) == ["text: prose", "text: settings 2", "text: encoded 1", "text: file name"]
+
+
 def test_viterbi_finds_the_best_tags():
     field = secrets_crf.fitted(secrets_crf.made_runs())
     rng = random.Random(9)
