@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_topk, exact_dedup, html_text, language_id, mixing, ngram_join, packing, pii, secrets_crf, sharding
+from . import cover_topk, decontamination, exact_dedup, html_text, kd_clusters, language_id, merkle, mixing, ngram_join, packing, pii, secrets_crf, sharding
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), secret=secret)
 
 
+def op11_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_coordinate_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_prefix_jaccard": op1_prefix_jaccard,
     "op2_virtual_slots": op2_virtual_slots,
@@ -69,10 +81,91 @@ QUERIES = {
     "op8_tiered_packing": op8_tiered_packing,
     "op9_tree_merge_dedup": op9_tree_merge_dedup,
     "op10_keyed_surrogates": op10_keyed_surrogates,
+    "op11_ngram_decontamination": op11_ngram_decontamination,
+    "op12_coordinate_proofs": op12_coordinate_proofs,
+    "op13_kd_clusters": op13_kd_clusters,
     "pipeline": corpus_pipeline.run,
 }
 
+#: SQL of the rounds of clustering: each makes the centroids of the next.
+_ROUNDS = ",\n".join(
+    f"""d{i} AS MATERIALIZED (SELECT row, c, row_number() OVER (PARTITION BY row ORDER BY q - 2 * list_dot_product(v.v, c{i}.v) + c{i}.q2, c) AS place,
+  q - 2 * list_dot_product(v.v, c{i}.v) + c{i}.q2 AS d FROM v, (SELECT c, v, list_dot_product(v, v) AS q2 FROM k{i}) c{i}),
+s{i} AS (SELECT c, k, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM d{i} JOIN v USING (row) WHERE place = 1) GROUP BY c, k),
+m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY k) AS v FROM s{i} GROUP BY c),
+k{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.v, k{i}.v) AS v FROM k{i} LEFT JOIN m{i} USING (c))"""
+    for i in range(10)
+)
+
 ORACLES = {
+    "op11_ngram_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+g AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (
+  SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM g) l, unnest(range(1, len(w) + 1)) AS t(i) WHERE i + n - 1 <= len(w)),
+h AS (SELECT row, i, dw.n, item FROM dw JOIN g ON g.g = dw.g AND g.n = dw.n),
+p AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM h) GROUP BY row),
+t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (row) LEFT JOIN t USING (row)""",
+    "op12_coordinate_proofs": r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, coalesce('=' || lang, '') AS g,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT for x in string_split(doc_id::VARCHAR, '')]),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) AS crc
+  FROM documents),
+l AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claimed FROM f),
+p AS (SELECT row_number() OVER () AS row, *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (
+  SELECT g, 0 AS level, pos AS idx, leaf AS digest, n FROM p
+  UNION ALL SELECT g, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM t WHERE n > 1 GROUP BY g, level, idx // 8),
+s AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos AS idx, subroot AS digest, n FROM s
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 7) // 8 FROM u WHERE n > 1 GROUP BY level, idx // 8),
+c AS (
+  SELECT row, level, p.g, pos // (8 ** level)::BIGINT AS own FROM p JOIN (SELECT DISTINCT g, level FROM t WHERE n > 1) v ON v.g = p.g),
+e AS (
+  SELECT row, c.level, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < own), '') AS lft, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > own), '') AS rgt
+  FROM c JOIN t ON t.g = c.g AND t.level = c.level AND t.idx // 8 = own // 8 GROUP BY row, c.level
+  UNION ALL
+  SELECT row, 100 + y.level, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < own), ''), coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > own), '')
+  FROM (SELECT p.row, v.level, s.pos // (8 ** v.level)::BIGINT AS own FROM p JOIN s ON s.g = p.g, (SELECT DISTINCT level FROM u WHERE n > 1) v) y
+  JOIN u ON u.level = y.level AND u.idx // 8 = own // 8 GROUP BY row, y.level),
+o AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY level) AS k FROM e),
+w AS (SELECT row, 1 AS k, claimed AS digest FROM p UNION ALL SELECT w.row, w.k + 1, sha256(lft || digest || rgt) FROM w JOIN o ON o.row = w.row AND o.k = w.k),
+z AS (SELECT row, arg_max(digest, k) AS folded_root FROM w GROUP BY row),
+q AS (SELECT row, string_agg(lft || rgt, '' ORDER BY k) AS proof FROM o GROUP BY row)
+SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+  folded_root = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON s.g = p.g JOIN z ON z.row = p.row LEFT JOIN q ON q.row = p.row""",
+    "op13_kd_clusters": f"""
+WITH x AS (
+  SELECT row_number() OVER () AS row, vec_id, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS q FROM x),
+k0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < 8),
+{_ROUNDS},
+a AS (SELECT row, c, place, q - 2 * list_dot_product(v.v, k.v) + k.q2 AS d FROM (
+    SELECT row, c, row_number() OVER (PARTITION BY row ORDER BY v.q - 2 * list_dot_product(v.v, k10.v) + list_dot_product(k10.v, k10.v), c) AS place FROM v, k10) z
+  JOIN v USING (row) JOIN (SELECT c, v, list_dot_product(v, v) AS q2 FROM k10) k USING (c) WHERE place = 1)
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string([x::BIGINT for x in k10.v], ',')) AS centroid_sha256
+FROM a JOIN v USING (row) JOIN k10 USING (c)""",
     "op1_prefix_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT row_number() OVER () AS row, doc_id,
