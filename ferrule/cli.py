@@ -31,6 +31,7 @@ class Options:
     closures: bool = False
     prune: bool = True
     sanitize: bool = False
+    track: bool = False
     modules: list[str] = field(default_factory=list)
     dot: bool = False
     probe: bool = False
@@ -51,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-u", "--closures", action="store_true", help="closures are entries, too")
     p.add_argument("--no-prune", dest="prune", action="store_false", help="keep entries that have callers")
     p.add_argument("-s", "--sanitize", action="store_true", help="sanitizers stop taint")
+    p.add_argument("-p", "--paths", dest="track", action="store_true", help="report the statements of a path for each flow of taint, if it enters no sanitizer")
     p.add_argument("-m", "--module", dest="modules", action="append", default=[], help="pattern of analysed modules; others are libraries")
     p.add_argument("-d", "--dot", action="store_true")
     p.add_argument("--probe", action="store_true", help="write the call graph in comparison format")
@@ -94,7 +96,7 @@ def run(spark: SparkSession, options: Options) -> dict[str, DataFrame]:
         out["names"], out["missing"] = reports.function_names(program.facts["function"]), reports.missing_models(program.facts["function"])
     if options.taint and not options.call_graph_only:
         spec = specs.taint(spark, options.taint)
-        paths = stored(program.taint(spec, edge, options.sanitize))
+        paths = stored(program.taint(spec, edge, options.sanitize, options.track))
         sites = edge.join(spec.select(F.col("method").alias("dst"), "description"), "dst").select("s", F.col("dst").alias("method"), "description").distinct()
         out["taint"] = reports.taint_json(paths, spec, sites)
     if options.typestate and not options.call_graph_only:

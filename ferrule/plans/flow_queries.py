@@ -120,6 +120,48 @@ def taint_backward(spark, sf_dir):
     return run_taint(flow_inputs(spark, sf_dir), how=taint.backward)
 
 
+#: Rounds as in the operator: what callees do first, each fact with the least last step; then the ways of each seed.
+#: Steps are lists (kind, statement, side, function, value, callee's entry and end), which compare from the left.
+TRACKED = """se AS (SELECT DISTINCT s, f.f, r FROM farg f JOIN fspec ON fspec.f = f.g AND role = 'source'),
+clean AS (SELECT f FROM fspec WHERE role = 'sanitizer'),
+en AS (SELECT DISTINCT g, q FROM farg),
+p(ef, eq, v, way) USING KEY (ef, eq, v) AS (
+  SELECT g, q::BIGINT, q::BIGINT, NULL::BIGINT[] FROM en
+  UNION (SELECT ef, eq, v, min(way) FROM (
+    SELECT p.ef, p.eq, e.b::BIGINT AS v, [0, 0, p.v, 0, 0]::BIGINT[] AS way FROM p JOIN fedge e ON e.f = p.ef AND e.a = p.v
+    UNION ALL SELECT p.ef, p.eq, a.r::BIGINT, [1, a.s, p.v, a.g, a.q]::BIGINT[] FROM p JOIN farg a ON a.f = p.ef AND a.a = p.v JOIN recurring.p i ON i.ef = a.g AND i.eq = a.q AND i.v = 3
+    UNION ALL SELECT o.ef, o.eq, a.r::BIGINT, [1, a.s, o.v, a.g, a.q]::BIGINT[] FROM p JOIN farg a ON a.g = p.ef AND a.q = p.eq AND p.v = 3 JOIN recurring.p o ON o.ef = a.f AND o.v = a.a
+  ) z WHERE NOT EXISTS (SELECT 1 FROM recurring.p y WHERE y.ef = z.ef AND y.eq = z.eq AND y.v = z.v) GROUP BY ef, eq, v)),
+dirty(ef, eq, v) AS (
+  SELECT ef, eq, v FROM p WHERE ef IN (SELECT f FROM clean)
+  UNION (SELECT p.ef, p.eq, p.v FROM p JOIN dirty d ON d.ef = p.ef AND d.eq = p.eq AND d.v = p.way[3]
+    UNION ALL SELECT p.ef, p.eq, p.v FROM p JOIN dirty d ON p.way[1] = 1 AND d.ef = p.way[4] AND d.eq = p.way[5] AND d.v = 3)),
+t(f0, v0, o, f, v, dist, way) USING KEY (f0, v0, o, f, v) AS (
+  SELECT DISTINCT f, r::BIGINT, 1::BIGINT, f, r::BIGINT, 0, NULL::BIGINT[] FROM se
+  UNION (SELECT f0, v0, o, f, v, min(dist) + 1, min(way) FROM (
+    SELECT t.f0, t.v0, t.o, t.f, e.b::BIGINT AS v, dist, [0, 0, t.o, t.f, t.v, 0, 0]::BIGINT[] AS way FROM t JOIN fedge e ON e.f = t.f AND e.a = t.v
+    UNION ALL SELECT t.f0, t.v0, t.o, t.f, a.r, dist, [1, a.s, t.o, t.f, t.v, a.g, a.q] FROM t JOIN farg a ON a.f = t.f AND a.a = t.v JOIN p i ON i.ef = a.g AND i.eq = a.q AND i.v = 3
+    UNION ALL SELECT t.f0, t.v0, 1, a.f, a.r, dist, [2, a.s, t.o, t.f, t.v, 0, 0] FROM t JOIN farg a ON a.g = t.f AND t.v = 3 AND t.o = 1
+    UNION ALL SELECT t.f0, t.v0, 0, a.g, a.q, dist, [3, a.s, t.o, t.f, t.v, 0, 0] FROM t JOIN farg a ON a.f = t.f AND a.a = t.v
+  ) z WHERE NOT EXISTS (SELECT 1 FROM recurring.t y WHERE y.f0 = z.f0 AND y.v0 = z.v0 AND y.o = z.o AND y.f = z.f AND y.v = z.v) GROUP BY f0, v0, o, f, v)),
+u AS (SELECT DISTINCT u.s AS sink, u.f, u.a AS v FROM farg u JOIN fspec ON fspec.f = u.g AND role = 'sink'),
+h AS (SELECT f0, v0, sink, dist, o, t.f, t.v FROM t JOIN u ON u.f = t.f AND u.v = t.v
+  QUALIFY row_number() OVER (PARTITION BY f0, v0, sink ORDER BY dist, o, t.v) = 1),
+b(f0, v0, sink, back, o, f, v, way) AS (
+  SELECT h.f0, h.v0, h.sink, 0, h.o, h.f, h.v, t.way FROM h JOIN t USING (f0, v0, o, f, v)
+  UNION ALL SELECT b.f0, b.v0, b.sink, back + 1, t.o, t.f, t.v, t.way FROM b JOIN t ON t.f0 = b.f0 AND t.v0 = b.v0 AND t.o = b.way[3] AND t.f = b.way[4] AND t.v = b.way[5]),
+w AS (SELECT b.f0, b.v0, sink, max(back) AS length, string_agg(concat(b.f, ':', b.v), ' ' ORDER BY back DESC) AS path,
+    bool_or(c.f IS NOT NULL OR d.ef IS NOT NULL) AS sanitized
+  FROM b LEFT JOIN clean c ON c.f = b.f LEFT JOIN dirty d ON b.way[1] = 1 AND d.ef = b.way[6] AND d.eq = b.way[7] AND d.v = 3 GROUP BY b.f0, b.v0, sink)
+SELECT 'rule' AS name, s AS source, sink, length::INTEGER AS length, sanitized, path FROM w JOIN se ON se.f = w.f0 AND se.r = w.v0"""
+
+
+@query(TRACKED, *NEED)
+def taint_paths(spark, sf_dir):
+    found = run_taint(flow_inputs(spark, sf_dir), how=taint.tracked)
+    return found.withColumn("path", F.array_join(F.transform("path", lambda x: F.concat_ws(":", x["f"].cast("string"), x["v"])), " "))
+
+
 PATTERNS = [("greens", "source", ".*green.*"), ("small", "sink", "[a-m].*"), ("none", "sink", "no such")]
 
 

@@ -279,3 +279,32 @@ def test_relaxation_is_that_of_the_largest_difference():
             level |= {x: steps * 1e-12 for x in (a, b) if x not in lost} | {-1: 0.0}
         got = weights.relaxed(pd.DataFrame(edge, columns=["src", "dst"]), lost)
         assert got.weight.tolist() == pytest.approx(flow)
+
+
+@pytest.mark.parametrize("seed, n, edges, plain", [(1, 30, 30, 0), (2, 60, 55, 0), (3, 40, 80, 0), (4, 40, 45, 10_000), (5, 12, 0, 0)])
+def test_reach_pairs(spark, monkeypatch, seed, n, edges, plain):
+    """Chains, cycles, self-loops, nodes without edges; nodes that are starts and targets at once."""
+    from ferrule.operators import reach
+
+    monkeypatch.setattr(reach, "PLAIN", plain)
+    rng = random.Random(seed)
+    edge = [(rng.randrange(n), rng.randrange(n)) for _ in range(edges)] + [(n + i, n + i + 1) for i in range(9)] + [(n + 20, n + 21), (n + 21, n + 20), (n + 21, n + 22)]
+    start = [(f"s{i}", rng.randrange(n + 10)) for i in range(8)] + [("on chain", n), ("same", n), ("nowhere", n + 50), ("s0", n + 3)]
+    target = [(f"t{i}", rng.randrange(n + 10)) for i in range(8)] + [("end", n + 9), ("middle", n + 4), ("cycle", n + 21), ("beyond", n + 22), ("nowhere", n + 50)]
+    after = {}
+    for a, b in edge:
+        after.setdefault(a, set()).add(b)
+
+    def reached(x):
+        seen, todo = {x}, [x]
+        while todo:
+            for y in after.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        return seen
+
+    want = {(s, t) for s, a in start for t, b in target if b in reached(a)}
+    frame = lambda rows, kind, a, b: spark.createDataFrame(rows, f"{a} {kind}, {b} long")
+    got = reach.reach_pairs(frame(start, "string", "start", "n"), frame(target, "string", "target", "n"), frame(edge, "long", "src", "dst"))
+    assert {tuple(r) for r in got.collect()} == want
