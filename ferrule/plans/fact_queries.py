@@ -149,6 +149,27 @@ def library_setters(spark, of):
     return lowering.library_setters(of("refs"))
 
 
+@query(
+    """SELECT s AS stmt_id, CAST(0 AS INTEGER) AS idx, 'o' AS sym, CAST(NULL AS VARCHAR) AS field FROM site WHERE target % 4 < 3
+UNION ALL SELECT s, 1, 'v', ['type', '_value'][1 + target % 4] FROM site WHERE target % 4 < 3
+UNION ALL SELECT s, 0, 'v', NULL FROM site WHERE target % 4 = 3 UNION ALL SELECT s, 1, 'o', NULL FROM site WHERE target % 4 = 3""",
+    "site",
+    inputs="""names AS (SELECT *, CASE target % 4 WHEN 0 THEN '#CLLocationManager.activityType!setter.foreign' WHEN 1 THEN '#CLLocationManager.distanceFilter!setter.foreign'
+  WHEN 2 THEN '#CLLocationManager.desiredAccuracy!setter.foreign' ELSE 'other' END AS name FROM site),
+calls AS (SELECT concat('a', s) AS stmt_id, CAST(f AS STRING) AS func, block AS block_ord, 2 * s + 1 AS ord, 'apply' AS kind, concat('r', s) AS result, concat('c', s) AS callee_sym,
+  CAST(NULL AS STRING) AS fn_name, CAST(NULL AS STRING) AS obj, CAST(NULL AS STRING) AS field, split('v,o', ',') AS args FROM names
+  UNION ALL SELECT concat('b', s), CAST(f AS STRING), block, 2 * s, 'builtin_ref', concat('c', s), NULL, name, NULL, NULL, NULL FROM names)""",
+)
+def setter_arguments(spark, of):
+    """What calls take once setters take their receiver first, and the field that was read for it."""
+    stmt = of("calls")
+    arg = stmt.where("kind = 'apply'").select("stmt_id", "func", F.posexplode("args").alias("idx", "sym"))
+    stmt, arg = lowering.setter_calls(stmt, arg)
+    read = stmt.where("kind = 'field_read'").select("func", F.col("result").alias("sym"), "obj", "field")
+    out = arg.join(read, ["func", "sym"], "left")
+    return out.select(F.expr("cast(substring(stmt_id, 2) as bigint)").alias("stmt_id"), "idx", F.coalesce("obj", "sym").alias("sym"), "field")
+
+
 @query(
     "SELECT DISTINCT w.stmt_id, r.obj, r.field FROM reads r JOIN writes w ON w.func = r.func AND w.pointer = r.alias WHERE NOT (w.block_ord = r.block_ord AND w.ord = r.ord + 1)",
     "site",
@@ -184,23 +205,43 @@ def ir_lowering(spark, of):
 ATTRIBUTES = ("none stub", "stub none", "stub model", "none model", "none none", "stub stub")
 
 
-@query("SELECT f, CASE WHEN f % 6 IN (1, 2, 3) THEN 2 ELSE 1 END AS kept FROM func", "func")
-def merged_program(spark, of):
-    """Which of two modules' bodies a program keeps of each function."""
+def merged_modules(spark, of, modules):
+    """Which of two modules' bodies a program keeps of each function; modules: names and kinds, in the order of ATTRIBUTES."""
     func, out = of("func"), None
-    for i, module in enumerate(("a.ir", "b.ir")):
+    for i, (module, kind) in enumerate(modules):
         attribute = F.element_at(F.array(*[F.lit(x.split()[i]) for x in ATTRIBUTES]), (F.col("f") % 6 + 1).cast("int"))
         head = F.when(attribute == "none", "func").otherwise(F.concat(F.lit("func ["), attribute, F.lit("]")))
         text = F.concat(head, F.format_string(" @`f%s` : $`Any` {\nbb0:\n", "f"), F.lit(f"  v = new $`Body{i + 1}`\n  return v\n}}\n"))
         # a part of a module for each brand, as a module may be any number of files
         one = func.select("module", text.alias("text")).groupBy("module").agg(F.concat(F.lit("ir_stage raw\n\n"), F.array_join(F.collect_list("text"), "\n")).alias("text"))
-        one = one.select(F.lit(module).alias("module"), "text")
+        one = ir_text.functions(one.select(F.lit(module).alias("module"), "text")).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    rows = stored(ir_text.functions(out).withColumn("at", F.monotonically_increasing_id()))
+    rows = stored(out.withColumn("at", F.monotonically_increasing_id()))
     kept = ir_model.facts_of(merge.program(rows))["stmt"].where("kind = 'new'")
     return kept.select(F.expr("cast(substring(func, 2) as bigint)").alias("f"), F.expr("cast(right(alloc_type, 1) as int)").alias("kept"))
 
 
+MERGED = "SELECT f, CASE WHEN f % 6 IN (1, 2, 3) THEN 2 ELSE 1 END AS kept FROM func"
+
+
+@query(MERGED, "func")
+def merged_program(spark, of):
+    """Modules of one kind are merged by name."""
+    return merged_modules(spark, of, (("a.ir", 0), ("b.ir", 0)))
+
+
+@query(MERGED, "func")
+def merged_models(spark, of):
+    """Written modules are merged after compiled ones, whatever their names."""
+    return merged_modules(spark, of, (("z.sil", 0), ("a.ir", 1)))
+
+
+@query(MERGED, "func")
+def merged_library(spark, of):
+    """The library's models are merged last, whatever their kind and name."""
+    return merged_modules(spark, of, (("z.ir", 1), ("models.ir", 0)))
+
+
 @query("SELECT concat('m', f) AS module FROM func WHERE f % 3 = 0 OR f % 5 = 0", "func")
 def changed_modules(spark, of):
     """Modules whose text is not what the cache holds, or that it lacks."""

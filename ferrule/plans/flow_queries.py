@@ -120,6 +120,29 @@ def taint_backward(spark, sf_dir):
     return run_taint(flow_inputs(spark, sf_dir), how=taint.backward)
 
 
+@query(taint_sql(), *NEED)
+def taint_demanded(spark, sf_dir):
+    """Taint by what may come to a sink only."""
+    f = flow_inputs(spark, sf_dir)
+    return taint.forward(spec_of(f), named(f["func"]), f["site"], f["edge"], f["use"], f["edges"], f["args"], f["rets"], demand=True)
+
+
+@query(
+    """d(f, v) AS (
+  SELECT DISTINCT farg.f, a::BIGINT FROM farg JOIN fspec ON fspec.f = g AND role = 'sink'
+  UNION (SELECT e.f, e.a::BIGINT FROM d JOIN fedge e ON e.f = d.f AND e.b = d.v
+    UNION ALL SELECT c.f, c.a::BIGINT FROM d JOIN farg c ON c.g = d.f AND c.q = d.v
+    UNION ALL SELECT c.g, 3::BIGINT FROM d JOIN farg c ON c.f = d.f AND c.r = d.v))
+SELECT f, v FROM d""",
+    *NEED,
+)
+def value_demand(spark, sf_dir):
+    """The values from which something may come to an argument of a sink."""
+    f = flow_inputs(spark, sf_dir)
+    sinks = f["use"].join(f["edge"], "s").join(f["fspec"].where("role = 'sink'").select(F.col("f").alias("dst")), "dst").join(f["site"].select("s", "f"), "s")
+    return flow.demanded(sinks.select("f", "v").distinct(), f["edges"], f["args"], f["rets"]).select("f", F.col("v").cast("long").alias("v"))
+
+
 #: Rounds as in the operator: what callees do first, each fact with the least last step; then the ways of each seed.
 #: Steps are lists (kind, statement, side, function, value, callee's entry and end), which compare from the left.
 TRACKED = """se AS (SELECT DISTINCT s, f.f, r FROM farg f JOIN fspec ON fspec.f = f.g AND role = 'source'),
@@ -276,7 +299,7 @@ def crypto_inputs(spark, sf_dir):
 
 @query(ORIGINS + "SELECT cs.site, rule, cs.arg, count(DISTINCT what) AS n FROM cs JOIN og ON og.site = cs.site AND og.arg = cs.arg AND kind = 'class' GROUP BY cs.site, rule, cs.arg", "site", "vseed", "vedge")
 def crypto_const(spark, sf_dir):
-    return crypto.constants(*crypto_inputs(spark, sf_dir))
+    return crypto.constants(*crypto_inputs(spark, sf_dir)).drop("found")
 
 
 @query(ORIGINS + "SELECT cs.site, rule, cs.arg, min(what * 5000) AS least FROM cs JOIN og ON og.site = cs.site AND og.arg = cs.arg AND kind = 'class' AND what * 5000 < 100000 WHERE rule = 5 GROUP BY cs.site, rule, cs.arg", "site", "vseed", "vedge")
@@ -305,7 +328,24 @@ OR (rule = 5 AND (site, arg) IN (SELECT (site, arg) FROM og WHERE kind = 'class'
 def crypto_rules(spark, sf_dir):
     sites, origin = crypto_inputs(spark, sf_dir)
     some = lambda k: origin.where(f"kind = 'result' and cast(func as bigint) % {k} = 0").select("func").distinct()
-    return crypto.violations(sites, origin, some(2), some(3))
+    return crypto.violations(sites, origin, some(2), some(3)).select("rule", "name", "site", "arg")
+
+
+@query(
+    ORIGINS
+    + """, li AS (SELECT cs.site, rule, cs.arg, array_to_string(list_sort(list(DISTINCT CAST(what * 5000 AS VARCHAR))), ',') AS found FROM cs JOIN og ON og.site = cs.site AND og.arg = cs.arg AND kind = 'class'
+  WHERE rule IN (3, 4, 7) GROUP BY cs.site, rule, cs.arg),
+ar AS (SELECT DISTINCT cs.site, rule, cs.arg FROM cs JOIN og ON og.site = cs.site AND og.arg = cs.arg AND kind = 'func' AND what % 5 = 0 WHERE rule IN (3, 4, 7))
+SELECT rule, site, arg, found FROM li UNION ALL SELECT rule, site, arg, NULL FROM ar WHERE (rule, site, arg) NOT IN (SELECT (rule, site, arg) FROM li)""",
+    "site",
+    "vseed",
+    "vedge",
+)
+def crypto_arrays(spark, sf_dir):
+    """Constant keys, salts and passwords: the literals found, and arrays written out in the program."""
+    sites, origin = crypto_inputs(spark, sf_dir)
+    none, arrays = origin.select("func").where("false"), origin.where("kind = 'result' and cast(func as bigint) % 5 = 0").select("func").distinct()
+    return crypto.violations(sites.where("rule in (3, 4, 7)"), origin, none, none, arrays).select("rule", "site", "arg", F.array_join("found", ",").alias("found"))
 
 
 # --- modules, lowering, control flow ---------------------------------------------------------------
