@@ -11,10 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations, callgraph, dispatch, lowering, merge, query_engine, reports
+from ..operators import annotations, callgraph, dispatch, lowering, merge, query_engine, reports, typestate
 from ..sources import ir_model, ir_text, specs
 from ..sources.projection import facts, with_facts
 from ..streaming import changed_modules as changed
+from .program import Program
 from .store import shared_dir, stored
 
 QUERIES: dict = {}
@@ -251,6 +252,35 @@ def changed_modules(spark, of):
     return changed(func.select(module, text.alias("text")), cache).select("module")
 
 
+@query(
+    """x AS (SELECT f, ['other', 'automotiveNavigation', 'fitness', 'otherNavigation', 'airborne'][1 + f % 5] AS a FROM func WHERE f % 3 > 0)
+SELECT f, concat('#CLActivityType.', a, '!enumelt (active)') AS state, CAST(CASE WHEN f % 3 = 1 THEN 2 ELSE 3 END AS INTEGER) AS line FROM x WHERE a <> 'airborne'
+UNION ALL SELECT f, '#CLActivityType.other!enumelt (active)', 3 FROM func WHERE f % 3 = 0""",
+    "func",
+)
+def coded_machine(spark, of):
+    """A machine written in code, on a program: managers whose activity is set before or after they start, or never, in a function of its own."""
+    activity = F.element_at(F.array(*[F.lit(a) for a in typestate.ACTIVITIES]), (F.col("f") % 5 + 1).cast("int"))
+    head = F.format_string(
+        "func @`f%s` : $`Any` {\nbb0:\n  m = new $`CLLocationManager`\n  t = literal [string] \"#CLActivityType.%s!enumelt\", $`Any`\n  e = new $`CLActivityType`\n  field_write t to e, type\n"
+        "  set = builtin_ref @`#CLLocationManager.activityType!setter.foreign`, $`Any`\n  go = builtin_ref @`#CLLocationManager.startMonitoringVisits!foreign`, $`Any`\n",
+        F.col("f"), activity,
+    )
+    set_ = F.format_string('  a = apply set(e, m), $`()` : "%s":2:1\n', F.col("f"))
+    go = F.format_string('  b = apply go(m), $`()` : "%s":3:1\n', F.col("f"))
+    body = F.when(F.col("f") % 3 == 0, go).when(F.col("f") % 3 == 1, F.concat(go, set_)).otherwise(F.concat(set_, go))
+    texts = of("func").select(F.concat(F.lit("m"), "f").alias("module"), F.concat(F.lit("ir_stage raw\n\n"), head, body, F.lit("  return m\n}\n")).alias("text"))
+    program = Program(ir_text.functions(texts))
+    state = [("VisitsService", 1, n.removesuffix(" (active)"), True, False, False, "", 1) for n, bad in typestate.visits_machine()[1] if bad]
+    spec = {
+        "machine": spark.createDataFrame([("VisitsService", 1, None, False, "", "")], "name string, style int, type string, class boolean, description string, advice string"),
+        "state": spark.createDataFrame(state, "machine string, style int, name string, error boolean, initial boolean, accepting boolean, message string, severity int"),
+        "transition": None,
+    }
+    found = program.typestate(spec, stored(callgraph.trivial(program.sites(), program.func)))
+    return found.select(F.col("pos.path").cast("long").alias("f"), "state", F.col("pos.line").alias("line"))
+
+
 # --- specifications and reports ----------------------------------------------------------------------
 
 

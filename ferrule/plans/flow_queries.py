@@ -239,7 +239,7 @@ _moves, _initial = machine_sql(typestate.standard_machine)
     f"""{_moves}, nf AS (SELECT obj, ord, event, (ord * 37 + obj) % 70000 AS d FROM trace),
 ev AS (SELECT obj, ord, CASE event WHEN 'view' THEN 'setFilter:' || CASE WHEN d <= 136 THEN '16' WHEN d <= 2176 THEN '256' WHEN d <= 34816 THEN '4096' ELSE '65536' END
   WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'stop'
-  WHEN 'signup' THEN 'setAccuracy:' || ['Best', 'NearestTenMeters', 'HundredMeters', 'Kilometer'][ord % 4 + 1] ELSE 'other' END AS event FROM nf),
+  WHEN 'signup' THEN 'setAccuracy:' || ['Best', 'Hundred', 'Kilometer', 'Navigation'][ord % 4 + 1] ELSE 'other' END AS event FROM nf),
 r AS (SELECT obj, 0::BIGINT AS ord, '{_initial}' AS state FROM (SELECT DISTINCT obj FROM trace)
   UNION ALL SELECT r.obj, t.ord, coalesce(tr.dst, r.state) FROM r JOIN ev t ON t.obj = r.obj AND t.ord = r.ord + 1 LEFT JOIN tr ON tr.src = r.state AND tr.event = t.event),
 e AS (SELECT obj, max_by(state, ord) AS state FROM r GROUP BY obj)

@@ -404,3 +404,43 @@ def test_plain_taint_sees_both_flows(spark, tmp_path):
     (tmp_path / "spec.json").write_text(spec)
     out = run_program(spark, tmp_path, WAYS, "-t", str(tmp_path / "spec.json"))
     assert [p["path"] for p in json.loads(out["taint"].first().json)["paths"]] == [["m:1:1", "m:4:9"], ["m:1:1", "m:7:1"]]
+
+
+LOCATION = """ir_stage raw
+func @`main_app` : $`Any` {
+bb0:
+  set_accuracy = builtin_ref @`#CLLocationManager.desiredAccuracy!setter.foreign`, $`Any`
+  set_filter = builtin_ref @`#CLLocationManager.distanceFilter!setter.foreign`, $`Any`
+  start = builtin_ref @`#CLLocationManager.startUpdatingLocation!foreign`, $`Any`
+  hundred = singleton_read kCLLocationAccuracyHundredMeters from Globals_app, $`Double`
+  number = literal [float] 4000.5, $`Builtin.FPIEEE64`
+  metres = new $`Double`
+  field_write number to metres, _value
+  bad = new $`CLLocationManager`
+  a = apply start(bad), $`()` : "m":2:1
+  b = apply set_accuracy(hundred, bad), $`()` : "m":3:1
+  c = apply set_filter(metres, bad), $`()` : "m":4:1
+  good = new $`CLLocationManager`
+  d = apply start(good), $`()` : "m":5:1
+  e = apply set_accuracy(hundred, good), $`()` : "m":6:1
+  unstarted = new $`CLLocationManager`
+  f = apply set_filter(metres, unstarted), $`()` : "m":7:1
+  return a
+}
+"""
+
+
+def test_a_machine_in_code_on_a_program(spark):
+    """Accuracy is a global, the filter a number held in a field; an error only for what is started, with a filter that doesn't fit."""
+    from ferrule.operators import typestate
+    from ferrule.plans.program import Program
+
+    texts = spark.createDataFrame([("app", LOCATION)], "module string, text string")
+    p = Program(ir_text.functions(texts))
+    states = [("StandardLocationService", 1, n.removesuffix(" (active)"), True, False, False, f"not {n}", 2) for n, bad in typestate.standard_machine()[1] if bad]
+    spec = {
+        "machine": spark.createDataFrame([("StandardLocationService", 1, None, False, "", "")], "name string, style int, type string, class boolean, description string, advice string"),
+        "state": spark.createDataFrame(states, "machine string, style int, name string, error boolean, initial boolean, accepting boolean, message string, severity int"),
+    }
+    found = p.typestate(spec, p.call_graph("prta")).collect()
+    assert [(r.pos.line, r.state, r.severity) for r in found] == [(4, "Hundred_4096 (active)", 2)]
