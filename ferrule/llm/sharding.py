@@ -8,11 +8,11 @@ growing by a shard moves slots only into it. Older versions stay as they are. On
 and the map (SLOTS numbers, whatever the input) ever reach the driver.
 
 Law: `bytes`, the shards' sizes are near equal. A hot record key cannot unbalance it, as the
-hash takes the id and the text's checksum together, and the row's number, too, where equal
-rows are more than HOT times what a slot holds on average.
+hash takes the id and the text's checksum together, and the row's rank among its equals, too,
+where equal rows have more than HOT times the bytes that a slot has on average.
 
 Defined results: null text has no bytes and checksum 0; null doc_id hashes as null; repeated
-rows are placed one by one, those equal in all respects in one slot if they are few; an empty table gives an
+rows are placed one by one, those equal in all respects in one slot if they are small; an empty table gives an
 empty result; further columns are ignored.
 """
 
@@ -31,7 +31,7 @@ SLOTS = 8192
 SHARDS = 24
 #: Fixed part of a record's size, in bytes.
 RECORD_BYTES = 8
-#: Equal rows are spread over slots beyond so many times a slot's mean number of rows.
+#: Equal rows are spread over slots beyond so many times a slot's mean bytes.
 HOT = 4
 
 
@@ -45,20 +45,32 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
-def spread(rows: DataFrame, count: dict[int, int], slots: int) -> DataFrame | None:
-    """rows, written, with slots by row number too for records repeated too often; None if there are none."""
-    most = HOT * sum(count.values()) / slots
-    if max(count.values(), default=0) <= max(1, most):
+def spread(rows: DataFrame, load: dict[int, int], slots: int) -> DataFrame | None:
+    """rows, written, with slots by rank too for equal records that are too many bytes for one slot; None if there are none.
+
+    Ranks number the equal rows of a record from 0, so where they go depends on their number alone.
+    """
+    most = HOT * sum(load.values()) / slots
+    if max(load.values(), default=0) <= most:
         return None
-    # fewer than slots / HOT records can be so frequent
-    hot = rows.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, most))
+    key = ["doc_id", "text_crc32"]
+    # fewer than slots / HOT records can be so large
+    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).where((F.col("n") > 1) & (F.col("bytes") > most))
     hot = written(hot.select(F.col("doc_id").alias("hot_id"), F.col("text_crc32").alias("hot_crc32"), F.lit(True).alias("hot")), "hot")
     if hot.isEmpty():
         return None
     same = F.col("doc_id").eqNullSafe(F.col("hot_id")) & (F.col("text_crc32") == F.col("hot_crc32"))
-    salted = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
-    joined = rows.join(F.broadcast(hot), same, "left")
-    return written(joined.select("doc_id", "size", "text_crc32", F.when(F.col("hot"), salted).otherwise(F.col("vslot")).alias("vslot")), "spread")
+    marked = rows.join(F.broadcast(hot), same, "left").select(*rows.columns, F.coalesce("hot", F.lit(False)).alias("hot"))
+    # ranks: by partition first, a row for each partition of each record, then within it
+    parts = marked.where("hot").groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("crc"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*key, "part").orderBy("row")
+    ranked = marked.where("hot").withColumn("i", F.row_number().over(inside))
+    ranked = ranked.join(base, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_crc32") == F.col("crc")) & (F.col("part") == F.col("at")))
+    salted = F.pmod(F.xxhash64(*key, F.col("base") + F.col("i")), F.lit(slots)).cast("int")
+    columns = ["doc_id", "size", "text_crc32"]
+    return written(marked.where("not hot").select(*columns, "vslot").unionByName(ranked.select(*columns, salted.alias("vslot"))), "spread")
 
 
 def first_map(slots: int, shards: int) -> list[int]:
@@ -191,9 +203,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: s
     held = max(owner) + 1
     if len(owner) != slots or held > shards:
         raise ValueError(f"the map in {path} has {len(owner)} slots and {held} shards")
-    rows = written(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
+    rows = written(records(docs, slots).withColumns({"row": F.monotonically_increasing_id(), "part": F.spark_partition_id()}), "records")
     load, count = totals(rows)
-    even = spread(rows, count, slots)
+    even = spread(rows, load, slots)
     if even is not None:
         rows = even
         load, count = totals(rows)

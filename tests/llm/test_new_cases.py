@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ferrule.llm import decontamination, kd_clusters, merkle
+from ferrule.llm import decontamination, kd_clusters, merkle, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, g string, n_words int"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -259,3 +259,23 @@ def test_clusters_of_nothing(spark):
 def test_components_too_large_for_exact_distances(spark):
     with pytest.raises(Exception, match="would not be exact"):
         kd_clusters.cluster(spark.createDataFrame([(1, [1e9, 0.0])], "vec_id long, embedding array<double>"), dim=2).count()
+
+
+# --- sharding of large equal rows ----------------------------------------------------------------
+
+
+@pytest.mark.parametrize("small, large, size, id", [(8000, 3, 1_000_000, 7), (4000, 25, 1_000_000, None)])
+def test_large_equal_rows_are_spread(spark, small, large, size, id):
+    """Equal rows are hot by their bytes; what cannot be cut is one row."""
+    rows = [(i, "x" * 92) for i in range(small)] + [(id, "y" * (size - 8))] * large
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sharding.shard(docs).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert len(got) == len(rows) and sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range(Counter(r.shard for r in got)[s])]
+    mean = sum(sums.values()) / 24
+    assert max(sums.values()) <= max(mean, size) + size and len({r.shard for r in got if r.size == size}) == min(large, 24)
+    again = sharding.shard(docs.repartition(3))
+    key = lambda df: Counter((r.doc_id, r.size, r.vslot) for r in df)
+    assert key(again.collect()) == key(got)
