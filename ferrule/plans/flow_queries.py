@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotations, crypto, flow, lowering, merge, taint, typestate
+from ..operators import annotations, crypto, flow, lowering, merge, taint, typestate, unify
 from ..sources.projection import facts, with_facts
 from .store import stored
 
@@ -348,6 +348,49 @@ def crypto_arrays(spark, sf_dir):
     return crypto.violations(sites.where("rule in (3, 4, 7)"), origin, none, none, arrays).select("rule", "site", "arg", F.array_join("found", ",").alias("found"))
 
 
+@query(
+    """st AS (SELECT s, f, block, row_number() OVER (PARTITION BY f, block ORDER BY s) AS ord, i % 3 AS kind, i % 4 AS tag, i FROM site),
+nx AS (SELECT *, lead(kind) OVER (PARTITION BY f, block ORDER BY ord) AS nk, lead(tag) OVER (PARTITION BY f, block ORDER BY ord) AS nt FROM st)
+SELECT DISTINCT c.s AS site, c.i AS arg FROM nx m JOIN site c ON c.f = m.f AND c.i % 7 = m.i % 7 WHERE m.kind = 0 AND m.nk = 1 AND m.nt = 0""",
+    "site",
+)
+def crypto_enums(spark, sf_dir):
+    """Arguments that an allocation of an enumeration in ECB mode reaches: its tag is the literal directly after it."""
+    s = stored(facts(spark, sf_dir, "site")["site"])
+    order = Window.partitionBy("f", "block").orderBy("s")
+    kind, tag = F.element_at(F.array(F.lit("new"), F.lit("literal"), F.lit("apply")), (F.col("i") % 3 + 1).cast("int")), F.when(F.col("i") % 4 == 0, crypto.ECB_TAG).otherwise("other")
+    stmt = s.select(F.col("s").alias("stmt_id"), F.col("f").alias("func"), F.col("block").alias("block_ord"), F.row_number().over(order).alias("ord"), kind.alias("kind"), F.col("i").alias("result"), tag.alias("lit_str"))
+    tags = crypto.enum_tags(stmt).where(F.col("tag") == crypto.ECB_TAG)
+    near = s.select(F.col("f"), (F.col("i") % 7).alias("k"), F.col("s").alias("site"), F.col("i").alias("arg"))
+    origin = near.join(s.select("f", (F.col("i") % 7).alias("k"), F.col("s").alias("made")), ["f", "k"]).select("site", "arg", F.lit("allocation").alias("kind"), "made")
+    return crypto.from_tags(near.select("site", F.lit(1).alias("rule"), "arg"), origin, tags).select("site", "arg").distinct()
+
+
+@query(
+    """n AS (SELECT f * 4 + k AS n FROM func, (SELECT unnest([0, 1, 2, 3]) AS k) ks),
+c AS (SELECT f * 4 + a AS src, f * 4 + b AS dst FROM ffield WHERE op = 0),
+x AS (SELECT f * 4 + a AS obj, field, f * 4 + b AS n FROM ffield WHERE op = 1 UNION SELECT f * 4 + b, field, f * 4 + a FROM ffield WHERE op = 2),
+e(a, b) AS (
+  SELECT n, n FROM n
+  UNION (SELECT e.a, c.dst FROM e JOIN c ON c.src = e.b UNION ALL SELECT e.a, c.src FROM e JOIN c ON c.dst = e.b
+    UNION ALL SELECT e.b, e.a FROM e
+    UNION ALL SELECT d.a, e.b FROM e JOIN recurring.e d ON d.b = e.a UNION ALL SELECT e.a, d.b FROM e JOIN recurring.e d ON d.a = e.b
+    UNION ALL SELECT x.n, y.n FROM e JOIN x ON x.obj = e.a JOIN x y ON y.obj = e.b AND y.field = x.field))
+SELECT a AS n, min(b) AS root FROM e GROUP BY a""",
+    "ffield",
+    "func",
+)
+def alias_congruence(spark, sf_dir):
+    """Classes of values joined by copies, and by equal fields of objects of one class, until nothing more is joined."""
+    f = facts(spark, sf_dir, "ffield", "func")
+    at = lambda c: (F.col("f") * 4 + F.col(c))
+    value = f["func"].select(F.explode(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.col("f") * 4 + k)).alias("n"))
+    field = stored(f["ffield"])
+    copy = field.where("op = 0").select(at("a").alias("src"), at("b").alias("dst"))
+    load, store = field.where("op = 1").select(at("a").alias("obj"), "field", at("b").alias("n")), field.where("op = 2").select(at("b").alias("obj"), "field", at("a").alias("n"))
+    return unify.alias_classes(value, copy, load.unionByName(store).distinct()).select("n", "root")
+
+
 # --- modules, lowering, control flow ---------------------------------------------------------------
 
 #: Three parts, or two, are versions of one function.

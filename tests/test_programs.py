@@ -444,3 +444,58 @@ def test_a_machine_in_code_on_a_program(spark):
     }
     found = p.typestate(spec, p.call_graph("prta")).collect()
     assert [(r.pos.line, r.state, r.severity) for r in found] == [(4, "Hundred_4096 (active)", 2)]
+
+
+CIPHER = """ir_stage raw
+func @`main_app` : $`Any` {
+bb0:
+  make = function_ref @`Swift._allocateUninitializedArray<A>(Builtin.Word) -> ([A], Builtin.RawPointer)`, $`Any`
+  n = literal [int] 16, $`Builtin.Word`
+  pair = apply make(n), $`Pair`
+  mode = new $`BlockMode`
+  tag = literal [string] "#BlockMode.ECB!enumelt", $`Builtin.RawPointer`
+  field_write tag to mode, type
+  init = function_ref @`CryptoSwift.AES.__allocating_init(key: [Swift.UInt8], blockMode: CryptoSwift.BlockMode) throws -> CryptoSwift.AES`, $`Any`
+  c = apply init(pair, mode), $`AES` : "m":5:1
+  text = literal [string] "0123", $`Builtin.RawPointer`
+  hmac = function_ref @`CryptoSwift.HMAC.__allocating_init(key: Swift.String) throws -> CryptoSwift.HMAC`, $`Any`
+  h = apply hmac(text), $`HMAC` : "m":6:1
+  return c
+}
+func [stub] @`Swift._allocateUninitializedArray<A>(Builtin.Word) -> ([A], Builtin.RawPointer)` : $`Pair` {
+bb0(n : $`Builtin.Word`):
+  r = new $`Pair`
+  return r
+}
+func [stub] @`CryptoSwift.AES.__allocating_init(key: [Swift.UInt8], blockMode: CryptoSwift.BlockMode) throws -> CryptoSwift.AES` : $`AES` {
+bb0(k : $`Key`, b : $`BlockMode`):
+  r = new $`AES`
+  return r
+}
+func [stub] @`CryptoSwift.HMAC.__allocating_init(key: Swift.String) throws -> CryptoSwift.HMAC` : $`HMAC` {
+bb0(k : $`String`):
+  r = new $`HMAC`
+  return r
+}
+"""
+
+
+def test_arrays_and_enumerations_in_crypto_rules(spark, tmp_path):
+    import json
+
+    out = run_program(spark, tmp_path, CIPHER, "--crypto")
+    found = [(r["name"], r["message"], r["location"]) for r in json.loads(out["crypto"].first().json)]
+    assert found == [("ECB", "ECB mode (argument 1)", "m:5:1"), ("KEY", "constant key (argument 0)", "m:5:1"), ("KEY", "constant key: 0123 (argument 0)", "m:6:1")]
+
+
+def test_written_models_take_the_place_of_stubs(spark):
+    """Kinds before names: a model in a module that sorts first still comes after the compiled stub."""
+    from ferrule.operators import merge
+
+    body = lambda module, attribute, kind, at: (module, "f", attribute, kind, at)
+    rows = [body("a.ir", "model", 1, 0), body("z.sil", "stub", 0, 1)]
+    df = spark.createDataFrame(rows, "module string, func string, attribute string, kind int, at long")
+    assert [r.module for r in merge.program(df).collect()] == ["a.ir"]
+    rows = [body("models.ir", "model", 0, 0), body("z.ir", "stub", 1, 1)]
+    df = spark.createDataFrame(rows, df.schema)
+    assert [r.module for r in merge.program(df).collect()] == ["models.ir"]
