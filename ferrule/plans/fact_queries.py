@@ -281,6 +281,33 @@ def coded_machine(spark, of):
     return found.select(F.col("pos.path").cast("long").alias("f"), "state", F.col("pos.line").alias("line"))
 
 
+FILE_MOVES = [("open", r"F\d+\.close.*", "closed"), ("closed", r"F\d+\.read.*", "bad")]
+
+
+@query("SELECT f, CAST(CASE WHEN f % 2 = 0 AND f % 3 = 0 THEN 2 ELSE 4 END AS INTEGER) AS line FROM func WHERE f % 2 = 0 OR f % 5 = 0", "func")
+def typestate_outliving(spark, of):
+    """Objects that are made, and closed or not, in one function and end in its caller, which may read, close and read them."""
+    f = F.col("f").cast("string")
+    call = lambda name, line: F.concat(F.lit(f"  r{line} = apply {name}(a), $`()` : \""), f, F.lit(f'":{line}:1\n'))
+    refs = F.concat(F.lit("  close = function_ref @`F"), f, F.lit(".close() -> ()`, $`Any`\n  read = function_ref @`F"), f, F.lit(".read() -> ()`, $`Any`\n"))
+    made = F.concat(F.lit("func @`made"), f, F.lit("() -> File` : $`File` {\nbb0:\n  a = new $`File`\n"), refs, F.when(F.col("f") % 2 == 0, call("close", 1)).otherwise(""), F.lit("  return a\n}\n"))
+    used = F.concat(
+        F.lit("func @`use"), f, F.lit("() -> ()` : $`File` {\nbb0:\n  make = function_ref @`made"), f, F.lit("() -> File`, $`Any`\n"), refs, F.lit("  a = apply make(), $`File`\n"),
+        F.when(F.col("f") % 3 == 0, call("read", 2)).otherwise(""), F.when(F.col("f") % 5 == 0, call("close", 3)).otherwise(""), call("read", 4), F.lit("  return r4\n}\n"),
+    )
+    stub = lambda name: F.concat(F.lit("func [stub] @`F"), f, F.lit(f".{name}() -> ()` : $`()` {{\nbb0(self : $`File`):\n  r = new $`()`\n  return r\n}}\n"))
+    texts = of("func").select(F.concat(F.lit("m"), f).alias("module"), F.concat(F.lit("ir_stage raw\n\n"), made, used, stub("close"), stub("read")).alias("text"))
+    program = Program(ir_text.functions(texts))
+    states = [("files", 0, n, n == "bad", n == "open", False, "read when closed" if n == "bad" else None, None) for n in ("open", "closed", "bad")]
+    spec = {
+        "machine": spark.createDataFrame([("files", 0, "File", False, "", "")], "name string, style int, type string, class boolean, description string, advice string"),
+        "state": spark.createDataFrame(states, "machine string, style int, name string, error boolean, initial boolean, accepting boolean, message string, severity int"),
+        "transition": spark.createDataFrame([("files", a, m, "This", b, "OnCall") for a, m, b in FILE_MOVES], "machine string, from_state string, method string, param string, to_state string, moment string"),
+    }
+    found = program.typestate(spec, stored(callgraph.trivial(program.sites(), program.func)))
+    return found.select(F.col("pos.path").cast("long").alias("f"), F.col("pos.line").alias("line"))
+
+
 # --- specifications and reports ----------------------------------------------------------------------
 
 

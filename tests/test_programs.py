@@ -335,6 +335,68 @@ def test_typestate_of_a_program(spark, tmp_path):
     assert [(e["pos"], e["state"], e["severity"]) for e in found["errors"]] == [("m:4:1", "bad", 2)]
 
 
+OUTLIVING = """ir_stage raw
+func @`main_app` : $`Int32` {
+bb0:
+  make = function_ref @`made() -> File`, $`Any`
+  keep = function_ref @`kept(in: Box) -> ()`, $`Any`
+  read = function_ref @`File.read() -> ()`, $`Any`
+  outside = function_ref @`elsewhere.seal(file: File) -> ()`, $`Any`
+  a = apply make(), $`File` : "m":1:1
+  x = apply read(a), $`()` : "m":2:1
+  box = new $`Box`
+  k = apply keep(box), $`()` : "m":3:1
+  b = field_read box, file, $`File`
+  y = apply read(b), $`()` : "m":4:1
+  c = new $`File`
+  o = apply outside(c), $`()` : "m":5:1
+  z = apply read(c), $`()` : "m":6:1
+  d = new $`File`
+  br bb1
+bb1:
+  w = apply read(d), $`()` : "m":7:1
+  more = new $`Bool`
+  br_if more, bb1
+bb2:
+  return x
+}
+func @`made() -> File` : $`File` {
+bb0:
+  f = new $`File`
+  close = function_ref @`File.close() -> ()`, $`Any`
+  r = apply close(f), $`()` : "m":11:1
+  return f
+}
+func @`kept(in: Box) -> ()` : $`()` {
+bb0(in : $`Box`):
+  f = new $`File`
+  close = function_ref @`File.close() -> ()`, $`Any`
+  r = apply close(f), $`()` : "m":21:1
+  field_write f to in, file
+  return r
+}
+""" + FILES[FILES.index("func [stub]"):]
+
+
+def test_objects_that_outlive_the_function_that_made_them(spark, tmp_path):
+    """Returned or stored in an argument's field, an object ends in the caller; a loop without transitions ends, too.
+
+    Calls that lead into the program take transitions OnCall, others those OnCallToReturn."""
+    import json
+
+    (base,) = json.loads(MACHINE)
+    machines = []
+    for moment in ("OnCall", "OnCallToReturn", "None"):
+        close, read = base["transitions"]
+        machines.append({**base, "name": moment, "transitions": [{**close, "method": "(File\\.close|elsewhere).*", "type": moment}, read]})
+    (tmp_path / "m.json").write_text(json.dumps(machines))
+    out = run_program(spark, tmp_path, OUTLIVING, "-e", str(tmp_path / "m.json"))
+    found = [json.loads(r.json) for r in out["typestate"].collect()]
+    got = {d["name"]: sorted(e["pos"] for e in d["errors"] or []) for d in found}
+    # 2 and 4: closed where they were made; 6: closed outside the program
+    assert {n: got.get(n, []) for n in ("OnCall", "OnCallToReturn", "None")} == {"OnCall": ["m:2:1", "m:4:1"], "OnCallToReturn": ["m:6:1"], "None": []}
+
+
 def test_crypto_of_a_program(spark, tmp_path):
     import json
 
