@@ -6,7 +6,6 @@ import argparse
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +63,13 @@ def parser() -> argparse.ArgumentParser:
 def load(spark: SparkSession, options: Options) -> Program:
     """The functions of all modules of a folder, merged; a model among the textual ones, which come after the compiled, takes the place of a stub."""
     parts, tables = [], None
-    names = [p.name for p in Path(options.path).rglob("*")] if "://" not in options.path else ["x.sil", "x.ir"]
-    if any(n.endswith(".sil") for n in names):
-        rows, tables = sil.read(spark, options.path)
+    compiled = sil.texts(spark, options.path)
+    if compiled.inputFiles():
+        rows, tables = sil.split(compiled)
         parts.append(rows.withColumn("kind", F.lit(merge.KINDS.index("compiled"))))
-    if any(n.endswith(".ir") for n in names):
-        parts.append(ir_text.read(spark, options.path, "*.ir").withColumn("kind", F.lit(merge.KINDS.index("written"))))
+    written = ir_text.read(spark, options.path, "*.ir")
+    if written.inputFiles():
+        parts.append(written.withColumn("kind", F.lit(merge.KINDS.index("written"))))
     if not parts:
         raise FileNotFoundError(f"no .sil or .ir files in {options.path}")
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

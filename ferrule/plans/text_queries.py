@@ -83,6 +83,31 @@ def sil_parse(spark, sf_dir):
     return parsed_calls(ir_text.functions(sil_texts(spark, sf_dir), parser=sil.parse))
 
 
+@query(
+    """SELECT 'vtable_entry' AS what, concat('c', c) AS a, concat('#c', c % 5, '.v', i) AS b, concat('m', m) AS d, concat('c', c % 5) AS e FROM dispatch
+UNION SELECT 'witness_entry', concat('c', c), concat('p', c % 7), concat('#p', c % 7, '.i', i), concat('m', m) FROM dispatch
+UNION SELECT 'witness', concat('c', c), concat('p', c % 7), NULL, NULL FROM dispatch UNION SELECT 'base', concat('c', c), concat('q', c % 3), NULL, NULL FROM dispatch
+UNION SELECT 'global', concat('g', c), 'Int', NULL, NULL FROM dispatch UNION SELECT 'function', concat('h', c), 'Int', NULL, NULL FROM dispatch""",
+    "dispatch",
+)
+def sil_tables(spark, sf_dir):
+    """Dispatch tables, globals and functions of compiled modules, one for each class, from a single parse of their texts."""
+    d = facts(spark, sf_dir, "dispatch")["dispatch"].select("c", "i", "m").distinct()
+    slot = d.select("c", F.format_string("  #c%s.v%s: @m%s", F.col("c") % 5, "i", "m").alias("v"), F.format_string("  method #p%s.i%s: @m%s", F.col("c") % 7, "i", "m").alias("w"))
+    lines = slot.groupBy("c").agg(F.array_join(F.collect_list("v"), "\n").alias("v"), F.array_join(F.collect_list("w"), "\n").alias("w"))
+    text = F.format_string(
+        "sil_stage canonical\n\nsil_global hidden @g%s : $Int\n\nsil @h%s : $@convention(thin) () -> Int\n\nsil_vtable c%s {\n%s\n}\n\nsil_witness_table hidden c%s: p%s module app {\n  base_protocol q%s: c%s: q module app\n%s\n}\n",
+        "c", "c", "c", "v", "c", F.col("c") % 7, F.col("c") % 3, "c", "w",
+    )
+    functions, tables = sil.split(lines.select(F.format_string("m%s.sil", "c").alias("module"), text.alias("text")))
+    rows = [df.drop("module").toDF(*"abde"[: len(df.columns) - 1]).withColumn("what", F.lit(name)) for name, df in tables.items()]
+    rows.append(functions.where("func rlike '^h[0-9]+$'").select(F.lit("function").alias("what"), F.col("func").alias("a"), F.col("return_type").alias("b")))
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out.select("what", "a", "b", "d", "e")
+
+
 @query("SELECT 'f' || src AS src, 'f' || dst AS dst FROM call", "call")
 def probe_roundtrip(spark, sf_dir):
     f = facts(spark, sf_dir, "call", "func", "entry")

@@ -12,8 +12,9 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ir_model import Block, Function, UnsupportedInstruction, stmt
-from .ir_text import ParseError, functions
+from ..plans.store import stored
+from .ir_model import FUNCTION, Block, Function, UnsupportedInstruction, canonical, stmt
+from .ir_text import ParseError
 
 # What instructions come to. Those of the same effect stand together.
 NEW_POINTER = "alloc_stack alloc_box alloc_value_buffer".split()
@@ -449,24 +450,45 @@ TABLES = {
 }
 
 
-def read(spark: SparkSession, path: str, glob: str = "*.sil") -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Nested function rows, lowered, and the dispatch tables of all modules under a path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    texts = files.select(F.col("_metadata.file_name").alias("module"), F.col("value").alias("text"))
-    return functions(texts, parser=parse), {name: dispatch_table(texts, name) for name in TABLES}
+#: Columns of one parse: what a row is (function or a table's name), a function, or an entry of a table.
+PARSED = f"what string, {FUNCTION}, entry array<string>"
 
 
-def dispatch_table(texts: DataFrame, name: str) -> DataFrame:
-    columns = [c.split(" ")[0] for c in TABLES[name].split(", ")]
+def parsed(texts: DataFrame) -> DataFrame:
+    """Functions, lowered, and the rows of the dispatch tables of (module, text) rows, told apart by what; each text is parsed once."""
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [(m, *row) for m, text in zip(batch.module, batch.text) for row in tables(text or "")[name]]
-            yield pd.DataFrame(rows, columns=["module", *columns])
+            for module, text in zip(batch.module, batch.text):
+                rows = [{"what": "function", **canonical(f).row()} for f in parse(text or "", module)]
+                rows += [{"what": name, "module": module, "entry": list(row)} for name, found in tables(text or "").items() for row in found]
+                columns = ["what", "module", "func", "attribute", "return_type", "full_type", "blocks", "entry"]
+                yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
+
+    return texts.select("module", "text").mapInPandas(run, PARSED)
+
+
+def texts(spark: SparkSession, path: str, glob: str = "*.sil") -> DataFrame:
+    """module, text of all compiled modules under a path; Spark lists it, so any shared file system will do."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("module"), F.col("value").alias("text"))
+
+
+def read(spark: SparkSession, path: str, glob: str = "*.sil") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Nested function rows, lowered, and the dispatch tables of all modules under a path."""
+    return split(texts(spark, path, glob))
+
 
-    return texts.mapInPandas(run, f"module string, {TABLES[name]}")
+def split(texts: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Functions and dispatch tables of (module, text) rows: parts of one table that a single parse has written."""
+    one = stored(parsed(texts))
+    out = {}
+    for name, schema in TABLES.items():
+        columns = [c.split(" ")[0] for c in schema.split(", ")]
+        out[name] = one.where(F.col("what") == name).select("module", *[F.col("entry")[i].alias(c) for i, c in enumerate(columns)])
+    return one.where("what = 'function'").drop("what", "entry"), out
 
 
 def demangled(functions_: DataFrame, dictionary: DataFrame) -> DataFrame:

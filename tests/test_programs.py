@@ -200,6 +200,20 @@ def test_sil():
     assert rows["witness_entry"] == [("A", "P", "#P.f", "$af")]
 
 
+def test_sil_folder_is_parsed_once(spark, tmp_path):
+    """Functions and tables of nested folders, each read from what one parse has written; other files are left alone."""
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.sil").write_text(SIL)
+    (tmp_path / "deep" / "b.sil").write_text(SIL)
+    (tmp_path / "c.txt").write_text("no module")
+    functions, tables = sil.read(spark, str(tmp_path))
+    assert {r.func for r in functions.where("module = 'b.sil'").collect()} == {f.name for f in sil.parse(SIL, "b.sil")}
+    for name, rows in sil.tables(SIL).items():
+        assert sorted(tuple(r) for r in tables[name].collect()) == sorted((m, *row) for m in ("a.sil", "b.sil") for row in rows)
+        assert "Python" not in tables[name]._jdf.queryExecution().toString() and "Pandas" not in tables[name]._jdf.queryExecution().toString()
+    assert sil.texts(spark, str(tmp_path), "*.none").inputFiles() == []
+
+
 def test_sil_unsupported():
     text = "sil_stage canonical\nsil @f : $() -> () {\nbb0:\n  %0 = move_value %1 : $A\n}\n"
     with pytest.raises(ir_model.UnsupportedInstruction):
