@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import PARTS, NotConverged, fixpoint, repeated, union
 from ..plans.store import counted, stored
 from .dispatch import targets
+from .graphs import components
 
 # Names of functions that are no analysis entries.
 DULL_SUFFIXES = (".deinit", ".deinit!deallocator.foreign", ".modify", ".__deallocating_deinit")
@@ -183,6 +184,41 @@ def vta(site, func, flows, index_method, method_class) -> DataFrame:
 # --- unified, flow-sensitive -----------------------------------------------------------------
 
 
+#: Blocks of a function are numbered below this, so a function's and a block's number make one.
+BLOCKS = 1 << 24
+
+
+def passing(block_edge: DataFrame, exits: DataFrame) -> DataFrame:
+    """n: blocks on a way from the first block of their function to one that it is left from; block_edge(src, dst) and exits(n) are of block numbers."""
+    ahead = stored(block_edge.toDF("n", "to"))
+    firsts = exits.select((F.col("n") - F.pmod("n", F.lit(BLOCKS))).alias("n")).distinct()
+    after = fixpoint(firsts, repeated(lambda d: d.join(ahead, "n").select(F.col("to").alias("n"))))
+    inside = stored(ahead.join(after, "n", "left_semi"))
+    return fixpoint(exits.join(after, "n", "left_semi"), repeated(lambda d: d.withColumnRenamed("n", "to").join(inside, "to").select("n")))
+
+
+def spread_bits(sets: DataFrame, edge: DataFrame) -> DataFrame:
+    """root, w, bits: words of sets, with all that comes over edge(src, dst) of roots."""
+    near = edge.toDF("root", "to")
+
+    def merged(df: DataFrame) -> DataFrame:
+        return df.groupBy("root", "w").agg(F.bit_or("bits").alias("bits"))
+
+    known, n = counted(merged(sets))
+    new = known
+    while n:
+        hops, last = [], new
+        for _ in range(3):
+            last = merged(last.join(near, "root").select(F.col("to").alias("root"), "w", "bits"))
+            hops.append(last)
+        had = known.withColumnRenamed("bits", "had")
+        fresh = merged(union(hops)).join(had, ["root", "w"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+        new, n = counted(fresh.where("bits <> 0").select("root", "w", "bits"))
+        if n:
+            known = stored(merged(known.unionByName(new)))
+    return known
+
+
 def ucg(
     site, func, entry, alloc, index_method, method_class, block_edge=None, flows: DataFrame | None = None, points_to: DataFrame | None = None, exits: DataFrame | None = None, max_rounds: int = 1000
 ) -> DataFrame:
@@ -191,7 +227,13 @@ def ucg(
     site, alloc have a block; block_edge(f, src, dst) orders blocks, 0 the first of a function;
     exits(f, block) are the blocks a function is left from (those without successor, if not given).
     flows(node, what, kind) narrows receivers to classes that reach them (site.recv); points_to(s, dst)
-    resolves function values. A block's classes are kept as 64-bit words, so sets join and grow by bit operations.
+    resolves function values. Functions and classes are numbers.
+
+    A call passes what exists to its target and gets back what exists where that is left. So a calling
+    block and all blocks on the ways through its target are on one cycle and have one set of classes:
+    they are merged into one node, by connected components, and sets are kept for nodes, as 64-bit
+    words. What is left between nodes is the order of blocks that no call closes to a cycle. Each
+    round merges what its new edges close and spreads sets to the end.
     """
     if block_edge is None:
         block_edge = site.sparkSession.createDataFrame([], "f long, src int, dst int")
@@ -199,55 +241,63 @@ def ucg(
     if exits is None:
         blocks = union([site.select("f", "block"), alloc.select("f", "block"), block_edge.select("f", F.col("dst").alias("block")), func.select("f", F.lit(0).alias("block"))]).distinct()
         exits = blocks.join(block_edge.select("f", F.col("src").alias("block")), ["f", "block"], "left_anti")
-    exits = stored(exits.select("f", "block"))
-    news = stored(alloc.select("f", "block", "c").distinct())
+    number = lambda f, block: (F.col(f).cast("long") * BLOCKS + block).alias("n")
+    exits = stored(exits.select(number("f", F.col("block"))).distinct())
+    nexts = stored(block_edge.select(number("f", F.col("src")).alias("src"), number("f", F.col("dst")).alias("dst")))
+    through = passing(nexts, exits)
+    through = stored(through.select("n", F.floor(F.col("n") / BLOCKS).cast("long").alias("m"), (F.pmod("n", F.lit(BLOCKS)) == 0).alias("first")))
+    left_only = stored(exits.join(through, "n", "left_anti").select("n", F.floor(F.col("n") / BLOCKS).cast("long").alias("m")))
+    # classes as 64-bit words: word c div 64 of a block's set, bit c mod 64
+    word, bit = F.floor(F.col("c") / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("c"), F.lit(64)).cast("int"))
+    sets = stored(alloc.select(number("f", F.col("block")), word.alias("w"), bit.alias("bits")).groupBy("n", "w").agg(F.bit_or("bits").alias("bits")))
     possible = site.where("kind = 'dynamic'").join(index_method, "i").join(method_class, "m")
     if flows is not None:
         cls = flows.where("kind = 'class'").select(F.col("node").alias("recv"), F.col("what").alias("c"))
         possible = possible.join(cls, ["recv", "c"], "left_semi")
-    possible = stored(possible.select("s", "f", "block", "c", "m").distinct())
-    fixed = trivial(site, func).select("s", "dst")
+    possible = stored(possible.select("s", "m", number("f", F.col("block")), word.alias("w"), bit.alias("bit")).distinct())
+    fixed = trivial(site, func).select("s", F.col("dst").alias("m"))
     if points_to is not None:
-        fixed = fixed.unionByName(points_to.select("s", "dst"))
-    where = stored(site.select("s", "f", "block").distinct())
-    # classes as 64-bit words: word c div 64 of a block's set, bit c mod 64
-    word, bit = F.floor(F.col("c") / 64).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("c"), F.lit(64)).cast("int"))
-    cell = ["f", "block", "w"]
-
-    def merged(df: DataFrame) -> DataFrame:
-        return df.groupBy(*cell).agg(F.bit_or("bits").alias("bits"))
+        fixed = fixed.unionByName(points_to.select("s", F.col("dst").alias("m")))
+    where = stored(site.select("s", "f", number("f", F.col("block"))).distinct())
+    label = None  # n, root of blocks that are merged; others are their own
+    new_edge, n_edges = counted(fixed.distinct())
+    edges, ahead = [new_edge], [nexts]
+
+    def named(df: DataFrame, *columns: str) -> DataFrame:
+        """df with nodes in the place of blocks."""
+        order = df.columns
+        if label is not None:
+            for c in columns:
+                df = df.join(label.select(F.col("n").alias(c), F.col("root").alias("root_")), c, "left").withColumn(c, F.coalesce("root_", c)).select(*order)
+        return df
 
-    seeds = news.select("f", F.col("block").cast("int").alias("block"), word.alias("w"), bit.alias("bits"))
-    new_out, outs_n = counted(merged(seeds))
-    new_edge, edges_n = counted(fixed.select("s", F.col("dst").alias("m")).distinct())
-    possible = stored(possible.withColumn("w", word).withColumn("bit", bit).drop("c"))
-    outs, edges = [new_out], [new_edge]
     for _ in range(max_rounds):
-        if not outs_n and not edges_n:
+        called = stored(new_edge.join(where, "s").select("n", "m").distinct())
+        target = stored(called.select("m").distinct().join(through, "m"))
+        back = stored(target.where("first").select("m"))  # functions that come back
+        links = called.join(back, "m", "left_semi").select(F.col("n").alias("src"), number("m", F.lit(0)).alias("dst"))
+        links = links.unionByName(target.where("not first").select(F.col("n").alias("src"), number("m", F.lit(0)).alias("dst")))
+        one_way = called.join(back, "m", "left_anti").select(F.col("n").alias("src"), number("m", F.lit(0)).alias("dst"))
+        ahead.append(stored(one_way.unionByName(called.withColumnRenamed("n", "dst").join(left_only, "m").select(F.col("n").alias("src"), "dst"))))
+        links = stored(named(links, "src", "dst").where("src <> dst").distinct())
+        joined = components(links.select(F.col("src").alias("n")), links)
+        if label is None:
+            label = stored(joined)
+        else:  # a node that is merged takes its blocks with it
+            moved = joined.toDF("root", "to")
+            old = label.join(moved, "root", "left").select("n", F.coalesce("to", "root").alias("root"))
+            label = stored(old.unionByName(joined.join(label.select("n"), "n", "left_anti").select("n", "root")))
+        ways = stored(named(union(ahead), "src", "dst").where("src <> dst").distinct())
+        sets = spread_bits(named(sets, "n").withColumnRenamed("n", "root"), ways)
+        hit = named(possible, "n").withColumnRenamed("n", "root").join(sets, ["root", "w"]).where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
+        new_edge, n_edges = counted(hit.select("s", "m").distinct().join(union(edges), ["s", "m"], "left_anti"))
+        if not n_edges:
             break
-        all_out, all_edge = union(outs), union(edges)
-
-        def into(out: DataFrame, edge: DataFrame) -> DataFrame:
-            """A call passes what exists to the first block of its target."""
-            return edge.join(where, "s").join(out, ["f", "block"]).select(F.col("m").alias("f"), F.lit(0).alias("block"), "w", "bits")
-
-        def back(out: DataFrame, edge: DataFrame) -> DataFrame:
-            """It gets back what exists where its target is left."""
-            left = out.join(exits, ["f", "block"]).groupBy(F.col("f").alias("m"), "w").agg(F.bit_or("bits").alias("bits"))
-            return edge.join(left, "m").join(where, "s").select("f", "block", "w", "bits")
-
-        nxt = new_out.join(block_edge.withColumnRenamed("src", "block"), ["f", "block"]).select("f", F.col("dst").cast("int").alias("block"), "w", "bits")
-        found = merged(union([nxt, into(new_out, all_edge), into(all_out, new_edge), back(new_out, all_edge), back(all_out, new_edge)]))
-        known = merged(all_out).withColumnRenamed("bits", "had")
-        fresh = found.join(known, cell, "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
-        hit = possible.join(new_out, cell).where(F.col("bit").bitwiseAND(F.col("bits")) != 0).select("s", "m").distinct()
-        more_edge, edges_n = counted(hit.join(all_edge, ["s", "m"], "left_anti"))
-        new_out, outs_n = counted(fresh.where("bits <> 0").select(*cell, "bits"))
-        new_edge = more_edge
-        outs.append(new_out)
+        possible = stored(possible.join(new_edge, ["s", "m"], "left_anti"))
+        sets = sets.withColumnRenamed("root", "n")
         edges.append(new_edge)
-        if len(outs) > PARTS:
-            outs, edges = [stored(merged(union(outs)))], [stored(union(edges))]
+        if len(edges) > PARTS:
+            edges, ahead = [stored(union(edges))], [stored(union(ahead))]
     else:
         raise NotConverged(f"no fixpoint after {max_rounds} rounds")
     return union(edges).join(where, "s").select("s", F.col("f").alias("src"), F.col("m").alias("dst"))
