@@ -49,15 +49,18 @@ def path_to(levels: DataFrame, target) -> DataFrame:
 
 
 def components(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """n, root: the least node of each node's connected component, by label propagation with pointer jumping."""
+    """n, root: the least node of each node's connected component.
+
+    Each round all nodes of one label go over to the least label beside any of them, then pointers jump.
+    """
     both = edge.select("src", "dst").union(edge.select("dst", "src")).where("src <> dst").distinct()
     both = stored(both)
     ends = node.select(F.col(node.columns[0]).alias("n"))
     label = stored(ends.union(both.select("src")).distinct().select("n", F.col("n").alias("root")))
     while True:
         near = both.join(label.toDF("dst", "theirs"), "dst").groupBy("src").agg(F.min("theirs").alias("theirs"))
-        lower = label.join(near.toDF("n", "theirs"), "n", "left").select("n", F.col("root").alias("old"), F.least("root", F.coalesce("theirs", "root")).alias("root"))
-        lower = stored(lower)
+        beside = label.join(near.toDF("n", "theirs"), "n", "left").groupBy("root").agg(F.min("theirs").alias("theirs"))
+        lower = stored(label.join(beside, "root").select("n", F.col("root").alias("old"), F.least("root", F.coalesce("theirs", "root")).alias("root")))
         jump = lower.join(lower.select("n", "root").toDF("root", "next"), "root").select("n", "old", F.col("next").alias("root"))
         label, _ = counted(jump)
         if label.where("root <> old").isEmpty():

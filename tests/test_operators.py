@@ -308,3 +308,54 @@ def test_reach_pairs(spark, monkeypatch, seed, n, edges, plain):
     frame = lambda rows, kind, a, b: spark.createDataFrame(rows, f"{a} {kind}, {b} long")
     got = reach.reach_pairs(frame(start, "string", "start", "n"), frame(target, "string", "target", "n"), frame(edge, "long", "src", "dst"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def classes_by_hand(site, alloc, index, cls, order, exits, funcs):
+    """Edges of the unified call graph by passing every class along every block and call until nothing changes."""
+    at = {s: (f, b) for s, f, _, _, _, b in site}
+    has, edges = {}, {(s, t) for s, _, kind, _, t, _ in site if kind == "named" and t in funcs}
+    for f, b, c in alloc:
+        has.setdefault((f, b), set()).add(c)
+    while True:
+        before = len(edges), sum(map(len, has.values()))
+        for f, a, b in order:
+            has.setdefault((f, b), set()).update(has.get((f, a), ()))
+        for s, m in edges:
+            has.setdefault((m, 0), set()).update(has.get(at[s], ()))
+            for f, b in exits:
+                if f == m:
+                    has.setdefault(at[s], set()).update(has.get((f, b), ()))
+        for s, _, kind, i, _, _ in site:
+            if kind == "dynamic":
+                edges |= {(s, m) for j, m in index if i == j and any((m, c) in cls for c in has.get(at[s], ()))}
+        if before == (len(edges), sum(map(len, has.values()))):
+            return {(s, at[s][0], m) for s, m in edges}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_unified_graph_by_hand(spark, seed):
+    """Loops, blocks that nothing leads to, functions never left, exits that are not reached, classes of several words, unknown methods."""
+    rng = random.Random(seed)
+    funcs = range(40)
+    blocks = [(f, b) for f in funcs for b in range(rng.randrange(1, 6))]
+    size = {f: 1 + max(b for g, b in blocks if g == f) for f in funcs}
+    order = sorted({(f, b, rng.randrange(size[f])) for f, b in blocks if rng.random() < 0.8})
+    exits = [(f, b) for f, b in blocks if rng.random() < 0.3 and f % 7]
+    site = [(s, *blocks[k := rng.randrange(len(blocks))][:1], rng.choice(["named", "dynamic", "dynamic", "value"]), rng.randrange(12), rng.randrange(50), blocks[k][1]) for s in range(90)]
+    alloc = sorted({(*rng.choice(blocks), rng.randrange(0, 400, 7)) for _ in range(25)})
+    index = sorted({(rng.randrange(12), rng.randrange(45)) for _ in range(40)})
+    cls = sorted({(rng.randrange(45), rng.randrange(0, 400, 7)) for _ in range(400)})
+    make = spark.createDataFrame
+    got = callgraph.ucg(
+        make(site, "s long, f long, kind string, i long, target long, block int"), make([(f,) for f in funcs], "f long"), None, make(alloc, "f long, block int, c long"),
+        make(index, "i long, m long"), make(cls, "m long, c long"), make(order, "f long, src int, dst int"), exits=make(exits, "f long, block int"),
+    )
+    want = classes_by_hand(site, alloc, index, set(cls), order, exits, set(funcs))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(want) > len([x for x in site if x[2] == "named" and x[4] in funcs])
+
+
+def test_unified_graph_of_nothing(spark):
+    make = spark.createDataFrame
+    got = callgraph.ucg(make([], "s long, f long, kind string, i long, target long, block int"), make([], "f long"), None, make([], "f long, block int, c long"), make([], "i long, m long"), make([], "m long, c long"))
+    assert got.count() == 0
