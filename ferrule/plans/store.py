@@ -26,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 SMALL = 50_000
 
 
+#: Rows above which a written relation is never broadcast: Spark goes by the size of its files, which is
+#: a fraction of what passes through the driver, and a fixpoint would send it in every round.
+LARGE = 200_000
+
+
 def one_partition(df: DataFrame, rows: int) -> DataFrame:
-    """df in one partition if its number of rows is small."""
-    return df.coalesce(1) if rows <= SMALL else df
+    """df in one partition if its number of rows is small, and shuffled where it is joined if that is large."""
+    if rows <= SMALL:
+        return df.coalesce(1)
+    return df.hint("merge") if rows > LARGE else df
 
 
 def stored(df: DataFrame) -> DataFrame:
