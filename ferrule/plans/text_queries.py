@@ -30,9 +30,13 @@ def bodies(spark, sf_dir) -> DataFrame:
     return f["func"].select("f", "module").join(calls, F.col("f") == F.col("src"), "left").select("module", "f", F.coalesce("callees", F.array().cast("array<bigint>")).alias("callees"))
 
 
+#: Numbers of functions that one file of a module spans: files are many where functions are, not long.
+SPAN = 5000
+
+
 def module_texts(lines: DataFrame, head: str) -> DataFrame:
-    """module, text of (module, f, text) rows."""
-    whole = lines.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("f", "text"))).alias("t"))
+    """module, text of (module, f, text) rows, a module in any number of files."""
+    whole = lines.groupBy("module", F.floor(F.col("f") / SPAN).alias("part")).agg(F.array_sort(F.collect_list(F.struct("f", "text"))).alias("t"))
     return whole.select("module", F.concat(F.lit(head), F.array_join(F.transform("t", lambda x: x["text"]), "\n")).alias("text"))
 
 
@@ -80,7 +84,7 @@ def ir_print_parse(spark, sf_dir):
 
 @query(CALLS, "call", "func")
 def sil_parse(spark, sf_dir):
-    return parsed_calls(ir_text.functions(sil_texts(spark, sf_dir), parser=sil.parse))
+    return parsed_calls(ir_text.functions(sil_texts(spark, sf_dir), parser=sil.each))
 
 
 @query(

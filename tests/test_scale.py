@@ -1,9 +1,12 @@
 """What grows with the input stays off the driver and out of single tasks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ferrule.plans import store
 from ferrule.plans.fixpoint import fixpoint
+from ferrule.plans.text_queries import SPAN, module_texts
+from ferrule.sources import ir_text, sil
 
 
 def plan(df):
@@ -22,3 +25,26 @@ def test_large_relations_are_not_broadcast(spark, monkeypatch):
     assert known.count() == 1001
     small = store.stored(spark.range(50).toDF("id"))
     assert "Broadcast" in plan(few.join(small, "id"))
+
+
+def test_readers_hold_one_function_at_a_time():
+    ir = "ir_stage raw\n\n" + "func @`f` : $`Any` {\nbb0:\n  v = new $`Any`\n  return v\n}\n" * 3 + "func @`g` : $`Any` {\nbb0:\n  v = nothing\n"
+    read = ir_text.each(ir, "m")
+    assert [next(read).name for _ in range(3)] == ["f"] * 3
+    with pytest.raises(ir_text.ParseError, match="m:21: unknown instruction nothing"):
+        next(read)
+    compiled = "sil_stage canonical\n\n" + "sil @h : $@convention(thin) () -> Int {\nbb0:\n  %0 = tuple ()\n  return %0 : $()\n}\n" * 2
+    read = sil.each(compiled + "sil @bad : $@convention(thin) () -> Int {\nbb0:\n  %0 = no_such_thing %1\n}\n", "m")
+    assert [next(read).name for _ in range(2)] == ["h", "h"]
+
+
+def test_workers_hand_over_some_functions_at_a_time(spark):
+    text = "ir_stage raw\n" + "".join(f"func @`f{i}` : $`Any` {{\nbb0:\n  v = new $`Any`\n  return v\n}}\n" for i in range(5 * ir_text.AT_ONCE))
+    rows = ir_text.functions(spark.createDataFrame([("m", text)], "module string, text string"))
+    sizes = rows.select("func").mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]].head(1) for b in batches), "n long").collect()
+    assert rows.count() == 5 * ir_text.AT_ONCE and max(r.n for r in sizes) <= store.BATCH_ROWS
+
+
+def test_files_of_modules_are_bounded(spark):
+    lines = spark.range(0, 4 * SPAN, 500).select(F.lit("m").alias("module"), F.col("id").alias("f"), F.lit("x").alias("text"))
+    assert [len(r.text) for r in module_texts(lines, "").collect()] == [2 * SPAN // 500 - 1] * 4
