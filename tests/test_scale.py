@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ferrule.operators import callgraph
 from ferrule.plans import store
 from ferrule.plans.fixpoint import fixpoint
 from ferrule.plans.text_queries import SPAN, module_texts
@@ -48,3 +49,17 @@ def test_workers_hand_over_some_functions_at_a_time(spark):
 def test_files_of_modules_are_bounded(spark):
     lines = spark.range(0, 4 * SPAN, 500).select(F.lit("m").alias("module"), F.col("id").alias("f"), F.lit("x").alias("text"))
     assert [len(r.text) for r in module_texts(lines, "").collect()] == [2 * SPAN // 500 - 1] * 4
+
+
+def test_signature_matches_shuffle_no_edges(spark):
+    site = spark.createDataFrame([(1, 9, "value", "A", 1, "R"), (1, 9, "value", "B", 1, "R"), (2, 9, "value", "A", 1, "R"), (3, 9, "value", "Z", 1, "R"), (3, 9, "value", "Y", 1, "R"), (4, 9, "named", "A", 1, "R"), (5, 9, "value", None, 1, "R")], "s long, f long, kind string, full_type string, nargs int, ret string")
+    func = spark.createDataFrame([(20, "A", 1, "R"), (20, "B", 1, "R"), (21, "A", 2, "R"), (22, "C", 1, "R")], "f long, full_type string, nargs int, ret string")
+    edges, callers = spark.createDataFrame([], "s long, src long, dst long"), spark.createDataFrame([(9,)], "f long")
+    got = callgraph.signature_matches(site, func, edges, callers)
+    assert sorted((r.s, r.dst) for r in got.collect()) == [(1, 20), (1, 21), (2, 20), (2, 21), (3, 20), (3, 22), (5, 20), (5, 22)]
+    once = callgraph.signature_matches(site.where("s = 2"), func.where("f > 20"), edges, callers)
+    once.write.format("noop").mode("overwrite").save()
+    assert [(r.s, r.src, r.dst) for r in once.collect()] == [(2, 9, 21)]
+    # the edges of a site and a function with one type each are made by the last join, without an aggregate above it
+    top = once._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert top[0].startswith("Union") and not any("Aggregate" in line for line in top[1 : next(i for i, line in enumerate(top) if "Join Inner" in line)])
