@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.store import stored
+from ..plans.store import counted, stored
 from .graphs import components
 
 
@@ -13,19 +13,18 @@ def alias_classes(value: DataFrame, copy: DataFrame, access: DataFrame, max_roun
     """n, root: value(n), copy(src, dst), access(obj, field, n) for n = obj.field and obj.field = n.
 
     Classes are joined by copies; then values of one field of objects in one class are joined, too,
-    until no field joins more.
+    until no field joins more. Only classes that are still to be joined are followed again, by their roots.
     """
-    edge = copy.select("src", "dst")
-    roots = -1
+    label = stored(components(value.toDF("n").union(access.select("n")), copy.select("src", "dst")))
     for _ in range(max_rounds):
-        label = stored(components(value, edge))
-        now = label.select("root").distinct().count()
-        if now == roots:
+        held = access.join(label.toDF("obj", "of"), "obj").join(label, "n").select("of", "field", "root").distinct()
+        held = stored(held)
+        first = held.groupBy("of", "field").agg(F.min("root").alias("src"))
+        same, n = counted(held.join(first, ["of", "field"]).where("src <> root").select("src", F.col("root").alias("dst")).distinct())
+        if not n:
             return label
-        roots = now
-        cell = access.join(label.toDF("obj", "root"), "obj").groupBy("root", "field").agg(F.min("n").alias("first"))
-        same = access.join(label.toDF("obj", "root"), "obj").join(cell, ["root", "field"]).select(F.col("first").alias("src"), F.col("n").alias("dst"))
-        edge = stored(copy.select("src", "dst").unionByName(same).distinct())
+        joined = components(same.select("src"), same).toDF("root", "to")
+        label = stored(label.join(joined, "root", "left").select("n", F.coalesce("to", "root").alias("root")))
     raise RuntimeError(f"classes still join after {max_rounds} rounds")
 
 

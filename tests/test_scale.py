@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import callgraph
+from ferrule.operators import callgraph, graphs, unify
 from ferrule.plans import store
 from ferrule.plans.fixpoint import fixpoint
 from ferrule.plans.text_queries import SPAN, module_texts
@@ -63,3 +63,13 @@ def test_signature_matches_shuffle_no_edges(spark):
     # the edges of a site and a function with one type each are made by the last join, without an aggregate above it
     top = once._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert top[0].startswith("Union") and not any("Aggregate" in line for line in top[1 : next(i for i, line in enumerate(top) if "Join Inner" in line)])
+
+
+def test_classes_are_followed_again_by_their_roots(spark, monkeypatch):
+    followed = []
+    monkeypatch.setattr(unify, "components", lambda node, edge: followed.append(sorted(map(tuple, edge.collect()))) or graphs.components(node, edge))
+    value, copy = spark.range(1, 9).toDF("n"), spark.createDataFrame([(1, 2), (7, 8)], "src long, dst long")
+    access = spark.createDataFrame([(1, "x", 3), (2, "x", 4), (3, "y", 5), (4, "y", 6), (4, "z", 8)], "obj long, field string, n long")
+    got = {r.n: r.root for r in unify.alias_classes(value, copy, access).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
+    assert followed == [[(1, 2), (7, 8)], [(3, 4)], [(5, 6)]]
