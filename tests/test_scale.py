@@ -1,11 +1,14 @@
 """What grows with the input stays off the driver and out of single tasks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import callgraph, graphs, unify
+from ferrule.operators import callgraph, flow, graphs, unify
+from ferrule.plans import fixpoint as fixpoint_module
 from ferrule.plans import store
-from ferrule.plans.fixpoint import fixpoint
+from ferrule.plans.fixpoint import fixpoint, repeated
 from ferrule.plans.text_queries import SPAN, module_texts
 from ferrule.sources import ir_text, sil
 
@@ -14,6 +17,46 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def limits(monkeypatch, small, large):
+    for module in (store, fixpoint_module, flow, callgraph):
+        for name, value in (("SMALL", small), ("LARGE", large)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+
+
+def test_few_new_rows_are_joined_without_shuffling_large_relations(spark, monkeypatch):
+    limits(monkeypatch, 10, 100)
+    plans, written = [], fixpoint_module.counted
+    monkeypatch.setattr(fixpoint_module, "counted", lambda df, small=False: plans.append(plan(df)) or written(df, small))
+    edge, rows = store.counted(spark.range(380, 550).select("id", (F.col("id") + 1).alias("to")))
+    step = repeated(lambda d: d.join(edge.toDF("n", "next"), "n").select(F.col("next").alias("n")), over=rows)
+    known = fixpoint(spark.range(380, 545).toDF("n"), step)  # the first round finds three rows, the others one
+    assert {r.n for r in known.collect()} == set(range(380, 551))
+    assert "SortMergeJoin" in plans[1] and len(plans) > 4
+    assert not any("SortMergeJoin" in p for p in plans[2:])
+
+
+@pytest.mark.parametrize("small", [0, 5, 10_000])
+def test_facts_of_nested_calls_are_the_naive_fixpoint(spark, monkeypatch, small):
+    limits(monkeypatch, small, 3 * small)
+    rng = random.Random(small)
+    edges = {(f, str(rng.randrange(4)), str(rng.randrange(4))) for f in range(8) for _ in range(3)}
+    calls = [(s, rng.randrange(8), str(rng.randrange(4)), rng.randrange(8), str(rng.randrange(2)), s % 5 == 0) for s in range(30)]
+    edge = spark.createDataFrame([(f, a, b, "copy", None) for f, a, b in edges], "f long, a string, b string, op string, field string")
+    args = spark.createDataFrame([(s, f, a, g, q) for s, f, a, g, q, _ in calls], "site long, f long, a string, g long, q string")
+    rets = spark.createDataFrame([(s, f, "2", g, "3", deep) for s, f, _, g, _, deep in calls], "site long, f long, r string, g long, w string, deep boolean")
+    seeds = spark.createDataFrame([(1, "0"), (5, "2")], "f long, v string")
+    got = {(r.ef, r.eq, r.v) for r in flow.tabulate(seeds, *flow.named_values(edge, args, rets)).collect()}
+    want = {(f, flow.MARK + v, v) for f, v in [(1, "0"), (5, "2"), *((f, "2") for _, f, *_ in calls)]} | {(g, q, q) for _, _, _, g, q, _ in calls}
+    while True:
+        more = {(f, q, b) for f, q, v in want for g, a, b in edges if (f, v) == (g, a)}
+        more |= {(f, q, "2") for f, q, v in want for _, h, a, g, p, deep in calls if (f, v) == (h, a) and not deep and (g, p, "3") in want}
+        if more <= want:
+            break
+        want |= more
+    assert got == want
+
+
 def test_large_relations_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(store, "SMALL", 10)
     monkeypatch.setattr(store, "LARGE", 100)
