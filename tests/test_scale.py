@@ -89,6 +89,15 @@ def test_workers_hand_over_some_functions_at_a_time(spark):
     assert rows.count() == 5 * ir_text.AT_ONCE and max(r.n for r in sizes) <= store.BATCH_ROWS
 
 
+def test_texts_are_parsed_on_all_cores(spark):
+    text = "func @`f` : $`Any` {\nbb0:\n  v = new $`Any`\n  return v\n}\n"
+    made = spark.range(400).coalesce(1).select(F.concat(F.lit("m"), "id").alias("module"), F.lit("ir_stage raw\n" + text).alias("text"))
+    compiled = made.withColumn("text", F.lit("sil_stage canonical\n\nsil @h : $@convention(thin) () -> Int {\nbb0:\n  %0 = tuple ()\n  return %0 : $()\n}\n"))
+    for rows in (ir_text.functions(made), sil.parsed(compiled)):
+        parts = rows.select("module", F.spark_partition_id().alias("part")).groupBy("part").agg(F.count_distinct("module").alias("n")).collect()
+        assert sum(r.n for r in parts) == 400 and max(r.n for r in parts) < 100
+
+
 def test_files_of_modules_are_bounded(spark):
     lines = spark.range(0, 4 * SPAN, 500).select(F.lit("m").alias("module"), F.col("id").alias("f"), F.lit("x").alias("text"))
     assert [len(r.text) for r in module_texts(lines, "").collect()] == [2 * SPAN // 500 - 1] * 4
