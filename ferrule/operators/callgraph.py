@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import PARTS, NotConverged, fixpoint, repeated, union
 from ..plans.store import counted, stored
 from .dispatch import targets
-from .graphs import components
+from .graphs import components, reachable
 
 # Names of functions that are no analysis entries.
 DULL_SUFFIXES = (".deinit", ".deinit!deallocator.foreign", ".modify", ".__deallocating_deinit")
@@ -197,6 +197,8 @@ def vta(site, func, flows, index_method, method_class) -> DataFrame:
 
 #: Blocks of a function are numbered below this, so a function's and a block's number make one.
 BLOCKS = 1 << 24
+#: Ways times words up to which every node holds its whole set: finding what comes after the largest node takes longer. The answers are the same.
+WHOLE = 2_000_000
 
 
 def passing(block_edge: DataFrame, exits: DataFrame) -> DataFrame:
@@ -208,19 +210,33 @@ def passing(block_edge: DataFrame, exits: DataFrame) -> DataFrame:
     return fixpoint(exits.join(after, "n", "left_semi"), repeated(lambda d: d.withColumnRenamed("n", "to").join(inside, "to").select("n")))
 
 
-def spread_bits(sets: DataFrame, edge: DataFrame) -> DataFrame:
-    """root, w, bits: words of sets, with all that comes over edge(src, dst) of roots."""
-    near = edge.toDF("root", "to")
+def largest(label: DataFrame):
+    """The node that most blocks of label(n, root) are merged into, or None; of equal ones the least."""
+    first = label.groupBy("root").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "root").first()
+    return None if first is None else first.root
+
+
+def spread_bits(sets: DataFrame, edge: DataFrame, below: DataFrame, shared: DataFrame) -> DataFrame:
+    """root, w, bits: words of sets, with all that comes over edge(src, dst) of roots.
+
+    Nodes below(root) hold the words shared(w, every), too; of theirs only other bits are made. below is closed under edge.
+    """
+    mark = below.select("root", F.lit(True).alias("below"))
+    near = stored(edge.toDF("from", "root").join(mark, "root", "left").select(F.col("from").alias("root"), F.col("root").alias("to"), "below"))
+
+    def own(df: DataFrame) -> DataFrame:
+        rest = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce(F.when(F.col("below"), F.col("every")), F.lit(0).cast("long"))))
+        return df.join(shared, "w", "left").withColumn("bits", rest).where("bits <> 0")
 
     def merged(df: DataFrame) -> DataFrame:
         return df.groupBy("root", "w").agg(F.bit_or("bits").alias("bits"))
 
-    known, n = counted(merged(sets))
+    known, n = counted(merged(own(sets.join(mark, "root", "left"))))
     new = known
     while n:
         hops, last = [], new
         for _ in range(3):
-            last = merged(last.join(near, "root").select(F.col("to").alias("root"), "w", "bits"))
+            last = merged(own(last.join(near, "root").select(F.col("to").alias("root"), "w", "bits", "below")))
             hops.append(last)
         had = known.withColumnRenamed("bits", "had")
         fresh = merged(union(hops)).join(had, ["root", "w"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
@@ -244,7 +260,8 @@ def ucg(
     block and all blocks on the ways through its target are on one cycle and have one set of classes:
     they are merged into one node, by connected components, and sets are kept for nodes, as 64-bit
     words. What is left between nodes is the order of blocks that no call closes to a cycle. Each
-    round merges what its new edges close and spreads sets to the end.
+    round merges what its new edges close and spreads sets to the end. What comes after the largest node
+    holds all classes of that one: these are kept once, and only others for each node.
     """
     if block_edge is None:
         block_edge = site.sparkSession.createDataFrame([], "f long, src int, dst int")
@@ -270,7 +287,10 @@ def ucg(
     if points_to is not None:
         fixed = fixed.unionByName(points_to.select("s", F.col("dst").alias("m")))
     where = stored(site.select("s", "f", number("f", F.col("block"))).distinct())
+    n_words = sets.select("w").distinct().count()
     label = None  # n, root of blocks that are merged; others are their own
+    hub = below = above = None
+    spark, none = site.sparkSession, stored(where.select(F.col("n").alias("f")).where("false"))
     new_edge, n_edges = counted(fixed.distinct())
     edges, ahead = [new_edge], [nexts]
 
@@ -298,14 +318,31 @@ def ucg(
             moved = joined.toDF("root", "to")
             old = label.join(moved, "root", "left").select("n", F.coalesce("to", "root").alias("root"))
             label = stored(old.unionByName(joined.join(label.select("n"), "n", "left_anti").select("n", "root")))
-        ways = stored(named(union(ahead), "src", "dst").where("src <> dst").distinct())
-        sets = spread_bits(named(sets, "n").withColumnRenamed("n", "root"), ways)
-        hit = named(possible, "n").withColumnRenamed("n", "root").join(sets, ["root", "w"]).where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
-        new_edge, n_edges = counted(hit.select("s", "m").distinct().join(union(edges), ["s", "m"], "left_anti"))
+        ways, n_ways = counted(named(union(ahead), "src", "dst").where("src <> dst").distinct())
+        sets = stored(named(sets, "n").withColumnRenamed("n", "root"))
+        had, hub = hub, largest(label) if n_ways * n_words > WHOLE else None
+        if hub is None:
+            below = above = none
+        else:
+            at = spark.range(hub, hub + 1).toDF("f")
+            if had is not None and named(spark.range(had, had + 1).toDF("n"), "n").first().n == hub:  # ways are only added
+                below, above = (at.union(named(x, "f")).distinct() for x in (below, above))
+            else:
+                below = above = at
+            below, above = stored(reachable(below, ways)), stored(reachable(above, ways.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        under = below.withColumnRenamed("f", "root")
+        shared = stored(sets.join(above.withColumnRenamed("f", "root"), "root", "left_semi").groupBy("w").agg(F.bit_or("bits").alias("every")))
+        sets = spread_bits(sets, ways, under, shared)
+        asked = stored(named(possible, "n").withColumnRenamed("n", "root"))
+        hit = asked.join(sets, ["root", "w"]).where(F.col("bit").bitwiseAND(F.col("bits")) != 0).select("s", "m")
+        hit = hit.unionByName(asked.join(under, "root", "left_semi").join(shared, "w").where(F.col("bit").bitwiseAND(F.col("every")) != 0).select("s", "m"))
+        new_edge, n_edges = counted(hit.distinct().join(union(edges), ["s", "m"], "left_anti"))
         if not n_edges:
             break
         possible = stored(possible.join(new_edge, ["s", "m"], "left_anti"))
         sets = sets.withColumnRenamed("root", "n")
+        if hub is not None:
+            sets = sets.unionByName(shared.select(F.lit(hub).cast("long").alias("n"), "w", F.col("every").alias("bits")))
         edges.append(new_edge)
         if len(edges) > PARTS:
             edges, ahead = [stored(union(edges))], [stored(union(ahead))]

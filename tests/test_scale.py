@@ -125,3 +125,21 @@ def test_classes_are_followed_again_by_their_roots(spark, monkeypatch):
     got = {r.n: r.root for r in unify.alias_classes(value, copy, access).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7}
     assert followed == [[(1, 2), (7, 8)], [(3, 4)], [(5, 6)]]
+
+
+def test_classes_of_the_largest_node_are_held_once(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "WHOLE", 0)
+    spread, held = callgraph.spread_bits, []
+    monkeypatch.setattr(callgraph, "spread_bits", lambda *a: held.append((got := spread(*a)).count()) or got)
+    make, chain = spark.createDataFrame, 12
+    # 0 and 1 call each other; 2 and those after it never come back, so they hold what 0 does and one class of their own
+    site = [(0, 0, "named", 0, 1, 0), (1, 1, "named", 0, 0, 0), *((f, f - 1, "named", 0, f, 0) for f in range(2, chain))]
+    site += [(100 + f, f, "dynamic", 7, 0, 0) for f in (1, 3, chain - 1)]
+    alloc = [(0, 0, c) for c in range(0, 6400, 64)] + [(f, 0, 1 + f) for f in range(2, chain)]
+    got = callgraph.ucg(
+        make(site, "s long, f long, kind string, i long, target long, block int"), make([(f,) for f in range(chain + 4)], "f long"), None, make(alloc, "f long, block int, c long"),
+        make([(7, chain), (7, chain + 1), (7, chain + 2)], "i long, m long"), make([(chain, 640), (chain + 1, 4), (chain + 2, 63)], "m long, c long"), exits=make([(0, 0), (1, 0)], "f long, block int"),
+    )
+    dynamic = {(r.s, r.dst) for r in got.collect() if r.s >= 100}
+    assert dynamic == {(101, chain), (103, chain), (103, chain + 1), (100 + chain - 1, chain), (100 + chain - 1, chain + 1)}
+    assert max(held) <= 3 * chain
