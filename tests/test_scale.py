@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import callgraph, flow, graphs, unify
+from ferrule.operators import callgraph, flow, graphs, unify, witness
 from ferrule.plans import fixpoint as fixpoint_module
 from ferrule.plans import store
 from ferrule.plans.fixpoint import fixpoint, repeated
@@ -143,3 +143,45 @@ def test_classes_of_the_largest_node_are_held_once(spark, monkeypatch):
     dynamic = {(r.s, r.dst) for r in got.collect() if r.s >= 100}
     assert dynamic == {(101, chain), (103, chain), (103, chain + 1), (100 + chain - 1, chain), (100 + chain - 1, chain + 1)}
     assert max(held) <= 3 * chain
+
+
+def test_ways_go_by_spans_and_not_to_what_leads_nowhere(spark, monkeypatch):
+    rounds, rows = [], []
+
+    def watched(seed, step, keys=None, **more):
+        steps = []
+        got = fixpoint(seed, lambda delta, known: steps.append(1) or step(delta, known), keys, **more)
+        if keys == ["seed", "n"]:
+            rounds.append(len(steps))
+            rows.append(got.count())
+        return got
+
+    monkeypatch.setattr(witness, "fixpoint", watched)
+    make, long = spark.createDataFrame, 40
+    pairs = [(str(i), str(i + 1)) for i in range(long)] + [x for i in range(long // 2) for x in ((str(2 * i), f"x{i}"), (f"x{i}", f"y{i}"))]
+    edges = make([(1, a, b, "copy", None) for a, b in pairs], "f long, a string, b string, op string, field string")
+    args = make([], "site long, f long, a string, g long, q string")
+    rets = make([], "site long, f long, r string, g long, w string, deep boolean")
+    uses = make([(1, str(long), "rule", 7)], "f long, v string, name string, sink long")
+    (got,) = witness.paths(make([("s", 1, "0")], "seed string, f long, v string"), uses, make([], "f long"), edges, args, rets).collect()
+    assert (got.seed, got.sink, got.length, got.sanitized) == ("s", 7, long, False)
+    assert [x.v for x in got.path] == [str(i) for i in range(long + 1)]
+    assert rows == [long + 1] and rounds[0] <= long // 8 + 1
+
+
+def test_ways_by_spans_are_those_of_single_steps(spark):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(40)] + [(i, i + rng.choice([-9, -2, 0, 1, 2])) for i in range(10, 38) for _ in range(2)]
+    rng.shuffle(pairs)
+    move = spark.createDataFrame([(x, a, b) for x, (a, b) in enumerate(pairs)], "x long, src long, dst long")
+    want = set()
+    for seed in (0, 5, 30):
+        known, front, dist = set(), {seed: None}, 0
+        while front:
+            known |= set(front)
+            want |= {(seed, n, dist, x) for n, x in front.items()}
+            dist += 1
+            front = {b: min(x for x, (a, c) in enumerate(pairs) if c == b and a in front) for a, b in pairs if a in front and b not in known}
+    ball, _ = witness.balls(move)
+    got = witness.ways(spark.createDataFrame([(s, s) for s in (0, 5, 30)], "seed long, n long"), ball).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and max(w[2] for w in want) > 2 * witness.SPAN
