@@ -185,3 +185,24 @@ def test_ways_by_spans_are_those_of_single_steps(spark):
     ball, _ = witness.balls(move)
     got = witness.ways(spark.createDataFrame([(s, s) for s in (0, 5, 30)], "seed long, n long"), ball).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and max(w[2] for w in want) > 2 * witness.SPAN
+
+
+def test_written_parts_of_facts_are_not_broadcast_together(spark, monkeypatch):
+    """Each function of a chain calls the next one, so each round adds a part to the facts; together they are many."""
+    limits(monkeypatch, 0, 4)
+    lines, written = [], flow.counted
+
+    def watched(df, small=False):
+        lines.extend(plan(df).splitlines())
+        return written(df, small)
+
+    monkeypatch.setattr(flow, "counted", watched)
+    monkeypatch.setattr(fixpoint_module, "counted", watched)
+    n = 6
+    edges = spark.range(n).selectExpr("id f", f"if(id = {n - 1}, '0', '1') a", "'3' b", "'copy' op", "cast(null as string) field")
+    args = spark.range(n - 1).selectExpr("id site", "id f", "'0' a", "id + 1 g", "'0' q")
+    rets = spark.range(n - 1).selectExpr("id site", "id rf", "'3' r", "id + 1 rg", "'3' w", "false deep")
+    known, edge, rows = flow.passed_through(flow.guarded_edges(edges), store.stored(args), store.stored(rets))
+    assert known.count() == 2 * (n - 1) and rows == 2 * n - 1
+    sent = [below for line, below in zip(lines, lines[1:]) if "BroadcastExchange" in line]
+    assert any("Union" in line for line in lines) and not any("Union" in line for line in sent)
