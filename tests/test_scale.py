@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import callgraph, flow, graphs, unify, witness
+from ferrule.operators import callgraph, flow, graphs, reach, unify, walk, witness
 from ferrule.plans import fixpoint as fixpoint_module
 from ferrule.plans import store
 from ferrule.plans.fixpoint import fixpoint, repeated
@@ -206,3 +206,73 @@ def test_written_parts_of_facts_are_not_broadcast_together(spark, monkeypatch):
     assert known.count() == 2 * (n - 1) and rows == 2 * n - 1
     sent = [below for line, below in zip(lines, lines[1:]) if "BroadcastExchange" in line]
     assert any("Union" in line for line in lines) and not any("Union" in line for line in sent)
+
+
+def plain_program(spark, seed, n=12, calls=26):
+    """seeds, uses and relations of functions without fields, at random, with recursion and a chain of nested calls."""
+    rng = random.Random(seed)
+    edges = {(f, str(rng.randrange(4)), str(rng.randrange(4))) for f in range(n) for _ in range(3)} | {(n + i, "0", "3") for i in range(8)}
+    call = [(s, rng.randrange(n), str(rng.randrange(4)), rng.randrange(n), str(rng.randrange(2)), s % 7 == 0) for s in range(calls)]
+    call += [(100 + i, n + i, "0", n + i + 1, "0", False) for i in range(8)]
+    make = spark.createDataFrame
+    return (
+        make([(f"s{i}", f"r{i % 2}", rng.randrange(n + 2), str(rng.randrange(4))) for i in range(9)] + [("s0", "r0", n, "0")], "seed string, name string, f long, v string"),
+        make([(f"r{i % 2}", i % 7, rng.randrange(n + 9), str(rng.randrange(4))) for i in range(16)], "name string, sink long, f long, v string"),
+        make([(f, a, b, "copy", None) for f, a, b in edges], "f long, a string, b string, op string, field string"),
+        make([(s, f, a, g, q) for s, f, a, g, q, _ in call if s % 5], "site long, f long, a string, g long, q string"),
+        make([(s, f, "2", g, "3", deep) for s, f, _, g, _, deep in call if s % 6], "site long, f long, r string, g long, w string, deep boolean"),
+    )
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_flow_held_by_one_task_is_that_of_rounds(spark, monkeypatch, seed):
+    given = plain_program(spark, seed)
+    read = lambda: sorted((r.seed, r.name, r.sink) for r in flow.flows_into(*given).collect())
+    held = read()
+    monkeypatch.setattr(flow, "HELD", 0)
+    sent = read()
+    monkeypatch.setattr(reach, "SENT", 0)
+    assert held == sent == read() and held and len(set(held)) == len(held)
+    back = given[:2] + flow.reversed_flow(*given[2:])
+    rounds = sorted((r.seed, r.name, r.sink) for r in flow.flows_into(*back).collect())
+    monkeypatch.undo()
+    assert rounds == sorted((r.seed, r.name, r.sink) for r in flow.flows_into(*back, demand=True).collect())
+
+
+def test_flow_without_fields_takes_no_rounds(spark, monkeypatch):
+    """A chain of returns to callers that were not entered: each function calls the one before it."""
+
+    def no_rounds(*given, **more):
+        raise AssertionError("a round was taken")
+
+    for module in (flow, reach):
+        monkeypatch.setattr(module, "fixpoint", no_rounds)
+    n = 300
+    edges = spark.range(n).selectExpr("id f", "'2' a", "'3' b", "'copy' op", "cast(null as string) field")
+    args = spark.range(1, n).selectExpr("id site", "id f", "'0' a", "id - 1 g", "'0' q")
+    rets = spark.range(1, n).selectExpr("id site", "id f", "'2' r", "id - 1 g", "'3' w", "false deep")
+    seeds = spark.range(1).selectExpr("'s' seed", "id f", "'2' v")
+    uses = spark.range(n).selectExpr("id sink", "id f", "'2' v")
+    assert sorted(r.sink for r in flow.flows_into(seeds, uses, edges, args, rets, demand=True).collect()) == list(range(n))
+    assert flow.flows_into(seeds, uses.where("id < 0"), edges, args, rets).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1 << 18])
+def test_what_starts_reach_is_handed_over_in_parts(spark, monkeypatch, rows):
+    """Starts that share a node or have several, targets that share or have several, cycles; each pair once."""
+    rng = random.Random(rows)
+    edge = {(rng.randrange(30), rng.randrange(30)) for _ in range(40)}
+    start = {(f"s{i % 12}", rng.randrange(34)) for i in range(16)} | {("a", 3), ("b", 3), ("c", 3)}
+    target = {(i % 9, rng.randrange(34)) for i in range(14)}
+    to = {n: {n} for n in range(34)}
+    for _ in range(34):
+        for a, b in edge:
+            for seen in to.values():
+                if a in seen:
+                    seen.add(b)
+    make = spark.createDataFrame
+    monkeypatch.setattr(walk, "ROWS", rows)
+    monkeypatch.setattr(walk, "AT_ONCE", 60)
+    got = walk.walked(make(sorted(start), "seed string, n long"), make(sorted(target), "sink long, n long"), make(sorted(edge), "src long, dst long")).collect()
+    want = {(s, t) for s, a in start for t, b in target if b in to[a]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
